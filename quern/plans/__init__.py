@@ -1,0 +1 @@
+"""Quern plans."""
