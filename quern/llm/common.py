@@ -19,11 +19,17 @@ def text_or_empty(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written to the cluster's checkpoint folder, so that nothing above it runs twice or again after a loss."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; a new one of our own only where none is set."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quern-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quern-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder, so that nothing above it runs twice or again after a loss."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
