@@ -1,7 +1,7 @@
 """The queries of this subpackage and their SQL."""
 
-from quern.llm import line_dedup, packing, piece_codec, quality, secret_scan, simhash, token_counts, toxicity, vector_search
+from quern.llm import line_dedup, packing, piece_codec, quality, secret_scan, simhash, suffix_dedup, token_counts, toxicity, vector_search
 
-MODULES = (packing, token_counts, line_dedup, toxicity, quality, vector_search, secret_scan, piece_codec, simhash)
+MODULES = (suffix_dedup, packing, token_counts, line_dedup, toxicity, quality, vector_search, secret_scan, piece_codec, simhash)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}
