@@ -81,6 +81,18 @@ def joined(findings: Column) -> Column:
     return F.array_join(F.transform(findings, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def redacted(text: Column, findings: Column, mark: str = "[SECRET]") -> Column:
+    """text with each maximal run of overlapping spans replaced by mark."""
+    start = F.struct(F.lit(0).alias("upto"), F.expr("cast(array() as array<string>)").alias("out"))
+    step = F.aggregate(
+        findings,
+        start,
+        lambda s, x: F.struct(F.greatest(s["upto"], x["end"]).alias("upto"), F.when(x["start"] >= s["upto"], F.concat(s["out"], F.array(F.substring(text, s["upto"] + 1, x["start"] - s["upto"]), F.lit(mark)))).otherwise(s["out"]).alias("out")),
+        lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["upto"] + 1, F.length(text))),
+    )
+    return F.when(F.size(findings) > 0, step).otherwise(text)
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = secret_scan(read(spark, sf_dir, "documents"))
 

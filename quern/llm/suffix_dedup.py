@@ -40,8 +40,8 @@ from pyspark.sql import functions as F
 from quern.llm.common import partitions, read, stored, text_or_empty
 
 LENGTH, GRAM = 100, 32
-#: Buckets for each shuffle partition, and bytes of text that are hashed at once.
-BUCKETS, CHUNK = 3, 1 << 22
+#: Buckets of documents for each shuffle partition (there is one range of suffixes for each), and bytes hashed at once.
+BUCKETS, CHUNK = 2, 1 << 22
 #: Anchors that a task holds before it sends them, and places from which a gram may count as hot.
 HELD, HOT = 2_000_000, 2000
 
@@ -162,7 +162,7 @@ def blobs(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["bucket", "blob"])
 
 
-def gram_rows(batches: Iterator[pa.RecordBatch], buckets: int, length: int) -> Iterator[pa.RecordBatch]:
+def gram_rows(batches: Iterator[pa.RecordBatch], ranges: int, buckets: int, length: int) -> Iterator[pa.RecordBatch]:
     """A task's anchors: by bucket of their hash, each hash once with its number here and its first place; the other places,
     which are known to repeat, under -1 - bucket of their document."""
     held, size = [], 0
@@ -174,7 +174,7 @@ def gram_rows(batches: Iterator[pa.RecordBatch], buckets: int, length: int) -> I
         new = np.append(True, h[1:] != h[:-1])
         first = np.flatnonzero(new)
         number = np.diff(np.append(first, len(h))).astype("<u4")
-        rows = [(b, packed(*c)) for b, c in split((h[first] >> np.uint64(32)) % np.uint64(buckets), h[first], number, *(c[first] for c in place))]
+        rows = [(b, packed(*c)) for b, c in split((h[first] >> np.uint64(32)) % np.uint64(ranges), h[first], number, *(c[first] for c in place))]
         rest = [c[~new] for c in place]
         return blobs(rows + [(-1 - b, packed(*c)) for b, c in split(doc_bucket(*rest[:2], buckets), *rest)])
 
@@ -235,7 +235,7 @@ def shared_lengths(texts: list[bytes]) -> np.ndarray:
 HEAD = 8  # bytes of hash in front of each sorted suffix
 
 
-def run_rows(left: pa.Table, right: pa.Table, hot: np.ndarray, buckets: int, length: int) -> pa.Table:
+def run_rows(left: pa.Table, right: pa.Table, hot: np.ndarray, ranges: int, length: int) -> pa.Table:
     """Of one bucket of documents (left: bucket, key, tag, text) and their repeated anchors (right): front-coded sorted runs by
     range, and under -1 - bucket the marks of suffixes that are not their run's first.
 
@@ -272,7 +272,7 @@ def run_rows(left: pa.Table, right: pa.Table, hot: np.ndarray, buckets: int, len
     items = [x for x, f in zip(items, first.tolist()) if f]
     key, tag, anchor, back, near = key[first], tag[first], anchor[first].astype("<u4"), back[first].astype("u1"), near[first].astype("u1")
     head = np.frombuffer(b"".join(x[0][:HEAD] for x in items), ">u8").astype(np.uint64)
-    target = (head // np.uint64((1 << 64) // buckets + 1)).astype(np.int64)
+    target = (head // np.uint64(((1 << 64) - 1) // ranges + 1)).astype(np.int64)
     cuts = np.flatnonzero(np.append(True, target[1:] != target[:-1])).tolist()
     for lo, hi in zip(cuts, [*cuts[1:], len(items)]):
         texts, k = [x[0] for x in items[lo:hi]], slice(lo, hi)
@@ -466,14 +466,15 @@ def cut_rows(left: pa.Table, right: pa.Table) -> pa.Table:
 def repeated_bytes(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_bytes, spans (removed, maximal) and kept (binary) for each row of docs. Keys are whole numbers."""
     spark = docs.sparkSession
-    buckets = BUCKETS * partitions(spark)
+    ranges = partitions(spark)
+    buckets = BUCKETS * ranges
     least = F.lit(-(2**63)).cast("long")
     base = docs.select(F.coalesce(F.col(key).cast("long"), least).alias("key"), F.col(key).isNull().alias("null_key"), text_or_empty(text).alias("text"))
     unique = base.select("key").groupBy("key").count().where("count > 1").isEmpty()
     tag = F.lit(0).cast("long") if unique else F.xxhash64("text", "null_key")
     base = base.select("key", tag.alias("tag"), F.col("text").cast("binary").alias("text"), "null_key")
     names = "bucket int, blob binary"
-    grams = base.select("key", "tag", "text").mapInArrow(lambda b: gram_rows(b, buckets, length), names)
+    grams = base.select("key", "tag", "text").mapInArrow(lambda b: gram_rows(b, ranges, buckets, length), names)
     repeated = stored(grams.groupBy("bucket").applyInArrow(lambda g: repeated_rows(g, buckets), f"{names}, hash long, n long"))
     counts = repeated.where("bucket is null")
     places = counts.where("hash is null").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
@@ -487,7 +488,7 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([pa.array(doc_bucket(k, t.view(np.uint64), buckets).astype(np.int32)), *batch.columns], ["bucket", *batch.schema.names])
 
     texts = base.mapInArrow(bucketed, "bucket int, key long, tag long, text binary, null_key boolean")
-    runs = texts.groupBy("bucket").cogroup(repeated.groupBy("bucket")).applyInArrow(lambda a, b: run_rows(a, b, hot, buckets, length), names)
+    runs = texts.groupBy("bucket").cogroup(repeated.groupBy("bucket")).applyInArrow(lambda a, b: run_rows(a, b, hot, ranges, length), names)
     found = runs.groupBy("bucket").applyInArrow(lambda g: found_rows(g, length, buckets), names)
     cut = texts.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(cut_rows, "key long, null_key boolean, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
     return cut.select(F.when(~F.col("null_key"), F.col("key")).alias(key), "n_bytes", "spans", "kept")

@@ -66,7 +66,7 @@ def test_equals_brute_force(spark, monkeypatch, hot):
     docs = fixture(hot) + [(None, "null key " + "y" * 120)]
     df = spark.createDataFrame([(*d, "n", 1, b"x") for d in docs], "doc_id long, text string, bucket string, key int, blob binary").repartition(5)
     if hot == 3:  # the share of all places that makes a gram hot is out of reach in a small table
-        monkeypatch.setattr(suffix_dedup, "BUCKETS", 200)
+        monkeypatch.setattr(suffix_dedup, "BUCKETS", 300)
     assert result(repeated_bytes(df)) == plain(docs)
 
 
