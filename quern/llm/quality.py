@@ -24,51 +24,65 @@ from pyspark.sql import functions as F
 from quern.llm.common import read, shared_folder
 
 BUCKETS, PRIOR, SCALE, THRESHOLD_TENTHS = 4096, 10, 65536, -1  # verdict: mean log ratio >= -0.1
-SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 TOKEN_SYMBOLS = r"([#*$%&|<>]+|!!+)"
 WINDOW = 5
 
 
-def words_of(text: str = "text") -> Column:
-    return F.array_remove(F.split(F.col(text), SPACE, -1), "")
+def without(text: Column, characters: str, put: str = "") -> Column:
+    """text with each of the characters replaced; a search for a whole string each, which is quicker than a pattern."""
+    for c in characters:
+        text = F.replace(text, F.lit(c), F.lit(put))
+    return text
 
 
-def bucket(token: Column) -> Column:
-    return F.conv(F.substring(F.md5(token), 1, 3), 16, 10).cast("smallint")
+def words_of(text: Column) -> Column:
+    return F.array_remove(F.split(without(text, "\t\n\x0b\x0c\r", " "), " ", -1), "")
 
 
-def repeat_columns(df: DataFrame, words: str = "_words") -> DataFrame:
+def hashes(words: str) -> Column:
+    """CRC-32 of each word."""
+    return F.transform(words, lambda x: F.crc32(x.cast("binary")))
+
+
+def repeat_columns(df: DataFrame, words: str = "_words", hashed: str = "_hashes") -> DataFrame:
     """df with _n_repeat_words. Windows are compared by hash first; only texts in which two hashes agree compare strings."""
-    spread = f"if(size({words}) < {WINDOW}, cast(array() as array<bigint>), transform(sequence(0, size({words}) - {WINDOW}), i -> xxhash64({', '.join(f'{words}[i + {k}]' for k in range(WINDOW))})))"
-    df = df.withColumn("_hashes", F.expr(spread)).withColumn("_twice", F.size(F.array_distinct("_hashes")) < F.size("_hashes")).drop("_hashes")
-    exact = f"if(_twice, sort_array(transform(sequence(0, size({words}) - {WINDOW}), i -> struct(array_join(slice({words}, i + 1, {WINDOW}), ' ') as s, i as i))), null)"
-    df = df.withColumn("_sorted", F.expr(exact))
-    places = "sort_array(transform(filter(_sorted, (x, k) -> (k > 0 and x.s = _sorted[greatest(k - 1, 0)].s) or (k + 1 < size(_sorted) and x.s = _sorted[least(k + 1, size(_sorted) - 1)].s)), x -> x.i))"
-    df = df.withColumn("_places", F.expr(places))
+    # Hashes of two, four and five neighbours; the last places, which have no window, are cut off.
+    two = f"zip_with({hashed}, slice({hashed}, 2, size({hashed})), (a, b) -> xxhash64(a, b))"
+    df = df.withColumn("_two", F.expr(two)).withColumn("_four", F.expr("zip_with(_two, slice(_two, 3, size(_two)), (a, b) -> xxhash64(a, b))"))
+    df = df.withColumn("_five", F.expr(f"if(size({hashed}) < {WINDOW}, cast(array() as array<bigint>), slice(zip_with(_four, slice({hashed}, 5, size({hashed})), (a, b) -> xxhash64(a, b)), 1, size({hashed}) - {WINDOW - 1}))"))
+    df = df.withColumn("_twice", F.size(F.array_distinct("_five")) < F.size("_five")).drop("_two", "_four")
+    equal = "filter({0}, (x, k) -> (k > 0 and x.s = {0}[greatest(k - 1, 0)].s) or (k + 1 < size({0}) and x.s = {0}[least(k + 1, size({0}) - 1)].s))"
+    df = df.withColumn("_sorted", F.expr("if(_twice, sort_array(transform(_five, (h, i) -> struct(h as s, i as i))), null)"))
+    df = df.withColumn("_found", F.expr(equal.format("_sorted"))).drop("_five", "_sorted")
+    df = df.withColumn("_sorted", F.expr(f"sort_array(transform(_found, x -> struct(array_join(slice({words}, x.i + 1, {WINDOW}), ' ') as s, x.i as i)))"))
+    df = df.withColumn("_places", F.expr(f"sort_array(transform({equal.format('_sorted')}, x -> x.i))"))
     count = f"aggregate(_places, struct(0 as upto, 0L as n), (a, p) -> struct(p + {WINDOW} as upto, a.n + p + {WINDOW} - greatest(p, a.upto) as n), a -> a.n)"
-    return df.withColumn("_n_repeat_words", F.coalesce(F.expr(count), F.lit(0).cast("long"))).drop("_twice", "_sorted", "_places")
+    return df.withColumn("_n_repeat_words", F.coalesce(F.expr(count), F.lit(0).cast("long"))).drop("_twice", "_found", "_sorted", "_places")
 
 
 def features(docs: DataFrame, carry: list[str], text: str = "text") -> DataFrame:
     """The carried columns, the base counts (names start with _) and _buckets, for each row of docs."""
-    t = F.coalesce(F.col("_text"), F.lit(""))
-    df = docs.select(*carry, F.col(text).alias("_text")) if text not in carry else docs.select(*carry).withColumn("_text", F.col(text))
-    df = df.withColumn("_text", t)
+    df = docs.select(*carry, F.coalesce(F.col(text), F.lit("")).alias("_text"))
     lines = F.filter(F.split("_text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    size = F.length("_text")
+    has_symbols = F.col("_text").rlike(f"[{SYMBOLS}]")
     df = df.withColumns({
-        "_words": words_of("_text"),
-        "_tokens": F.array_remove(F.split(F.regexp_replace("_text", TOKEN_SYMBOLS, " $1 "), SPACE, -1), ""),
+        "_words": words_of(F.col("_text")),
         "_lines": lines,
-        "_n_symbols": (F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))).cast("long"),
-        "_word_chars": F.length(F.translate("_text", " \t\n\x0b\x0c\r", "")).cast("long"),
-    }).drop("_text")
+        "_n_symbols": F.when(has_symbols, size - F.length(without(F.col("_text"), SYMBOLS))).otherwise(0).cast("long"),
+    })
+    marked = (F.col("_n_symbols") > 0) | F.contains("_text", F.lit("!!"))
+    tokens = words_of(F.regexp_replace("_text", TOKEN_SYMBOLS, " $1 "))
     df = df.withColumns({
         "_n_words": F.size("_words").cast("long"),
+        "_word_chars": F.length(F.array_join("_words", "")).cast("long"),
         "_n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "_buckets": F.transform("_tokens", bucket),
-    }).drop("_lines", "_tokens")
-    return repeat_columns(df).drop("_words")
+        "_hashes": hashes("_words"),
+        "_tokens": F.when(marked, tokens),
+    }).drop("_lines", "_text")
+    df = df.withColumn("_buckets", F.transform(F.when(F.col("_tokens").isNull(), F.col("_hashes")).otherwise(hashes("_tokens")), lambda h: (h % BUCKETS).cast("smallint")))
+    return repeat_columns(df.drop("_tokens")).drop("_words", "_hashes")
 
 
 def _pairs(buckets: str = "_buckets") -> str:
@@ -93,7 +107,7 @@ def judged(table: DataFrame, w: Column) -> DataFrame:
     score = f"aggregate(_buckets, 0L, (a, b) -> a + _w[b]) + aggregate({_pairs()}, 0L, (a, b) -> a + _w[b])"
     grams = "greatest(2 * size(_buckets) - 1, 0)"
     failed = "_n_words < 10 or 100 * _n_repeat_words > 20 * _n_words"
-    return table.withColumns({"base_failed": F.expr(failed), "kept": F.expr(f"not ({failed}) and 10 * ({score}) >= {THRESHOLD_TENTHS * SCALE} * ({grams} + {PRIOR})")}).drop("_w")
+    return table.withColumns({"base_failed": F.expr(failed), "kept": F.expr(f"not ({failed}) and 10 * ({score}) >= {THRESHOLD_TENTHS * SCALE}L * ({grams} + {PRIOR})")}).drop("_w")
 
 
 def quality(docs: DataFrame, labels: DataFrame, carry: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -120,7 +134,10 @@ q_words as (select row, doc_id, text, list_filter(regexp_split_to_array(text, '[
 q_windows as (select row, i, array_to_string(w[i:i + 4], ' ') as s from (select row, w, unnest(range(1, len(w) - 3)) as i from q_words where len(w) >= 5)),
 q_twice as (select row, i from (select row, i, count(*) over (partition by row, s) as n from q_windows) where n > 1),
 q_repeat as (select row, sum(least(5, nxt - i)) as n from (select row, i, coalesce(lead(i) over (partition by row order by i), i + 5) as nxt from q_twice) group by row),
-q_buckets as (select row, doc_id, list_transform(t, lambda x: cast('0x' || md5(x)[1:3] as integer)) as b from q_words),
+q_steps as (select list(list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, cast(i as bigint)) order by i) as steps from range(256) r(i)),
+q_tokens as (select x, xor(list_reduce(range(octet_length(encode(x))), lambda c, k: xor(c >> 8, steps[(xor(c, cast('0x' || substr(hex(encode(x)), 2 * k + 1, 2) as bigint)) & 255) + 1]), cast(4294967295 as bigint)), 4294967295) % {BUCKETS} as b
+    from (select distinct unnest(t) as x from q_words), q_steps),
+q_buckets as (select d.row, any_value(d.doc_id) as doc_id, list(k.b order by d.i) filter (d.i is not null) as b from (select row, doc_id, unnest(t) as x, unnest(range(len(t))) as i from q_words) d join q_tokens k on d.x = k.x group by d.row),
 q_grams as (select row, doc_id, b || list_transform(range(1, len(b)), lambda i: (b[i] * 31 + b[i + 1]) % {BUCKETS}) as g from q_buckets),
 q_flat as (select row, unnest(g) as b, doc_id in (select doc_id from labels where quality = 1) as t from q_grams),
 q_counts as (select b, count(*) as raw, count(*) filter (t) as target from q_flat group by b),
