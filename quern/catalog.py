@@ -1,4 +1,365 @@
-"""The reference's operators as named queries over the driver's tables."""
+"""The reference's operators as named queries over the driver's tables, each with its DuckDB SQL where SQL can express it."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quern.functions import listing, variants
+from quern.operators import accept, ordered, scoring, tables
+from quern.sources.tables import lines, table
+from quern.streaming.accept import accepted_stream, run_available
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+BASE, THRESHOLD = 200, 180
+LINES_SQL = "(select doc_id, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) as line_no, unnest(string_split(coalesce(text, ''), chr(10))) as line from documents)"
+RESULTS_SQL = "(select user_id as job, event_id as seq, cast(floor(value) as bigint) as score, sha256(cast(cast(floor(value) as bigint) as varchar) || event_type) as hash, event_type as source from events)"
+
+
+def query(sql: str | None = None):
+    """Registers the function under its own name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def results(events: DataFrame) -> DataFrame:
+    """Events as the ordered results of one search per user."""
+    score = F.floor("value").cast("long")
+    return events.select(F.col("user_id").alias("job"), F.col("event_id").alias("seq"), score.alias("score"), F.sha2(F.concat(score.cast("string"), F.col("event_type")), 256).alias("hash"), F.col("event_type").alias("source"))
+
+
+# Scores
+
+
+def _target(docs: DataFrame) -> DataFrame:
+    return docs.orderBy("doc_id").limit(1)
+
+
+@query(f"""with l as {LINES_SQL}, t as (select line, count(*) as m from l where doc_id = (select min(doc_id) from documents) group by line),
+    o as (select doc_id, line, count(*) as n from l group by doc_id, line),
+    c as (select doc_id, cast(sum(coalesce(least(n, m), 0)) as bigint) as reorderings, cast(sum(n) as bigint) as all_n from o left join t using (line) group by doc_id)
+    select doc_id, reorderings, all_n - reorderings as insertions, cast((select sum(m) from t) as bigint) - reorderings as deletions,
+    60 * reorderings + 100 * (all_n - reorderings) + 100 * (cast((select sum(m) from t) as bigint) - reorderings) as score from c""")
+def bag_score_vs_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return scoring.bag_scores(docs, _target(docs))
+
+
+@query()
+def align_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return scoring.align_scores(docs, (_target(docs).first()["text"] or "").split("\n"))
+
+
+@query("""with f as (select user_id, event_id, event_type, cast(floor(value) as bigint) as v, props, lag(event_type) over w as pt, lag(cast(floor(value) as bigint)) over w as pv, lag(props) over w as pp from events window w as (partition by user_id order by event_id))
+    select event_id, (event_type <> pt)::int + (v <> pv)::int + (props <> pp)::int as mismatches from f where pt is not null""")
+def field_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").withColumn("f", F.array("event_type", F.floor("value").cast("string"), "props"))
+    pairs = ordered.as_of(events, "user_id", "event_id", F.col("f"), "before").where("before is not null")
+    return pairs.select("event_id", scoring.field_mismatches(F.col("f"), F.col("before")).alias("mismatches"))
+
+
+def _bag(spark: SparkSession, sf_dir: str, user: int) -> DataFrame:
+    return table(spark, sf_dir, "events").where(F.col("user_id") == user).select("event_type")
+
+
+@query("select event_type from events where user_id = 12 intersect all select event_type from events where user_id = 13")
+def reordered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bag(spark, sf_dir, 12).intersectAll(_bag(spark, sf_dir, 13))
+
+
+@query("select event_type from events where user_id = 12 except all select event_type from events where user_id = 13")
+def inserted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bag(spark, sf_dir, 12).exceptAll(_bag(spark, sf_dir, 13))
+
+
+@query("select event_type from events where user_id = 13 except all select event_type from events where user_id = 12")
+def deleted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bag(spark, sf_dir, 13).exceptAll(_bag(spark, sf_dir, 12))
+
+
+@query("""with s as (select user_id, string_agg(substr(event_type, 1, 1), '' order by event_id) as s from events group by user_id)
+    select user_id, levenshtein(s, (select s from s where user_id = (select min(user_id) from s))) as distance from s""")
+def mnemonic_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("event_id", F.substring("event_type", 1, 1).alias("c")))), lambda x: x["c"]), "").alias("s"))
+    first = codes.orderBy("user_id").limit(1).select(F.col("s").alias("t"))
+    return codes.join(F.broadcast(first)).select("user_id", F.levenshtein("s", "t").cast("long").alias("distance"))
+
+
+# Enumeration
+
+
+def _names(spark: SparkSession, sf_dir: str, name: str) -> list[str]:
+    """The options of a choice: the names of a table of fixed size."""
+    key, column = {"region": ("r_regionkey", "r_name"), "nation": ("n_nationkey", "n_name")}[name]
+    return [r[0] for r in table(spark, sf_dir, name).orderBy(key).select(column).collect()]
+
+
+@query("""with r as (select list(r_name order by r_regionkey) as r from region), n as (select list(n_name order by n_nationkey) as n from nation)
+    select s as seed, r[s % 5 + 1] || '-' || cast(1 + (s // 5) % 3 as varchar) || '-' || n[(s // 15) % 25 + 1] as variant from range(375) t(s), r, n""")
+def enumerate_mixed_radix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = {t: variants.choice(*map(variants.text, _names(spark, sf_dir, t))) for t in ("region", "nation")}
+    return variants.enumerated(spark, variants.combine(names["region"], variants.text("-"), variants.integer(1, 3), variants.text("-"), names["nation"]))
+
+
+@query("""with recursive n as (select list(r_name order by r_regionkey) as r from region), t(seed, rest, s, out) as (
+    select i, r, i, [] ::varchar[] from range(120) x(i), n union all
+    select seed, rest[1:s % len(rest)] || rest[s % len(rest) + 2:len(rest)], s // len(rest), list_append(out, rest[s % len(rest) + 1]) from t where len(rest) > 0)
+    select seed, array_to_string(out, chr(10)) as variant from t where len(rest) = 0""")
+def enumerate_lehmer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.enumerated(spark, variants.orders([variants.text(n) for n in _names(spark, sf_dir, "region")]))
+
+
+@query("""with r as (select list(r_name order by r_regionkey) as r from region)
+    select s as seed, case when s % 3 = 0 then r[(s // 3) % 5 + 1] else '' end || ':' || case when s % 3 = 1 then 'x' else '' end || r[(s // 15) % 5 + 1] || case when s % 3 = 2 then 'y' else '' end || r[(s // 15) % 5 + 1] as variant from range(75) t(s), r""")
+def once_and_var(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = variants.choice(*map(variants.text, _names(spark, sf_dir, "region")))
+    body = variants.combine(variants.once("k", names), variants.text(":"), variants.set_variable("v", names), variants.once("k", variants.text("x")), variants.variable("v"), variants.once("k", variants.text("y")), variants.variable("v"))
+    return variants.enumerated(spark, variants.with_once(body))
+
+
+# Acceptance
+
+
+def _accept_sql(better_only: bool = False, best_only: bool = False, threshold: int | None = None, source: str = RESULTS_SQL) -> str:
+    static = f"score {'<' if better_only else '<='} {BASE}" + (f" and score < {threshold}" if threshold is not None else "")
+    return f"""with s as (select * from {source} where {static}),
+    w as (select *, row_number() over (partition by job, hash order by seq) as nth, least({BASE}, coalesce(min(score) over (partition by job order by seq rows between unbounded preceding and 1 preceding), {BASE})) as best_before from s)
+    select job, seq, score, hash, best_before from w where (nth = 1 or score = 0)""" + (" and score <= best_before" if best_only else "")
+
+
+def _accepted(spark: SparkSession, sf_dir: str, **flags) -> DataFrame:
+    return accept.accepted(results(table(spark, sf_dir, "events")), BASE, **flags).select("job", "seq", "score", "hash", "best_before")
+
+
+@query(_accept_sql())
+def accept_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _accepted(spark, sf_dir)
+
+
+@query(_accept_sql(better_only=True))
+def accept_better_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _accepted(spark, sf_dir, better_only=True)
+
+
+@query(_accept_sql(best_only=True, threshold=THRESHOLD))
+def accept_best_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _accepted(spark, sf_dir, best_only=True, threshold=THRESHOLD)
+
+
+@query(_accept_sql(threshold=THRESHOLD))
+def accept_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _accepted(spark, sf_dir, threshold=THRESHOLD)
+
+
+@query(_accept_sql(source=f"(select * from {RESULTS_SQL} qualify row_number() over (partition by job, score, source order by seq) = 1)"))
+def accept_first_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = accept.first_by_source(results(table(spark, sf_dir, "events")).withColumn("source", F.concat_ws(":", "score", "source")))
+    return accept.accepted(first, BASE).select("job", "seq", "score", "hash", "best_before")
+
+
+@query(_accept_sql(best_only=True, threshold=THRESHOLD))
+def stream_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quern-")
+    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return run_available(accepted_stream(results(stream), BASE, best_only=True, threshold=THRESHOLD), folder)
+
+
+@query(f"""with w as (select *, least({BASE}, coalesce(min(score) over (partition by job order by seq rows between unbounded preceding and 1 preceding), {BASE})) as best from {RESULTS_SQL})
+    select job, seq, score, case when score < best then 'new best' when score = best then 'tied' when score < {BASE} then 'better' when score = {BASE} then 'same score' else 'worse' end as outcome from w""")
+def outcome_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return accept.labelled(results(table(spark, sf_dir, "events")), BASE).select("job", "seq", "score", "outcome")
+
+
+@query(f"select job, min(seq) as seq from {RESULTS_SQL} where score = 0 group by job")
+def stop_at_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results(table(spark, sf_dir, "events")).where("score = 0").groupBy("job").agg(F.min("seq").alias("seq"))
+
+
+@query(f"select job, score, seq, row_number() over (partition by job, score order by seq) as counter from {RESULTS_SQL}")
+def result_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results(table(spark, sf_dir, "events")).select("job", "score", "seq", F.row_number().over(Window.partitionBy("job", "score").orderBy("seq")).cast("long").alias("counter"))
+
+
+# Weights, picks and roll-ups
+
+
+@query("""select n.n_name as name, coalesce(c.w, s.w, cast(n.n_nationkey * 10 as bigint)) as weight from nation n
+    left join (select s_nationkey as k, count(*) as w from supplier where s_nationkey % 2 = 0 group by 1) s on n.n_nationkey = s.k
+    left join (select c_nationkey as k, count(*) as w from customer where c_nationkey % 3 = 0 group by 1) c on n.n_nationkey = c.k""")
+def weight_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = table(spark, sf_dir, "nation")
+
+    def layer(name: str, key: str, every: int) -> DataFrame:
+        counts = table(spark, sf_dir, name).where(F.col(key) % every == 0).groupBy(key).agg(F.count("*").alias("weight"))
+        return counts.join(nation, counts[key] == nation["n_nationkey"]).select(F.col("n_name").alias("name"), "weight")
+
+    base = nation.select(F.col("n_name").alias("name"), (F.col("n_nationkey") * 10).cast("long").alias("weight"))
+    return tables.overlay(base, layer("supplier", "s_nationkey", 2), layer("customer", "c_nationkey", 3))
+
+
+@query("""with c as (select p_partkey, p_size, sum(p_size) over (order by p_partkey) as cum from part), t as (select sum(p_size) as t from part),
+    k as (select i as pick, cast(concat('0x', substr(sha256(cast(i as varchar) || 'pick'), 1, 15)) as bigint) % t as u from range(20) r(i), t)
+    select pick, cast(u as bigint) as u, min(p_partkey) as p_partkey from k join c on cum > u where p_size > 0 group by pick, u""")
+def weighted_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part").withColumn("p_size", F.col("p_size").cast("long"))
+    total = part.agg(F.sum("p_size")).first()[0]
+    picks = spark.range(20).select(F.col("id").alias("pick"), tables.uniform(F.concat(F.col("id").cast("string"), F.lit("pick")), F.lit(total)).alias("u"))
+    return ordered.weighted_picks(part, "p_partkey", "p_size", picks)
+
+
+@query("select d as distance, cast(round((power(d + 1, -1.5) + 0.005) * 1000000) as bigint) as weight_millionths from range(100) r(d)")
+def distance_decay_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.range(100).select(F.col("id").alias("distance"), F.round(tables.decay(F.col("id"), F.lit(0.005)) * 1000000).cast("long").alias("weight_millionths"))
+
+
+@query("""with s as (select event_type, sum(cast(value as decimal(18,2))) as v from events group by event_type)
+    select event_type, cast(v * 100 as bigint) as cents, cast(round_even(cast(100 * v as double) / cast((select sum(v) from s) as double), 0) as bigint) as percent from s""")
+def stage_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sums = table(spark, sf_dir, "events").groupBy("event_type").agg(F.sum(F.col("value").cast("decimal(18,2)")).alias("v"))
+    share = (F.col("v") * 100).cast("double") / F.sum("v").over(Window.partitionBy(F.lit(1))).cast("double")
+    return sums.select("event_type", (F.col("v") * 100).cast("long").alias("cents"), F.bround(share, 0).cast("long").alias("percent"))
+
+
+@query("""select event_type, user_id % 7 as worker, count(*) as n, count(*) filter (value < 50) as improved, count(*) filter (value < 5) as matched from events group by grouping sets ((), (event_type), (user_id % 7))""")
+def stats_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").withColumn("worker", F.col("user_id") % 7)
+    sets = events.groupingSets([[], [F.col("event_type")], [F.col("worker")]], "event_type", "worker")
+    return sets.agg(F.count("*").alias("n"), F.count_if(F.col("value") < 50).alias("improved"), F.count_if(F.col("value") < 5).alias("matched"))
+
+
+@query("select count(*) filter (s_nationkey >= 10) as eligible, cast(sum(cast(floor(s_acctbal) as bigint)) filter (s_nationkey >= 10) as bigint) as cores, (select count(*) from customer) as clients from supplier")
+def load_by_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fits = F.col("s_nationkey") >= 10
+    servers = table(spark, sf_dir, "supplier").agg(F.count_if(fits).alias("eligible"), F.sum(F.when(fits, F.floor("s_acctbal").cast("long"))).alias("cores"))
+    return servers.join(F.broadcast(table(spark, sf_dir, "customer").agg(F.count("*").alias("clients"))))
+
+
+@query("""with j as (select c_mktsegment as job, 1 + count(*) % 5 as priority from customer group by 1),
+    w as (select job, cast(k as integer) as unit, k * 60 // priority as energy from j, range(1, 31) r(k))
+    select job, unit, cast(energy as bigint) as energy, row_number() over (order by energy, job, unit) as position from w""")
+def fair_share_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    jobs = table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("job")).agg((F.count("*") % 5 + 1).alias("priority"))
+    return tables.fair_order(jobs, 30, 60)
+
+
+@query("""with h as (select user_id, event_id, sum(case when value < 20 then 3 when value < 60 then 2 else 1 end) over (partition by user_id order by event_id) as s from events)
+    select event_id, cast(s // 2 - coalesce(lag(s) over (partition by user_id order by event_id), 0) // 2 as bigint) as units from h""")
+def adaptive_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    halves = F.when(F.col("value") < 20, 3).when(F.col("value") < 60, 2).otherwise(1)
+    return tables.demand(table(spark, sf_dir, "events"), "user_id", "event_id", halves).select("event_id", "units")
+
+
+@query("select l_suppkey as job, min(struct_pack(e := cast(floor(l_extendedprice) as bigint), o := l_orderkey, n := l_linenumber)).o as order_key from lineitem group by 1")
+def argmin_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    least = F.min(F.struct(F.floor("l_extendedprice").alias("e"), "l_orderkey", "l_linenumber")).alias("x")
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("job")).agg(least).select("job", F.col("x.l_orderkey").alias("order_key"))
+
+
+@query("select p_partkey, case when count(*) over (partition by p_name) > 1 then p_name || '#' || p_partkey else p_name end as display_name from part")
+def unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shared = F.count("*").over(Window.partitionBy("p_name")) > 1
+    return table(spark, sf_dir, "part").select("p_partkey", F.when(shared, F.concat("p_name", F.lit("#"), F.col("p_partkey").cast("string"))).otherwise(F.col("p_name")).alias("display_name"))
+
+
+# Order inside a key
+
+
+@query("""select event_id, row_number() over (partition by user_id order by event_id) as turn, row_number() over (order by t, user_id) as position from
+    (select *, row_number() over (partition by user_id order by event_id) as t from events)""")
+def round_robin_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordered.round_robin(table(spark, sf_dir, "events"), "user_id", "event_id").select("event_id", "turn", "position")
+
+
+@query("select min(doc_id) as doc_id, sha256(coalesce(text, '')) as text_hash from documents group by 2")
+def first_seen_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hashed = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_hash"))
+    return hashed.groupBy("text_hash").agg(F.min("doc_id").alias("doc_id"))
+
+
+@query("select event_id, last_value(case when event_type = 'purchase' then event_id end ignore nulls) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding) as last_write from events")
+def asof_prev(spark: SparkSession, sf_dir: str) -> DataFrame:
+    write = F.when(F.col("event_type") == "purchase", F.col("event_id"))
+    return ordered.as_of(table(spark, sf_dir, "events"), "user_id", "event_id", write, "last_write").select("event_id", "last_write")
+
+
+@query("select event_id, first_value(case when event_type = 'purchase' then event_id end ignore nulls) over (partition by user_id order by event_id rows between 1 following and unbounded following) as next_write from events")
+def asof_next(spark: SparkSession, sf_dir: str) -> DataFrame:
+    write = F.when(F.col("event_type") == "purchase", F.col("event_id"))
+    return ordered.as_of(table(spark, sf_dir, "events"), "user_id", "event_id", write, "next_write", forward=True).select("event_id", "next_write")
+
+
+@query("""with c as (select *, case when event_type = lag(event_type) over (partition by user_id order by event_id) then 0 else 1 end as c from events),
+    i as (select *, sum(c) over (partition by user_id order by event_id) as i from c)
+    select user_id, event_type, min(event_id) as first, count(*) as length from i group by user_id, event_type, i having count(*) >= 3""")
+def runs_ge3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordered.runs(table(spark, sf_dir, "events"), "user_id", "event_id", "event_type", 3)
+
+
+@query("""with n as (select *, row_number() over (partition by user_id order by event_id) as k from events)
+    select a.user_id, a.event_id as a, b.event_id as b from n a join n b on a.user_id = b.user_id and b.k between a.k + 1 and a.k + 4 and a.event_type = b.event_type""")
+def pairs_within_4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordered.pairs_within(table(spark, sf_dir, "events"), "user_id", "event_id", "event_type", 4)
+
+
+@query(f"""select doc_id, cast(line_no as integer) as line_no, last_value(case when length(line) < 40 then line end ignore nulls) over (partition by doc_id order by line_no rows between unbounded preceding and current row) as section from {LINES_SQL}""")
+def carry_forward_section(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines(table(spark, sf_dir, "documents"))
+    return ordered.carried(rows, "doc_id", "line_no", F.when(F.length("line") < 40, F.col("line")), "section").select("doc_id", "line_no", "section")
+
+
+@query("select event_id from (select *, sum(case when event_type = 'view' then 0 else 1 end) over (partition by user_id order by event_id rows between current row and unbounded following) as s from events) where s > 0")
+def trim_trailing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordered.without_tail(table(spark, sf_dir, "events"), "user_id", "event_id", F.col("event_type") == "view").select("event_id")
+
+
+# Text
+
+
+@query(rf"""select doc_id, cast(line_no as integer) as line_no, rtrim(regexp_replace(regexp_replace(regexp_replace(line, '[ \t]*(//|;|\|).*$', '', 'g'), '<[^<>]*>', '<target>', 'g'), '[0-9]+', 'imm', 'g'), ' ') as line from {LINES_SQL}""")
+def normalize_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines(table(spark, sf_dir, "documents")).select("doc_id", "line_no", listing.normal(F.col("line")).alias("line"))
+
+
+@query("select doc_id, sha256(regexp_replace(coalesce(text, ''), '[0-9]+', 'imm', 'g')) as fingerprint from documents")
+def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(listing.numbers_as_one(F.coalesce("text", F.lit(""))), 256).alias("fingerprint"))
+
+
+@query("""select doc_id, case when strpos(text, 'License') > 0 then list_last(string_split(left(text, strpos(text, 'License') - 1), chr(10))) || substr(text, strpos(text, 'License')) else text end as text from documents""")
+def context_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", listing.from_line_with(F.col("text"), "License").alias("text"))
+
+
+@query("select event_id, cast(regexp_extract(props, '\"k\": *(-?[0-9]+)', 1) as integer) as k from events")
+def message_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
+
+
+@query("select min(event_id) as event_id, props as message, count(*) as n from events where event_type = 'error' group by props")
+def error_branch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    errors = table(spark, sf_dir, "events").where("event_type = 'error'")
+    return errors.groupBy(F.col("props").alias("message")).agg(F.min("event_id").alias("event_id"), F.count("*").alias("n"))
+
+
+# Graph
+
+
+@query("""with recursive e as (select 'p' || l_partkey as src, 's' || l_suppkey as dst from lineitem where l_quantity >= 46 union select 's' || l_suppkey, 'p' || l_partkey from lineitem where l_quantity <= 2),
+    r(node) as (select 's' || min(s_suppkey) from supplier union select dst from r join e on src = node) select node from r""")
+def reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "lineitem")
+    part, supplier = F.concat(F.lit("p"), F.col("l_partkey").cast("string")), F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))
+    edges = items.where("l_quantity >= 46").select(part.alias("src"), supplier.alias("dst")).union(items.where("l_quantity <= 2").select(supplier, part))
+    roots = table(spark, sf_dir, "supplier").agg(F.concat(F.lit("s"), F.min("s_suppkey").cast("string")).alias("node"))
+    return tables.reachable(edges, roots).select("node")
