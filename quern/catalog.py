@@ -46,7 +46,7 @@ def _target(docs: DataFrame) -> DataFrame:
 
 @query(f"""with l as {LINES_SQL}, t as (select line, count(*) as m from l where doc_id = (select min(doc_id) from documents) group by line),
     o as (select doc_id, line, count(*) as n from l group by doc_id, line),
-    c as (select doc_id, cast(sum(coalesce(least(n, m), 0)) as bigint) as reorderings, cast(sum(n) as bigint) as all_n from o left join t using (line) group by doc_id)
+    c as (select doc_id, cast(sum(case when m is null then 0 else least(n, m) end) as bigint) as reorderings, cast(sum(n) as bigint) as all_n from o left join t using (line) group by doc_id)
     select doc_id, reorderings, all_n - reorderings as insertions, cast((select sum(m) from t) as bigint) - reorderings as deletions,
     60 * reorderings + 100 * (all_n - reorderings) + 100 * (cast((select sum(m) from t) as bigint) - reorderings) as score from c""")
 def bag_score_vs_target(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ def bag_scores(docs: DataFrame, target: DataFrame) -> DataFrame:
     own = lines(docs).groupBy("doc_id", "line").agg(F.count("*").alias("n"))
     aim = lines(target).groupBy(F.col("line").alias("aim")).agg(F.count("*").alias("m"))
     total = lines(target).agg(F.count("*").alias("total"))
-    common = F.coalesce(F.least("n", "m"), F.lit(0))
+    common = F.when(F.col("m").isNull(), 0).otherwise(F.least("n", "m"))  # least() skips nulls
     counted = own.join(aim, own.line == aim.aim, "left").groupBy("doc_id").agg(F.sum(common).alias("reorderings"), (F.sum("n") - F.sum(common)).alias("insertions"))
     counted = counted.withColumn("deletions", F.lit(total.first()["total"]) - F.col("reorderings"))
     return counted.withColumn("score", penalty(reorder=F.col("reorderings"), insert=F.col("insertions"), delete=F.col("deletions")))
