@@ -226,7 +226,7 @@ def shared_lengths(texts: list[bytes]) -> np.ndarray:
     table[np.arange(table.shape[1]) < sizes[:, None]] = np.frombuffer(b"".join(texts), np.uint8)
     out = np.zeros(len(texts), np.int64)
     for lo in range(1, len(texts), 65536):
-        part = table[lo - 1 : lo + 65535]
+        part = table[lo - 1 : lo + 65536]
         differ = part[1:] != part[:-1]
         out[lo : lo + 65536] = np.where(differ.any(1), differ.argmax(1), table.shape[1])
     return np.minimum(out, np.minimum(sizes, np.append(0, sizes[:-1])))

@@ -99,3 +99,9 @@ def test_query_equals_brute_force(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.op1_suffix_dedup(spark, str(tmp_path)).collect()}
     assert got == {k: (n, n - len(kept), len(spans), hashlib.sha256(kept).hexdigest()) for k, (n, spans, kept) in plain(docs).items()}
+
+
+def test_shared_lengths_of_many():
+    texts = sorted(f"{i:06d}".encode() for i in range(140_000))
+    plain = [0] + [next(k for k in range(7) if x[:k + 1] != y[: k + 1]) for x, y in zip(texts, texts[1:])]
+    assert shared_lengths(texts).tolist() == plain
