@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import read, stored, text_or_empty
+from quern.llm.common import CACHE_ENTRIES, read, stored, text_or_empty
 
 #: Bounds: labelled rows that the model is fitted on, terms of a lexicon, labelled documents that a term must stand in.
 SAMPLE, LEXICON, LEAST = 20_000, 500, 4
@@ -57,27 +57,42 @@ def terms(text: str) -> set[str]:
     return words | {w[:n] + "*" for w in words for n in PREFIXES if len(w) > n}
 
 
-def features(text: str, lexicon: dict[str, float]) -> list[float]:
+class Words(dict):
+    """What the features need of a word, kept for as many words as the cache may hold: weight, whether it is a hit, whether it is
+    obfuscated, the term hit, whether it is second-person, stretched, all capitals, a hidden hit, and its number of capitals."""
+
+    def __init__(self, lexicon: dict[str, float]):
+        super().__init__()
+        self.lexicon, self.room = lexicon, CACHE_ENTRIES
+
+    def __missing__(self, word: str) -> tuple:
+        p = plain(word)
+        at = [t for t in (p, *(p[:k] + "*" for k in PREFIXES if len(p) > k)) if t in self.lexicon]
+        score = max((self.lexicon[t] for t in at), default=0.0)
+        odd = not word.isalpha() and bool(INNER.search(EDGES.sub("", word)))
+        capitals = 0 if word.islower() else sum(map(str.isupper, word))
+        x = (score, bool(at), odd, at[0] if at else "", p in SECOND_PERSON, bool(STRETCHED.search(word)), len(word) > 1 and word.isupper(), bool(at) and p not in word.lower(), capitals)
+        if self.room:
+            self.room -= 1
+            self[word] = x
+        return x
+
+
+def features(text: str, known: Words) -> list[float]:
     words = WORD.findall(text)
     n, size = max(len(words), 1), max(len(text), 1)
-    known: dict[str, tuple] = {}
-    hits, weight, top, hidden, second, odd, stretched, caps = 0, 0.0, 0.0, 0, 0, 0, 0, 0
+    hits, weight, top, hidden, second, odd, stretched, caps, upper = 0, 0.0, 0.0, 0, 0, 0, 0, 0, 0
     found, places, persons = set(), [], []
-    for i, w in enumerate(words):
-        if (x := known.get(w)) is None:
-            p = plain(w)
-            at = [t for t in (p, *(p[:k] + "*" for k in PREFIXES if len(p) > k)) if t in lexicon]
-            score = max((lexicon[t] for t in at), default=0.0)
-            is_odd = bool(INNER.search(EDGES.sub("", w)))
-            x = known[w] = (score, bool(at), is_odd, at[0] if at else "", p in SECOND_PERSON, bool(STRETCHED.search(w)), len(w) > 1 and w.isupper(), bool(at) and p not in w.lower())
-        hits += x[1]
-        weight += x[0]
-        top = max(top, x[0])
+    for i, x in enumerate(map(known.__getitem__, words)):
         odd += x[2]
         stretched += x[5]
         caps += x[6]
-        hidden += x[7]
+        upper += x[8]
         if x[1]:
+            hits += 1
+            weight += x[0]
+            top = max(top, x[0])
+            hidden += x[7]
             found.add(x[3])
             places.append(i)
         if x[4]:
@@ -89,7 +104,6 @@ def features(text: str, lexicon: dict[str, float]) -> list[float]:
         k = np.searchsorted(b, a)
         gap = np.minimum(np.abs(a - b[np.minimum(k, len(b) - 1)]), np.abs(a - b[np.maximum(k - 1, 0)]))
         near = int((gap <= NEAR).sum())
-    upper = sum(map(str.isupper, text)) if not text.islower() else 0
     marks = sum(text.count(c) for c in ".,;:!?")
     symbols = sum(text.count(c) for c in "#*$%&@|<>")
     return [math.log1p(len(words)), hits / n, weight / n, math.log1p(hits), len(found), top, hidden / n, near / n, second / n, upper / size, caps / n, text.count("!") / size, text.count("?") / size, marks / size, odd / n, stretched / n, symbols / size]
@@ -220,7 +234,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             t, toxic, h = (c.to_pylist() for c in batch.columns)
-            x = [features(s, words[k]) for s, k in zip(t, h)]
+            known = [Words(w) for w in words[:2]]
+            x = [features(s, known[k]) for s, k in zip(t, h)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1), batch.column(2)], ["x", "toxic", "half"])
 
     rows = sample.mapInArrow(run, "x array<double>, toxic int, half int").toArrow()
@@ -240,8 +255,9 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     """key and score for each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Words(model.lexicon)
         for batch in batches:
-            x = np.array([features(t, model.lexicon) for t in batch.column(1).to_pylist()]).reshape(-1, len(NAMES))
+            x = np.array([features(t, known) for t in batch.column(1).to_pylist()]).reshape(-1, len(NAMES))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(x))], ["key", "score"])
 
     kind = docs.schema[key].dataType.simpleString()
