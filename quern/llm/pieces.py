@@ -36,13 +36,17 @@ class Pieces:
 
     def merged(self, text: str) -> list[str]:
         """Joins, best rank first and leftmost first among equals, neighbours whose concatenation is a piece."""
-        parts = list(text)
-        while True:
-            best = min(((self.rank[t], i) for i in range(len(parts) - 1) if (t := parts[i] + parts[i + 1]) in self.rank), default=None)
-            if best is None:
-                return parts
-            i = best[1]
+        parts, rank, none = list(text), self.rank, float("inf")
+        joins = [rank.get(a + b, none) for a, b in zip(parts, parts[1:])]
+        while joins and (best := min(joins)) < none:
+            i = joins.index(best)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del joins[i]
+            if i < len(joins):
+                joins[i] = rank.get(parts[i] + parts[i + 1], none)
+            if i:
+                joins[i - 1] = rank.get(parts[i - 1] + parts[i], none)
+        return parts
 
     def alone(self) -> list[str]:
         """The pieces that encode, alone, as one token: the others can never come out of merging."""
