@@ -33,12 +33,14 @@ RULES = {
     "slack": (r"xox[abprs]-[A-Za-z0-9-]{10,}", None),
     "jwt": (r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", None),
 }
+#: What Spark asks of a match: of assign, 8 characters of the value itself. (The SQL asks for any 8 last characters of the match.)
+MUST = {kind: must for kind, (_, must) in RULES.items()} | {"assign": "^" + RULES["assign"][0].removesuffix("+)") + "{8})"}
 BASE = ("assign", "access", "hex")
 
 
 def spans(text: Column, kind: str, order: int) -> Column:
     """array<struct<start, kind order, kind, end>> of a rule's matches, in code points: what stands between matches and the matches' own lengths add up."""
-    pattern, must = RULES[kind]
+    pattern, must = RULES[kind][0], MUST[kind]
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
     lengths = F.zip_with(between, found, lambda b, m: F.struct(F.length(b).alias("gap"), F.length(m).alias("n"), m.alias("m")))
