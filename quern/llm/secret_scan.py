@@ -10,7 +10,8 @@ all; hex: 32 or more lowercase hexadecimal digits; and beyond these three: pem (
 (gh?_ tokens), slack (xox?- tokens), jwt (three base64url parts of which two begin with eyJ).
 
 Defined cases: a null text is empty; an empty text has no findings; repeated rows each give a row; an empty table gives an
-empty result; other columns are not read.
+empty result; other columns are not read. Paths may be null or shared: a text whose rows all have a null key is scanned like
+any other (the SQL, which joins on the key, loses the findings of such rows).
 """
 
 from __future__ import annotations
@@ -71,7 +72,7 @@ def secret_scan(docs: DataFrame, ledger: DataFrame | None = None, version: int =
     if ledger is not None:
         unseen = unseen.join(ledger.where(F.col("version") == version).select("blob"), "blob", "left_anti")
     first = unseen.select(F.col("key").alias("_key"), F.col("blob").alias("_blob")).hint("shuffle_hash")
-    texts = versions.join(first, (versions.key == first._key) & (versions.blob == first._blob), "left_semi").select("blob", "text")
+    texts = versions.join(first, versions.key.eqNullSafe(first._key) & (versions.blob == first._blob), "left_semi").select("blob", "text")
     new = checkpointed(scan(texts).dropDuplicates(["blob"]).withColumn("version", F.lit(version)).select("blob", "version", "findings"))
     after = new if ledger is None else ledger.select("blob", "version", "findings").union(new)
     hits = after.where((F.col("version") == version) & (F.size("findings") > 0)).select("blob", "findings")
