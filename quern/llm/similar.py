@@ -1,0 +1,131 @@
+"""Near-duplicates by their sets of shingles (runs of words): components of all pairs with a Jaccard similarity of 4/5 or more.
+
+1. Each text becomes a set of 64-bit hashes of its shingles. Texts with equal sets are one node.
+2. Hashes are put in one order for all texts, rare ones first. Two sets of that similarity share one of the first
+   n - ceil(4n/5) + 1 of each, so texts that share none of these need not be compared. Any order gives the same pairs; it takes
+   shingles that many texts have to the end, so that they bring few texts together.
+3. Of texts that meet at a shingle each is compared with the smallest node there; after that, only those that are in
+   different components. Links are pairs whose whole sets are similar enough.
+
+Defined cases: a null text is empty; a text with fewer words than a shingle has one shingle of all its words, and texts
+without words are equal; an empty table gives an empty result. Hashes of 64 bits stand for shingles and sets.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from quern.llm.common import stored
+from quern.llm.components import components
+
+SEED, BUCKETS = 42, 1 << 20
+
+
+def shingles(text: str, words: int) -> np.ndarray:
+    """The distinct hashes, sorted. bytes.lower() and bytes.split() know A-Z and \\x20 \\x09-\\x0D only."""
+    import xxhash
+
+    ws = text.encode().lower().split()
+    h = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in ws), np.uint64, len(ws))
+    n = max(1, len(h) - words + 1)
+    mixed = np.full(n, len(h) if len(h) < words else words, np.uint64)
+    for k in range(min(words, len(h))):
+        mixed = (mixed ^ h[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    mixed *= np.uint64(0xBF58476D1CE4E5B9)
+    return np.unique(mixed ^ mixed >> np.uint64(32))
+
+
+def common_buckets(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, texts) of shingles that many texts have, as far as single tasks see them; only the order depends on it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                np.add.at(counts, shingles(t, words) % BUCKETS, 1)
+        many = np.flatnonzero(counts >= max(4, 4 * counts.mean()))
+        yield pa.RecordBatch.from_arrays([pa.array(many), pa.array(counts[many])], ["bucket", "n"])
+
+    found = texts.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "bucket").limit(BUCKETS // 4).collect()
+    return np.array([r.bucket for r in found], np.int64), np.array([r.n for r in found], np.int64)
+
+
+def prefixes(texts: DataFrame, words: int) -> DataFrame:
+    """(row, node, n, prefix) of texts(row, text): n is the size of the set."""
+    buckets, weights = common_buckets(texts, words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        weight = np.zeros(BUCKETS, np.int64)
+        weight[buckets] = weights
+        for batch in batches:
+            node, n, first = [], [], []
+            for t in batch.column(1).to_pylist():
+                h = shingles(t, words)
+                take = len(h) - (4 * len(h) + 4) // 5 + 1
+                node.append(xxhash.xxh64_intdigest(h.tobytes(), SEED) - (1 << 63))
+                n.append(len(h))
+                first.append(h[np.argsort(weight[h % BUCKETS], kind="stable")[:take]].view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.int64()), pa.array(n, pa.int32()), pa.array(first, pa.list_(pa.int64()))], ["row", "node", "n", "prefix"])
+
+    return texts.select("row", "text").mapInArrow(run, "row binary, node long, n int, prefix array<long>")
+
+
+def whole_sets(texts: DataFrame, words: int) -> DataFrame:
+    """(node, shingles) of texts(node, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t, words).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, shingles array<long>")
+
+
+def enough(common: Column, n: Column, m: Column) -> Column:
+    """Whether sets of n and m with so many in common have a similarity of 4/5."""
+    return 9 * common >= 4 * (n + m)
+
+
+def similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """The pairs(a, b) whose whole sets are similar enough; only texts of these nodes are read again."""
+    pairs = stored(pairs)
+    named = stored(nodes.select("node", "row").join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi"))
+    sets = stored(whole_sets(texts.join(named, "row").select("node", "text"), words).dropDuplicates(["node"]))
+    a, b = (sets.select(F.col("node").alias(k), F.col("shingles").alias(f"_{k}")) for k in "ab")
+    both = pairs.join(a, "a").join(b, "b")
+    return stored(both.where(enough(F.size(F.array_intersect("_a", "_b")), F.size("_a"), F.size("_b"))).select("a", "b"))
+
+
+def similar_texts(texts: DataFrame, words: int = 5) -> DataFrame:
+    """(row, root) for texts(row, text): rows, a binary name of each, have one root if chains of links join their texts.
+
+    All that two sets of n and m share, of which c among their first p and q, is at most c + max(n - p, m - q): what is
+    shared beyond the prefix that ends first lies in the rest of its set. Pairs that meet by chance fall short of this.
+    """
+    rows = stored(prefixes(texts, words))
+    nodes = stored(rows.groupBy("node").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
+    entries = nodes.select("node", "n", F.size("prefix").alias("p"), F.explode("prefix").alias("token"))
+    shared = entries.groupBy("token").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("token", "hub")
+    meet = stored(entries.join(shared, "token"))
+    # Which hubs are tried decides only how much is left for the second round.
+    hubs = meet.where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("p").alias("p"))
+    links = similar(hubs.where(enough(F.col("c") + F.col("n") - F.col("p"), F.col("n"), F.col("n"))).select(F.col("node").alias("a"), F.col("hub").alias("b")), nodes, texts, words)
+    rooted = meet.drop("hub").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    apart = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
+    left = stored(rooted.join(apart, "token", "left_semi"))
+    a, b = (left.select("token", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "p", "root"))) for k in "ab")
+    n, m = F.col("n_a"), F.col("n_b")
+    met = a.join(b, "token").where("root_a < root_b").where(enough(F.least(n, m), n, m))
+    met = met.groupBy("node_a", "node_b").agg(F.count("*").alias("c"), *(F.first(c).alias(c) for c in ("n_a", "n_b", "p_a", "p_b")))
+    pairs = met.where(enough(F.col("c") + F.greatest(n - F.col("p_a"), m - F.col("p_b")), n, m)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    roots = components(links.union(similar(pairs, nodes, texts, words)))
+    named = nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    return rows.select("row", "node").join(named, "node").select("row", "root")
