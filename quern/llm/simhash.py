@@ -1,46 +1,73 @@
 """SimHash near-duplicates with a hierarchical index in Gray order.
 
 1. A fingerprint for each document, in the tasks that read it.
-2. Distinct fingerprints are dealt to groups in which any two that differ in at most `distance` bits meet: the 64 bits
-   fall into distance+1 blocks of which one must be equal, and the other bits again into distance+1 blocks of which one
-   must be equal. A group's key fixes about 35 bits, so groups stay small however many documents share one fingerprint.
-3. A group, sorted by Gray rank, becomes a tree: a node takes out the bits that all fingerprints below it share and that
-   no node above has taken. A search adds up the differences on its way down and drops whole nodes above `distance`.
-4. A group gives a spanning forest of its links (no pairs of whole cliques); `components` joins the forests.
-
-Defined cases: a null or empty text, or one without words, has fingerprint 0 and links like any other; repeated rows
-have equal fingerprints and so one component; an empty table gives an empty result; other columns are not read.
+2. Index. Codes are sorted several times, each time with other bits in front (`bit_orders`) and by Gray rank, so that codes
+   that agree in the leading bits lie side by side, and so do codes that share further bits. The sorted list is dealt to
+   range partitions and cut there into nodes of a bounded size, between runs of equal leading bits where that is possible.
+3. A node is the root of a tree: each of its nodes takes out the masked bit pattern that all codes below it share and that no
+   node above has taken. A search adds up the differences on its way down and drops whole groups above `distance`.
+4. A run that is cut (by its size, or by a partition's end) goes on in other nodes: its parts are joined by their leading
+   bits, pairs of parts whose shared patterns differ too much are pruned before their codes move, and the others are searched.
+   So no task holds more than two nodes, however many codes are alike.
+5. Each node gives a spanning forest of its links, nearest ones first (or several, without common links), no pairs of whole
+   cliques; `components` joins forests.
+
+Up to three bits, any two codes within `distance` surely meet. Wider searches (`near_texts`: five words, Jaccard similarity of
+4/5) choose leading bits at random, so many that codes with 3/5 of `distance` bits between them meet with a chance of RECALL;
+their links are candidates if a second fingerprint is near as well, and count after a check of the whole shingle sets.
+
+Defined cases: a null or empty text, or one without words, has fingerprint 0 and links like any other; repeated rows have
+equal fingerprints and so one component; null keys are passed over when the smallest key is sought, so a component has a null
+component_id only if all its keys are null; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import checkpointed, partitions, read, text_or_empty
+from quern.llm.common import checkpointed, partitions, read, stored, text_or_empty
 from quern.llm.components import components
 
 SEED = 42
-LEAF, FAN, BLOCK = 32, 8, 2048
+#: Codes of a node (narrow and wide searches), of a tree's leaf, children of a tree's node.
+NODE, WIDE_NODE, LEAF, FAN = 4096, 1024, 32, 8
+#: Wide searches: codes that share their leading bits (on average), and the chance that two codes at 3/5 of the distance meet.
+GROUP, RECALL = 1024, 0.999
+#: Near copies by similarity: words of a shingle (the similarity is in `enough`), bits between fingerprints of candidates, bits
+#: between these and second fingerprints together, forests of candidates. Of 128 bits, 19 +- 4 differ at a similarity of 4/5.
+WORDS, WIDE, WIDE_LIMIT, LAYERS = 5, 17, 30, 8
 
 
-def fingerprint(text: str, words: int = 3) -> int:
-    """As a signed 64-bit number. bytes.lower() and bytes.split() know A-Z and \\x20 \\x09-\\x0D only."""
+def shingle_hashes(text: str, words: int) -> np.ndarray:
+    """XXH64 of each shingle, repeats included. bytes.lower() and bytes.split() know A-Z and \\x20 \\x09-\\x0D only."""
     import xxhash
 
     ws = text.encode().lower().split()
     if not ws:
-        return 0
-    n = max(1, len(ws) - words + 1)
+        return np.zeros(0, np.uint64)
     joined = map(b" ".join, zip(*(ws[i:] for i in range(words)))) if len(ws) >= words else [b" ".join(ws)]
-    h = np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=SEED), joined), np.uint64, n)
-    counts = sum(np.unpackbits(h[i : i + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64) for i in range(0, n, 65536))
-    return int(np.packbits(2 * counts > n, bitorder="little").view(np.int64)[0])
+    return np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=SEED), joined), np.uint64, max(1, len(ws) - words + 1))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the numbers, as a signed 64-bit number."""
+    if not len(h):
+        return 0
+    counts = sum(np.unpackbits(h[i : i + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64) for i in range(0, len(h), 65536))
+    return int(np.packbits(2 * counts > len(h), bitorder="little").view(np.int64)[0])
+
+
+def fingerprint(text: str, words: int = 3) -> int:
+    return majority(shingle_hashes(text, words))
 
 
 def fingerprints(docs: DataFrame, words: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -54,115 +81,193 @@ def fingerprints(docs: DataFrame, words: int = 3, key: str = "doc_id", text: str
     return docs.select(F.col(key).alias("key"), text_or_empty(text).alias("text")).mapInArrow(run, f"key {kind}, fp long").withColumnRenamed("key", key)
 
 
-def masks(distance: int) -> list[int]:
-    """Signed 64-bit masks; two words that differ in at most `distance` bits agree under one of them."""
-
-    def blocks(bits: list[int]) -> list[list[int]]:
-        n = distance + 1
-        return [bits[len(bits) * i // n : len(bits) * (i + 1) // n] for i in range(n)]
+def bit_orders(distance: int, codes: int) -> tuple[list[list[int]], int]:
+    """(orders of the 64 bits, number of leading bits): two codes within `distance` agree in the leading bits of one order."""
+    if distance <= 3:
+        blocks = [list(range(64 * i // (distance + 1), 64 * (i + 1) // (distance + 1))) for i in range(distance + 1)]
+        return [sum(blocks[i:] + blocks[:i], []) for i in range(distance + 1)], min(map(len, blocks))
+    lead, near = min(max(8, math.ceil(math.log2(max(codes, 1) / GROUP))), 24), distance * 3 // 5
+    meet = math.comb(64 - near, lead) / math.comb(64, lead)
+    rnd = np.random.default_rng(SEED)
+    return [rnd.permutation(64).tolist() for _ in range(math.ceil(math.log(1 - RECALL) / math.log(1 - meet)))], lead
 
-    def number(bits: list[int]) -> int:
-        return int(np.array(sum(1 << b for b in bits), np.uint64).astype(np.int64))
 
-    outer = blocks(list(range(64)))
-    return [number(o + i) for k, o in enumerate(outer) for i in blocks([b for j, x in enumerate(outer) if j != k for b in x])]
+def permuted(codes: np.ndarray, order: list[int]) -> np.ndarray:
+    """The codes with bit order[0] as the highest, order[1] as the next, and so on."""
+    place, byte, out = np.empty(64, np.uint64), np.arange(256, dtype=np.uint64), np.zeros(len(codes), np.uint64)
+    place[order] = np.arange(63, -1, -1, dtype=np.uint64)
+    for k in range(8):
+        table = np.zeros(256, np.uint64)
+        for t in range(8):
+            table |= (byte >> np.uint64(t) & np.uint64(1)) << place[8 * k + t]
+        out |= table[(codes >> np.uint64(8 * k) & np.uint64(255)).astype(np.int64)]
+    return out
 
 
-def gray_rank(fp: Column) -> Column:
-    """The place of a code in Gray order: each bit xor all bits above it."""
+def gray_rank(codes: np.ndarray) -> np.ndarray:
+    """The place of each code in Gray order: each bit xor all bits above it. Its inverse is rank ^ rank >> 1."""
     for shift in (1, 2, 4, 8, 16, 32):
-        fp = fp.bitwiseXOR(F.shiftrightunsigned(fp, shift))
-    return fp
-
-
-class Forest:
-    """Union-find over 0..n-1."""
-
-    def __init__(self, n: int):
-        self.up = np.arange(n)
+        codes = codes ^ codes >> np.uint64(shift)
+    return codes
 
-    def root(self, i: int) -> int:
-        up = self.up
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return int(i)
-
-    def flat(self) -> np.ndarray:
-        while (self.up[self.up] != self.up).any():
-            self.up = self.up[self.up]
-        return self.up
-
-    def join(self, a: np.ndarray, b: np.ndarray) -> None:
-        up = self.flat()
-        pairs = np.stack([up[a], up[b]], 1)
-        for x, y in np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0).tolist():
-            x, y = self.root(x), self.root(y)
-            self.up[max(x, y)] = min(x, y)
 
+def search(codes: np.ndarray, asked: np.ndarray, distance: int, same: bool, seen: Counter) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index in asked, index in codes, differing bits) of all pairs within `distance`; codes are in Gray order, and if asked is
+    the same array, each pair comes once. seen counts comparisons, and those spared by pruning above the leaves."""
+    none = (np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint8))
+    found = [none]
 
-def grouped(codes: np.ndarray, distance: int) -> np.ndarray:
-    """For each of the distinct codes, in Gray order, the index of the first code of its component."""
-    forest = Forest(len(codes))
-    everything = ~np.uint64(0)
-
-    def search(lo: int, hi: int, taken: np.uint64, asked: np.ndarray, spent: np.ndarray) -> None:
-        asked, spent = (asked, spent) if lo < asked[-1] else (asked[:0], spent[:0])
-        if not len(asked):
-            return
+    def visit(lo: int, hi: int, taken: np.uint64, who: np.ndarray, spent: np.ndarray) -> None:
         own = codes[lo:hi]
         shared = ~(np.bitwise_or.reduce(own) ^ np.bitwise_and.reduce(own)) & ~taken
-        spent = spent + np.bitwise_count((codes[asked] ^ own[0]) & shared)
+        if same:
+            who, spent = who[: np.searchsorted(who, hi)], spent[: np.searchsorted(who, hi)]
+        spent = spent + np.bitwise_count((asked[who] ^ own[0]) & shared)
         near = spent <= distance
-        asked, spent, taken = asked[near], spent[near], taken | shared
+        who, spent, taken = who[near], spent[near], taken | shared
+        if hi - lo > LEAF:
+            seen["spared"] += int(len(near) - near.sum()) * (hi - lo)
+        if not len(who):
+            return
         if hi - lo <= LEAF:
-            apart = spent[:, None] + np.bitwise_count((codes[asked][:, None] ^ own[None, :]) & (everything ^ taken))
+            apart = spent[:, None] + np.bitwise_count((asked[who][:, None] ^ own) & ~taken)
+            seen["compared"] += apart.size
             a, b = np.nonzero(apart <= distance)
-            forest.join(asked[a], b + lo)
-            return
-        step = -(-(hi - lo) // FAN)
-        for at in range(lo, hi, step) if len(asked) else ():
-            search(at, min(at + step, hi), taken, asked, spent)
+            keep = who[a] < b + lo if same else slice(None)
+            found.append((who[a][keep], (b + lo)[keep].astype(np.int32), apart[a, b][keep]))
+        else:
+            step = -(-(hi - lo) // FAN)
+            for at in range(lo, hi, step):
+                visit(at, min(at + step, hi), taken, who, spent)
 
-    for at in range(0, len(codes), BLOCK):
-        asked = np.arange(at, min(at + BLOCK, len(codes)))
-        search(0, len(codes), np.uint64(0), asked, np.zeros(len(asked), np.int64))
-    return forest.flat()
+    if len(codes) and len(asked):
+        visit(0, len(codes), np.uint64(0), np.arange(len(asked), dtype=np.int32), np.zeros(len(asked), np.uint8))
+    return tuple(np.concatenate(c) for c in zip(*found))
 
 
-def links(fps: DataFrame, distance: int) -> DataFrame:
-    """(a, b): for the distinct numbers in fps.fp, a forest that joins what chains of links at `distance` join."""
-    keyed = fps.select("fp", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(m)).alias("m")) for k, m in enumerate(masks(distance))))).alias("key"))
-    keyed = keyed.select("key.k", "key.m", "fp").repartition(partitions(fps.sparkSession), "k", "m").sortWithinPartitions("k", "m", gray_rank(F.col("fp")))
+def forests(n: int, a: np.ndarray, b: np.ndarray, apart: np.ndarray, layers: int) -> tuple[np.ndarray, np.ndarray]:
+    """(indices, layers): a spanning forest of the links, then one of the links that are left, and so on."""
+    left, out = np.arange(len(a)), [(np.zeros(0, np.int64),) * 2]
+    for k in range(layers):
+        own = left[forest(n, a[left], b[left], apart[left])]
+        out.append((own, np.full(len(own), k)))
+        left = np.setdiff1d(left, own, assume_unique=True)
+    return tuple(np.concatenate(c) for c in zip(*out))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = [np.zeros((0, 3), np.int64)]  # the rows of the group that may go on
-        for batch in _with_end(batches):
-            if batch is not None:
-                rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], 1)
-                if not len(rows):
-                    continue
-                held.append(rows)
-                if (rows[-1, :2] == held[0][:1, :2]).all() and len(held[0]):
-                    continue  # one group, and it may go on
-            rows = np.concatenate(held)
-            starts = np.concatenate([[0], np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(1)) + 1]) if len(rows) else np.zeros(0, np.int64)
-            ends = np.append(starts[1:], len(rows))
-            if batch is not None:  # the last group may go on
-                held = [rows[starts[-1] :]]
-                starts, ends = starts[:-1], ends[:-1]
-            many = ends - starts > 1
-            a, b = [], []
-            for lo, hi in zip(starts[many].tolist(), ends[many].tolist()):
-                codes = rows[lo:hi, 2]
-                first = grouped(codes.view(np.uint64) if codes.flags.c_contiguous else codes.copy().view(np.uint64), distance)
-                later = np.flatnonzero(first != np.arange(hi - lo))
-                a.append(codes[later])
-                b.append(codes[first[later]])
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
-
-    return keyed.mapInArrow(run, "a long, b long")
+
+def forest(n: int, a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Of the links a-b among 0..n-1, the indices of a spanning forest that prefers near ones."""
+    up, chosen = np.arange(n), []
+
+    def root(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return int(i)
+
+    order = np.argsort(apart, kind="stable")
+    for at in range(0, len(order), 4096):
+        while (up[up] != up).any():
+            up = up[up]
+        part = order[at : at + 4096]
+        part = part[up[a[part]] != up[b[part]]]
+        for i, x, y in zip(part.tolist(), a[part].tolist(), b[part].tolist()):
+            x, y = root(x), root(y)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+                chosen.append(i)
+    return np.array(chosen, np.int64)
+
+
+PART = "k int, lead long, node long, low long, high long, codes binary"
+
+
+def within(found: tuple[np.ndarray, ...], one: np.ndarray, two: np.ndarray, limit: int) -> tuple[np.ndarray, ...]:
+    """Of the pairs found (a in one, b in two, apart), those that differ in `limit` bits at most with the second words of their codes."""
+    a, b, apart = found
+    apart = apart.astype(np.int32) + np.bitwise_count((one[a] ^ two[b]).view(np.uint64))
+    return a[apart <= limit], b[apart <= limit], apart[apart <= limit]
+
+
+def node_rows(batches: Iterator[pa.RecordBatch], distance: int, limit: int, lead: int, size: int, layers: int) -> Iterator[pa.RecordBatch]:
+    """Of a range partition of (k, rank, id, more), sorted: the links (a, b, apart, layer) inside its nodes, and the parts of runs of equal
+    leading bits that may go on outside of their node."""
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    names = ["a", "b", "apart", "layer", "k", "lead", "node", "low", "high", "codes"]
+    number = TaskContext.get().partitionId() << 32
+
+    def rows(k: int, codes: np.ndarray, ids: np.ndarray, more: np.ndarray, is_open: tuple[bool, bool]) -> pa.RecordBatch:
+        nonlocal number
+        a, b, apart = within(search(codes, codes, distance, True, Counter()), more, more, limit)
+        links, layer = forests(len(codes), a, b, apart, layers)
+        heads = gray_rank(codes) >> np.uint64(64 - lead)
+        runs = {tuple(int(np.searchsorted(heads, h, side)) for side in ("left", "right")) for h, is_cut in zip(heads[[0, -1]], is_open) if is_cut}
+        columns = [[None] * len(links) for _ in range(6)]
+        for lo, hi in sorted(runs):
+            own, number = codes[lo:hi], number + 1
+            low, high = (int(f.reduce(own).view(np.int64)) for f in (np.bitwise_and, np.bitwise_or))
+            for column, x in zip(columns, (k, int(heads[lo]), number, low, high, own.tobytes() + ids[lo:hi].tobytes() + more[lo:hi].tobytes())):
+                column.append(x)
+        none = [None] * len(runs)
+        both = [ids[a[links]].tolist() + none, ids[b[links]].tolist() + none, apart[links].tolist() + none, layer.tolist() + none, *columns]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(both, kinds)], names)
+
+    held, left = None, True  # rows not yet in a node (k, code, id, more); whether what is left of them may belong to their first run
+    for batch in _with_end(batches):
+        if batch is not None:
+            k, rank, own, more = (c.to_numpy() for c in batch.columns)
+            rank = rank.view(np.uint64) ^ np.uint64(1 << 63)
+            new = (k, rank ^ rank >> np.uint64(1), own, more)
+            held = new if held is None else tuple(np.concatenate(c) for c in zip(held, new))
+        while held is not None and len(held[0]) and (batch is None or len(held[0]) > size or held[0][0] != held[0][-1]):
+            k, codes = held[:2]
+            end = min(int(np.searchsorted(k, k[0], "right")), size)
+            is_cut = end < len(k) and k[end] == k[0]
+            if is_cut:  # rather between two runs than inside one
+                heads = gray_rank(codes[: end + 1]) >> np.uint64(64 - lead)
+                turns = np.flatnonzero(heads[1:] != heads[:-1]) + 1
+                if len(turns):
+                    end, is_cut = int(turns[-1]), False
+            last = batch is None and end == len(k)
+            yield rows(int(k[0]), *(c[:end] for c in held[1:]), (left, is_cut or last))
+            left = is_cut
+            held = tuple(c[end:] for c in held)
+
+
+def pair_rows(batches: Iterator[pa.RecordBatch], distance: int, limit: int, layers: int) -> Iterator[pa.RecordBatch]:
+    """The links between the codes of two parts, for each row of two parts."""
+    for batch in batches:
+        for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            (c, i, m), (d, j, n) = (np.frombuffer(z, np.uint64).reshape(3, -1) for z in (x, y))
+            a, b, apart = within(search(d, c, distance, False, Counter()), m, n, limit)
+            links, layer = forests(len(c) + len(d), a, b + len(c), apart, layers)
+            columns = [i.view(np.int64)[a[links]], j.view(np.int64)[b[links]], apart[links].astype(np.int32), layer.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["a", "b", "apart", "layer"])
+
+
+def links(codes: DataFrame, distance: int, limit: int | None = None, layers: int = 1, node: int | None = None) -> DataFrame:
+    """(a, b, apart, layer): forests of links between codes(fp, id, more), distinct rows that are stored; see above for what they
+    join. Links differ in `distance` bits of fp at most, and if there is a limit, in so many of fp and more together.
+    """
+    limit = distance if limit is None else limit
+    orders, lead = bit_orders(distance, codes.count() if distance > 3 else 0)
+    size = node or (NODE if distance <= 3 else WIDE_NODE)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = batch.column(0).to_numpy().view(np.uint64)
+            for k, order in enumerate(orders):
+                rank = gray_rank(permuted(fp, order)) ^ np.uint64(1 << 63)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), k, np.int32)), pa.array(rank.view(np.int64)), *batch.columns[1:]], ["k", "rank", "id", "more"])
+
+    ranked = codes.select("fp", "id", "more").mapInArrow(spread, "k int, rank long, id long, more long")
+    ranked = ranked.repartitionByRange(partitions(codes.sparkSession), "k", "rank", "id").sortWithinPartitions("k", "rank", "id")
+    found = stored(ranked.mapInArrow(partial(node_rows, distance=distance, limit=limit, lead=lead, size=size, layers=layers), f"a long, b long, apart int, layer int, {PART}"))
+    x, y = (found.where("codes is not null").select("k", "lead", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "low", "high", "codes"))) for s in "xy")
+    both = (F.col("low_x").bitwiseXOR(F.col("low_y"))).bitwiseAND(F.bitwise_not(F.col("low_x").bitwiseXOR(F.col("high_x")))).bitwiseAND(F.bitwise_not(F.col("low_y").bitwiseXOR(F.col("high_y"))))
+    pairs = x.join(y, ["k", "lead"]).where((F.col("node_x") < F.col("node_y")) & (F.bit_count(both) <= distance)).select("codes_x", "codes_y")
+    across = pairs.mapInArrow(partial(pair_rows, distance=distance, limit=limit, layers=layers), "a long, b long, apart int, layer int")
+    return found.where("codes is null").select("a", "b", "apart", "layer").union(across)
 
 
 def _with_end(batches: Iterator) -> Iterator:
@@ -173,13 +278,92 @@ def _with_end(batches: Iterator) -> Iterator:
 def near_duplicates(docs: DataFrame, distance: int = 2, words: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, fp and component_id, the smallest key that chains of links reach, for each row of docs."""
     fps = checkpointed(fingerprints(docs, words, key, text))
-    nodes = fps.groupBy("fp").agg(F.min(key).alias("least"))
-    roots = components(links(nodes.select("fp"), distance))
+    nodes = checkpointed(fps.groupBy("fp").agg(F.min(key).alias("least")))
+    roots = components(links(nodes.select("fp", F.col("fp").alias("id"), F.lit(0).cast("long").alias("more")), distance).select("a", "b"))
     named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     lowest = named.groupBy("root").agg(F.min("least").alias("component_id"))
     return fps.join(named.select("fp", "root").join(lowest, "root").select("fp", "component_id"), "fp").select(key, "fp", "component_id")
 
 
+# Near copies by similarity: the index proposes, whole shingle sets decide.
+
+
+def sketches(texts: DataFrame, words: int) -> DataFrame:
+    """(row, node, fp, more) of texts(row, text): node is a hash of the set of shingles, fp the fingerprint, more a second one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            h = [shingle_hashes(t, words) for t in batch.column(1).to_pylist()]
+            nodes = [xxhash.xxh64_intdigest(np.unique(x).tobytes(), SEED) - (1 << 63) for x in h]
+            words_ = [pa.array([majority(f(x)) for x in h], pa.int64()) for f in (lambda x: x, mixed)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), *words_], ["row", "node", "fp", "more"])
+
+    return texts.select("row", "text").mapInArrow(run, "row binary, node long, fp long, more long")
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Other hashes of the same things."""
+    h = (h ^ h >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ h >> np.uint64(32)
+
+
+def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
+    """(node, shingles) of texts(node, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, shingles array<long>")
+
+
+def enough(common: Column, n: Column, m: Column) -> Column:
+    """Whether sets of n and m with so many in common have a Jaccard similarity of 4/5."""
+    return 9 * common >= 4 * (n + m)
+
+
+def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of pairs(a, b) whose sets(node, shingles) are similar enough."""
+    a, b = (sets.select(F.col("node").alias(k), F.col("shingles").alias(f"_{k}")) for k in "ab")
+    both = pairs.join(a, "a").join(b, "b")
+    return stored(both.where(enough(F.size(F.array_intersect("_a", "_b")), F.size("_a"), F.size("_b"))).select("a", "b"))
+
+
+def near_texts(texts: DataFrame, words: int = WORDS, distance: int = WIDE, limit: int = WIDE_LIMIT, layers: int = LAYERS) -> DataFrame:
+    """(row, root) for texts(row, text): rows, a binary name of each, have one root if chains of links join their texts.
+
+    A link is a Jaccard similarity of 4/5 or more between sets of shingles; equal sets are one node. The index proposes
+    `layers` forests of near fingerprints from each node and order: all pairs of a group of up to 2 * layers codes, and a number
+    of pairs in proportion to a larger one. They are checked in turns: each node's nearest one, the first forests, the rest; of
+    the later turns only what is not joined yet.
+    """
+    rows = stored(sketches(texts, words))
+    nodes = stored(rows.groupBy("node").agg(F.min("row").alias("row"), F.first("fp").alias("fp"), F.first("more").alias("more")))
+    found = links(nodes.select("fp", F.col("node").alias("id"), "more"), distance, limit, layers)
+    found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "apart", "layer").groupBy("a", "b").agg(F.first("apart").alias("apart"), F.min("layer").alias("layer"))
+    found = stored(found)
+    ends = found.select("a", "b", "apart").union(found.select("b", "a", "apart"))
+    asked = stored(nodes.select("node", "row").join(ends.select(F.col("a").alias("node")).distinct(), "node", "left_semi"))
+    sets = stored(shingle_sets(texts.join(asked, "row").select("node", "text"), words).dropDuplicates(["node"]))
+    nearest = ends.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("x")).select(F.least("a", "x.b").alias("a"), F.greatest("a", "x.b").alias("b"))
+    linked, roots, tried = None, None, None
+    for turn in (nearest.distinct(), found.where("layer = 0").select("a", "b"), found.where("layer > 0").select("a", "b")):
+        if roots is not None:
+            left, right = (roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
+            turn = turn.join(tried, ["a", "b"], "left_anti").join(left, "a", "left").join(right, "b", "left")
+            turn = turn.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+        turn = stored(turn)
+        tried = turn if tried is None else tried.union(turn)
+        linked = similar(turn, sets) if linked is None else linked.union(similar(turn, sets))
+        roots = stored(components(linked))
+    named = nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    return rows.select("row", "node").join(named, "node").select("row", "root")
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

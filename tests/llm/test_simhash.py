@@ -1,9 +1,10 @@
 import random
+from collections import Counter
 
 import numpy as np
 import xxhash
 
-from quern.llm.simhash import fingerprint, grouped, masks, near_duplicates
+from quern.llm.simhash import bit_orders, fingerprint, forest, gray_rank, links, near_duplicates, permuted, search
 
 
 def plain_fingerprint(text):
@@ -35,35 +36,76 @@ def plain_components(keys, fps, distance):
     return {k: lowest[root(i)] for i, k in enumerate(keys)}
 
 
-def test_masks_let_every_near_pair_meet():
-    rnd = random.Random(3)
-    ms = [m & (1 << 64) - 1 for m in masks(2)]
-    for _ in range(3000):
-        bits = rnd.sample(range(64), 2)
-        diff = sum(1 << b for b in bits)
-        assert any(diff & m == 0 for m in ms)
+def clustered(rnd, size, flips):
+    centres, codes = [rnd.getrandbits(64) for _ in range(max(1, size // 60))], set()
+    while len(codes) < size:
+        c = rnd.choice(centres)
+        for b in rnd.sample(range(64), rnd.randint(0, flips)):
+            c ^= 1 << b
+        codes.add(c)
+    return sorted(codes, key=lambda c: int(gray_rank(np.array([c], np.uint64))[0]))
 
 
-def test_group_search_equals_all_pairs():
+def test_orders_let_every_near_pair_meet():
+    rnd = random.Random(3)
+    for distance in (1, 2, 3):
+        orders, lead = bit_orders(distance, 0)
+        for _ in range(2000):
+            diff = set(rnd.sample(range(64), distance))
+            assert any(not diff & set(o[:lead]) for o in orders)
+    orders, lead = bit_orders(17, 5_000_000)
+    assert lead == 13 and all(sorted(o) == list(range(64)) for o in orders)
+    met = [any(not diff & set(o[:lead]) for o in orders) for diff in (set(rnd.sample(range(64), 10)) for _ in range(2000))]
+    assert np.mean(met) > 0.99
+    codes = np.array([rnd.getrandbits(64) for _ in range(50)], np.uint64)
+    moved = permuted(codes, orders[0])
+    assert [int(m) for m in moved] == [sum((int(c) >> b & 1) << 63 - i for i, b in enumerate(orders[0])) for c in codes]
+    assert (gray_rank(codes) ^ gray_rank(codes) >> np.uint64(1) == codes).all()
+
+
+def test_tree_search_equals_all_pairs_and_prunes_groups():
     rnd = random.Random(5)
-    for size, flips in ((3, 3), (40, 2), (700, 4), (2500, 5)):
-        centres = [rnd.getrandbits(64) for _ in range(max(1, size // 60))]
-        codes = set()
-        while len(codes) < size:
-            c = rnd.choice(centres)
-            for b in rnd.sample(range(64), rnd.randint(0, flips)):
-                c ^= 1 << b
-            codes.add(c)
-
-        def rank(x):
-            for s in (1, 2, 4, 8, 16, 32):
-                x ^= x >> s
-            return x
-
-        codes = sorted(codes, key=rank)
-        found = grouped(np.array(codes, np.uint64), 2)
-        plain = plain_components(range(size), codes, 2)
-        assert found.tolist() == [plain[i] for i in range(size)]
+    for size, flips, distance in ((1, 1, 2), (3, 3, 2), (40, 2, 2), (700, 4, 2), (2500, 5, 2), (900, 9, 14)):
+        codes = np.array(clustered(rnd, size, flips), np.uint64)
+        seen = Counter()
+        a, b, apart = search(codes, codes, distance, True, seen)
+        plain = np.bitwise_count(codes[:, None] ^ codes[None, :])
+        want = {(i, j) for i, j in zip(*np.nonzero(plain <= distance)) if i < j}
+        assert {(i, j) for i, j in zip(a.tolist(), b.tolist())} == want and len(a) == len(want)
+        assert (apart == plain[a, b]).all()
+        joined = forest(size, a, b, apart)
+        kept = plain_components(range(size), codes.tolist(), distance)
+        assert len(joined) == size - len(set(kept.values()))
+        if size == 2500:  # whole groups above the leaves go, and few pairs are compared
+            assert seen["spared"] > 0.1 * size * size and seen["compared"] < 0.3 * size * size
+        x, y, _ = search(codes, codes[: size // 2], distance, False, Counter())
+        assert {(i, j) for i, j in zip(x.tolist(), y.tolist())} == {(i, j) for i, j in zip(*np.nonzero(plain[: size // 2] <= distance))}
+
+
+def test_cut_nodes_lose_no_link(spark):
+    rnd = random.Random(9)
+    codes = clustered(rnd, 600, 3) + [c ^ 1 << 5 ^ 1 << 40 for c in clustered(rnd, 30, 2)]
+    codes += [rnd.getrandbits(64) for _ in range(200)]
+    hot = rnd.getrandbits(64)
+    codes = list(dict.fromkeys(codes + [hot ^ 1 << i ^ 1 << j for i in range(12) for j in range(i)]))
+    signed = np.array(codes, np.uint64).view(np.int64).tolist()
+    df = spark.createDataFrame([(c, c, 0, "x") for c in signed], "fp long, id long, more long, k string")
+    for node in (None, 7):
+        found = links(df, 2, node=node).collect()
+        up = {c: c for c in signed}
+
+        def root(c):
+            while up[c] != c:
+                c = up[c]
+            return c
+
+        for r in found:
+            assert r.apart == ((r.a ^ r.b) & (1 << 64) - 1).bit_count() <= 2
+            up[root(r.a)] = root(r.b)
+        plain = plain_components(range(len(codes)), codes, 2)
+        assert len({root(c) for c in signed}) == len(set(plain.values()))
+    same = spark.createDataFrame([(5, i, 0) for i in range(50)], "fp long, id long, more long")  # one fingerprint of different texts
+    assert links(same, 14, node=8).where("apart = 0").count() >= 49
 
 
 def test_near_duplicates_equal_brute_force(spark):
