@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,10 +22,13 @@ def text_or_empty(text: str = "text") -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a new one of our own only where none is set."""
+    """The folder that the cluster names in spark.checkpoint.dir; a new local one only where none is set and the master is local."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quern-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quern-"))
     return context.getCheckpointDir()
 
 
@@ -34,6 +38,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once, also where body uses it inside lambdas."""
+    return F.transform(F.array(value), body)[0]
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df, written as Parquet to the shared folder and read back: for tables that several jobs read by column."""
     at = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"

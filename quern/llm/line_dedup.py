@@ -10,15 +10,16 @@ bytes in the exchanges. Windows are counted with partial aggregation, the few th
 Defined cases: a null text stays null and has 0 lines; an empty text is one empty line; documents under three lines have
 no window and stay; rows with equal key and text are one document, all of which get the same result; rows with equal key
 and different texts are different documents, in the order of a hash of their texts; an empty table gives an empty result;
-columns other than key and text stay with the rows they came with, whatever their names.
+rows without a key lose no lines, though their windows count as first places; columns other than key and text stay with the
+rows they came with, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import read
+from quern.llm.common import let, read
 
 LINES = 3
 
@@ -38,21 +39,33 @@ def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     return later.groupBy("key", "tag").agg(F.sort_array(F.collect_set("i")).alias("positions"))
 
 
+def without(lines: Column, positions: Column) -> Column:
+    """struct<lines, gone> of an array of lines without those that windows at the sorted positions cover, in linear time."""
+    starts = F.filter(positions, lambda p, i: (i == 0) | (p > F.get(positions, i - 1) + LINES))
+    ends = F.filter(positions, lambda p, i: (i == F.size(positions) - 1) | (F.get(positions, i + 1) > p + LINES))
+
+    def cut(x: Column) -> Column:
+        n = F.size(x["starts"])
+        since = lambda j: F.coalesce(F.get(x["ends"], j - 1) + LINES, F.lit(0))
+        upto = lambda j: F.coalesce(F.get(x["starts"], j), F.size(x["lines"]))
+        return F.flatten(F.transform(F.sequence(F.lit(0), n), lambda j: F.slice(x["lines"], since(j) + 1, upto(j) - since(j))))
+
+    return let(F.struct(lines.alias("lines"), starts.alias("starts"), ends.alias("ends")), cut)
+
+
 def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with the text that is left, and the columns n_lines and n_removed (replacing any of these names)."""
-    found = repeated_windows(docs, key, text).select(F.col("key").alias("_key"), F.col("tag").alias("_tag"), F.col("positions").alias("_positions"))
-    tagged = docs.withColumn("_hash", F.xxhash64(F.col(text)))
-    joined = tagged.join(found.hint("shuffle_hash"), (tagged[key] == found._key) & (F.col("_hash") == found._tag), "left")
-    lines = F.split(F.col(text), "\n", -1)
-    covered = F.array_distinct(F.flatten(F.transform("_positions", lambda i: F.sequence(i, i + LINES - 1))))
-    joined = joined.withColumn("_covered", covered)
-    kept = F.when(F.col("_covered").isNull(), F.col(text)).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_covered", i)), "\n"))
-    sized = joined.withColumns({
-        "n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1).cast("long"),
-        "n_removed": F.coalesce(F.size("_covered"), F.lit(0)).cast("long"),
-    })
-    sized = sized.withColumn("n_removed", F.greatest("n_removed", F.lit(0)))
-    return sized.withColumn(text, kept).drop("_key", "_tag", "_positions", "_covered", "_hash")
+    found = repeated_windows(docs, key, text).select(F.col("key").alias("_key"), F.col("tag").alias("_tag"), "positions")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("key"), F.xxhash64(text).alias("tag"))
+    joined = rows.join(found.hint("shuffle_hash"), (F.col("key") == F.col("_key")) & (F.col("tag") == F.col("_tag")), "left")
+    own = F.col("row").getField(text)
+    left = let(F.col("positions"), lambda p: without(F.split(own, "\n", -1), p))
+    n_lines = F.when(own.isNull(), 0).otherwise(F.length(own) - F.length(F.replace(own, F.lit("\n"), F.lit(""))) + 1).cast("long")
+    cut = joined.select("row", own.alias("own"), n_lines.alias("n_lines"), F.when(F.col("positions").isNotNull(), F.struct(left.alias("lines"))).alias("cut"))
+    gone = F.when(F.col("cut").isNull(), 0).otherwise(F.col("n_lines") - F.size("cut.lines")).cast("long")
+    kept = F.when(F.col("cut").isNull(), F.col("own")).otherwise(F.array_join("cut.lines", "\n"))
+    columns = [kept.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return cut.select(*columns, "n_lines", gone.alias("n_removed"))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,24 +2,29 @@
 
 1. Texts become token ids in the tasks that read them; a document longer than the capacity is cut into full pieces, with
    the shorter rest in front. What goes on is a small row for each piece.
-2. Pieces are range-sorted by length. Lengths are whole numbers up to the capacity, so the sorted table is at most
-   `capacity` runs of equal pieces; a piece's rank in its run comes from counts by (length, salt) and a rank inside that
-   group, so that a length that a third of all pieces share is still spread over all tasks.
-3. A superstep sweeps the runs from the longest down: each run's pieces take the smallest gap that holds them (their
-   successor among the gaps), which likewise are runs of equal gaps. Of a run that wants more gaps than there are, the
-   lower ranks win and the rest moves on to the next successor, or opens new sequences. Gaps are updated, and the next
-   run follows. This works on counts alone: what it needs and gives is bounded by the capacity, never by the corpus.
-4. Each superstep's decision is "ranks r.. of length n go to sequences s.. at offset o"; tasks look up their pieces.
-
-Defined cases: a null text is empty, and an empty one is the end id alone; repeated rows are packed as documents of their
-own; an empty table gives an empty result; other columns are not read.
+2. Pieces get a rank among those of their length (from counts by length and salt, so that a length that a third of all pieces
+   share is still spread over all tasks), and are range-sorted by length and rank.
+3. A superstep takes the longest pieces that are left, down to 5/7 of the longest, and the gaps that may hold them; a gap that
+   holds several has several slots. Both are sorted by size, and a sweep from the largest down gives each piece its successor,
+   the smallest slot that is left among those that are large enough: a slot raises a level, a piece lowers it, and a piece goes
+   to the last slot that reached its level. Levels come from counts by size (as many rows as the capacity at most) and ranks
+   inside a size, so tasks match pieces to slots level by level. Where pieces want the same slots, lower ranks win.
+4. Gaps are updated; pieces without a slot open new sequences, as many as their sum fills, and the next superstep follows, until
+   no piece is left. Pieces over half the capacity need no sweep: they open a sequence each.
+
+The driver sees the numbers of gaps by size and salt, at most (capacity + 1) x SALTS, and turns them to levels by size; which
+piece meets which gap is found by tasks. Every superstep's table is written, so that a lost executor costs one at most.
+
+Defined cases: a null text is empty, and an empty one is the end id alone; repeated rows, and rows with null or equal keys,
+are packed as documents of their own; runs of white space of any length are encoded like any other text; an empty table
+gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,6 +39,13 @@ CAPACITY, END_ID = 1024, 2
 #: How the byte-level vocabulary format cuts a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: White space that a cut would need too deep a stack for. (Python's \\s has four characters more than the format's.)
+LONG_SPACE = re.compile(r"[^\S\x1c-\x1f]{4096,}")
+#: A superstep goes down to 5/7 of the longest piece, or to the shortest if that one is no longer than this part of the capacity.
+SMALL = 16
+#: Parts that the rows of one size are dealt to when they are ranked.
+SALTS = 64
+
 
 def byte_letters() -> dict[str, int]:
     """The vocabulary file's letter for each byte: itself where it is printable, else the next free one from 256 on."""
@@ -58,6 +70,18 @@ def encoding(path: str):
     return tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
+def token_ids(encoder, text: str) -> np.ndarray:
+    """The ids of a text; special strings inside it become their ids."""
+    out, at = [], 0
+    for run in LONG_SPACE.finditer(text):
+        a, b = run.span()
+        if b < len(text) and not any(text.startswith(s, b) for s in encoder.special_tokens_set):
+            b -= 1  # the last one belongs to what follows
+        out += [encoder.encode_to_numpy(text[at:a], allowed_special="all"), np.array(encoder._core_bpe.encode_single_piece(text[a:b].encode()), np.uint32)]
+        at = b
+    return np.concatenate([*out, encoder.encode_to_numpy(text[at:], allowed_special="all")])
+
+
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, piece, start, length and ids_crc32 (and ids) of each piece of each row of docs."""
 
@@ -67,7 +91,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool
             for at in range(0, len(batch), 512):
                 part, rows, out_ids = batch.slice(at, 512), [], []
                 for i, t in enumerate(part.column(1).to_pylist()):
-                    ids = np.append(encoder.encode_to_numpy(t, allowed_special="all"), np.uint32(END_ID)).astype("<u4")
+                    ids = np.append(token_ids(encoder, t), np.uint32(END_ID)).astype("<u4")
                     cuts = [0, *range(len(ids) % capacity or capacity, len(ids) + 1, capacity)] if len(ids) > capacity else [0, len(ids)]
                     rows += [(i, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
                     out_ids += [ids[a:b] for a, b in zip(cuts, cuts[1:])] if with_ids else []
@@ -83,68 +107,107 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool
     return docs.select(F.col(key).alias("key"), text_or_empty(text).alias("text")).mapInArrow(run, schema)
 
 
-def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """(length, first rank, number, first sequence, offset): where counts[length] pieces of each length go."""
-    gaps: dict[int, list[list[int]]] = {}  # gap -> runs of sequences that have it: first, number
-    sizes: list[int] = []  # the gaps there are, sorted
-    moves, opened = [], 0
-
-    def add(gap: int, run: list[int]) -> None:
-        if gap and gap not in gaps:
-            gaps[gap] = []
-            insort(sizes, gap)
-        if gap:
-            gaps[gap].append(run)
-
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            at = bisect_left(sizes, length)
-            if at == len(sizes):
-                number = -(-left // (capacity // length))
-                add(capacity, [opened, number])
-                opened += number
-                continue
-            gap = sizes[at]
-            run = gaps[gap][-1]
-            taken = min(left, run[1])
-            moves.append((length, rank, taken, run[0], capacity - gap))
-            first = run[0]
-            run[0], run[1] = run[0] + taken, run[1] - taken
-            if not run[1]:
-                gaps[gap].pop()
-                if not gaps[gap]:
-                    del gaps[gap], sizes[at]
-            add(gap - length, [first, taken])
-            rank, left = rank + taken, left - taken
-    return moves
+def salted(df: DataFrame, *order: str) -> DataFrame:
+    return df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(SALTS)).cast("int"))
+
+
+def ranked(df: DataFrame, size: str, counts: np.ndarray, *order: str) -> DataFrame:
+    """df with rank, from 0, among the rows of its size; counts[size, salt] has their numbers."""
+    before = np.cumsum(counts, axis=1) - counts
+    at = np.nonzero(counts)
+    offsets = df.sparkSession.createDataFrame(pa.table([*map(pa.array, at), pa.array(before[at])], ["_size", "_salt", "_before"]))
+    inside = F.row_number().over(Window.partitionBy(size, "_salt").orderBy(*order)) - 1
+    found = salted(df, *order).withColumn("_in", inside).withColumnRenamed("_salt", "_of")
+    found = found.join(F.broadcast(offsets), (F.col(size) == F.col("_size")) & (F.col("_of") == F.col("_salt")))
+    return found.withColumn("rank", F.col("_in") + F.col("_before")).drop("_size", "_salt", "_of", "_in", "_before")
+
+
+def counted(df: DataFrame, size: str, capacity: int, *order: str) -> np.ndarray:
+    """How many rows there are of each size and salt: (capacity + 1) x SALTS numbers at most, however large df is."""
+    rows = salted(df, *order).groupBy(size, "_salt").agg(F.count("*").alias("n")).toArrow()
+    counts = np.zeros((capacity + 1, SALTS), np.int64)
+    counts[rows[size].to_numpy(), rows["_salt"].to_numpy()] = rows["n"].to_numpy()
+    return counts
+
+
+def levels(slots: np.ndarray, wants: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(level, floor) by size, for numbers of slots and pieces by size: level is what larger slots and pieces leave; of the slots
+    of a size those above floor are taken sooner or later."""
+    upto = np.cumsum((slots - wants)[::-1])
+    least = np.minimum(np.append(0, np.minimum.accumulate(upto)[:-1]), 0)
+    level = (upto - least)[::-1] - slots + wants
+    after = np.maximum(level + slots - wants, 0)
+    return level, np.minimum.accumulate(after)
+
+
+def sweep(runs: DataFrame, gaps: DataFrame, sizes: DataFrame, low: int, top: int, capacity: int) -> DataFrame:
+    """The gaps(sequence, gap) after a superstep, and its moves (length, rank, sequence, offset; gap is null in these rows).
+
+    runs(length, rank) are all pieces, gaps have ranks; sizes(size, level, floor, done, room, per) are bounded by the capacity.
+    """
+    pieces_ = runs.where((F.col("length") > low) & (F.col("length") <= top)).join(sizes, F.col("length") == F.col("size"))
+    at = F.col("room") - (F.col("rank") - F.col("done"))
+    pieces_ = pieces_.where((F.col("rank") >= F.col("done")) & (at > 0))
+    pieces_ = pieces_.select(at.alias("at"), F.col("length").alias("size"), F.lit(1).alias("kind"), "rank", F.lit(None).cast("long").alias("sequence"))
+    first, last = F.greatest(F.col("level") + F.col("rank") * F.col("per"), F.col("floor")) + 1, F.col("level") + (F.col("rank") + 1) * F.col("per")
+    slots = gaps.join(sizes, F.col("gap") == F.col("size")).withColumns({"first": first, "last": last}).where("first <= last")
+    slots = slots.select(F.explode(F.sequence("first", "last")).alias("at"), F.col("gap").alias("size"), F.lit(0).alias("kind"), "rank", "sequence")
+    its = F.lag("sequence").over(Window.partitionBy("at").orderBy(F.desc("size"), "kind"))
+    moved = slots.union(pieces_).withColumn("its", its).where("kind = 1").select(F.col("its").alias("sequence"), F.lit(None).cast("long").alias("gap"), "at", "size", "rank")
+    none = F.lit(None).cast("long")
+    of_sequence = Window.partitionBy("sequence").orderBy("at")
+    both = gaps.select("sequence", "gap", F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("size"), none.alias("rank")).union(moved)
+    both = both.withColumns({"_gap": F.first("gap").over(of_sequence), "_upto": F.sum("size").over(of_sequence), "_all": F.sum("size").over(Window.partitionBy("sequence"))})
+    is_move = F.col("gap").isNull()
+    return stored(both.select("sequence", (F.col("gap") - F.col("_all")).alias("gap"), F.when(is_move, F.col("size")).alias("length"), "rank", F.when(is_move, capacity - F.col("_gap") + F.col("_upto") - F.col("size")).alias("offset")))
+
+
+def best_fit(runs: DataFrame, number: np.ndarray, capacity: int) -> DataFrame:
+    """(length, rank, sequence, offset) for each of the stored runs(length, rank), of which there are number[length]."""
+    spark = runs.sparkSession
+    size, half = np.arange(capacity + 1), capacity // 2
+    # Longer ones than half the capacity take a sequence each, in the order of lengths.
+    opened = int(number[half + 1 :].sum())
+    starts = pa.table([size, np.cumsum(np.where(size > half, number, 0)) - number], ["size", "start"])
+    sequence = F.col("start") + F.col("rank")
+    alone = runs.where(F.col("length") > half).join(F.broadcast(spark.createDataFrame(starts)), F.col("length") == F.col("size"))
+    alone = alone.select(sequence.alias("sequence"), (capacity - F.col("length")).alias("gap"), "length", "rank", F.lit(0).cast("long").alias("offset"))
+    now = alone
+    moves = [alone.select("length", "rank", "sequence", "offset")]
+    done = np.where(size > half, number, 0)
+    while (done < number).any():
+        top = int(size[done < number][-1])
+        low = top * 5 // 7 if top > capacity // SMALL else 0
+        gaps = now.where("gap > 0").select("sequence", "gap")
+        counts = counted(gaps, "gap", capacity, "sequence")
+        per = np.maximum(1, size // top)
+        slots, wants = np.where(size > low, counts.sum(1) * per, 0), np.where((size > low) & (size <= top), number - done, 0)
+        level, floor = levels(slots, wants)
+        met = np.clip(level + slots, 0, wants)
+        if met.any():
+            sizes = pa.table([size, level, floor, done, level + slots, per], ["size", "level", "floor", "done", "room", "per"])
+            own = spark.createDataFrame(sizes.filter(pa.array((size > low) & (slots + wants > 0))))
+            now = sweep(runs, ranked(gaps, "gap", counts, "sequence"), F.broadcast(own), low, top, capacity)
+            moves.append(now.where("length is not null").select("length", "rank", "sequence", "offset"))
+        done = done + met
+        if rest := int(((wants - met) * size).sum()):
+            fresh = max(1, rest // capacity)
+            more = spark.range(opened, opened + fresh).select(F.col("id").alias("sequence"), F.lit(capacity).cast("long").alias("gap"))
+            now, opened = now.select("sequence", "gap").union(more), opened + fresh
+    out = moves[0]
+    for m in moves[1:]:
+        out = out.union(m)
+    return out
 
 
 def placed(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """rows(key, piece, length, ids_crc32, ...) with sequence_id and offset. rows are read twice, so they should be stored."""
-    spark = rows.sparkSession
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("key", "piece", "ids_crc32"), F.lit(partitions(spark))))
-    counts = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
-    totals = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # at most `capacity` rows
-    moves = np.array(best_fit(totals, capacity), np.int64).reshape(-1, 5)
-    moves = moves[np.lexsort((moves[:, 1], moves[:, 0]))]
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("length", "_salt", before.alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("key", "piece", "ids_crc32")) - 1
-    ranked = salted.withColumn("_in", inside).join(offsets, ["length", "_salt"]).withColumn("_rank", F.col("_in") + F.col("_before")).select(*rows.columns, "_rank")
-
-    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = 1 << 44
-        starts = moves[:, 0] * step + moves[:, 1]
-        for batch in batches:
-            length, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("length", "_rank"))
-            found = np.searchsorted(starts, length * step + rank, side="right") - 1
-            own = [c for c in batch.schema.names if c != "_rank"]
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in own]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(moves[found, 3] + rank - moves[found, 1]), pa.array(moves[found, 4])], [*own, "sequence_id", "offset"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return ranked.mapInArrow(look_up, f"{schema}, sequence_id long, offset long")
+    order = ("key", "piece", "ids_crc32")
+    counts = counted(rows, "length", capacity, *order)
+    runs = stored(ranked(rows, "length", counts, *order).repartitionByRange(partitions(rows.sparkSession), "length", "rank"))
+    moves = best_fit(runs.select("length", "rank"), counts.sum(1), capacity)
+    found = runs.join(moves.withColumnRenamed("sequence", "sequence_id"), ["length", "rank"])
+    return found.select(*rows.columns, "sequence_id", "offset")
 
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:

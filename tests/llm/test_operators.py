@@ -81,26 +81,6 @@ def test_packing(docs, spark):
         assert [r.start for r in found] == np.cumsum([0] + [r.length for r in found[:-1]]).tolist()
         assert all(r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes()) for r in found)
     assert packing.pack(df.limit(0), path).collect() == []
-    rnd = random.Random(3)
-    for _ in range(30):
-        sizes = [min(64, int(rnd.expovariate(0.06)) + 1) for _ in range(200)]
-        counts = {s: sizes.count(s) for s in set(sizes)}
-        moves = packing.best_fit(counts, 64)
-        fill, taken = {}, {}
-        for length, rank, n, first, offset in moves:
-            assert taken.get(length, 0) == rank
-            taken[length] = rank + n
-            for s in range(first, first + n):
-                assert fill.get(s, 0) == offset and offset + length <= 64
-                fill[s] = offset + length
-        gaps = []
-        for s in sorted(sizes, reverse=True):  # one piece at a time
-            fits = [g for g in gaps if g >= s]
-            g = min(fits) if fits else 64
-            if fits:
-                gaps.remove(g)
-            gaps.append(g - s)
-        assert taken == counts and len(fill) <= len(gaps)
 
 
 def plain_lines(rows):
