@@ -19,7 +19,8 @@ up in the same one. Strings that start at every byte would be too many to sort,
    (key, start) are marked.
 6. Marks are joined back to the documents, merged to spans, and cut out.
 
-Documents are dealt to buckets by a hash of key and text; the two joins share one exchange of the texts.
+Documents are dealt to buckets by a hash of key and text; the two joins share one exchange of the texts. There are as many
+ranges and buckets as the bytes of all texts ask for, and no fewer than the session's shuffle partitions.
 
 Defined cases: a null text is empty; texts shorter than `length` stay; rows with equal key and text are one document, all of
 which get the same result; rows with equal key and different texts are different documents, in the order of a hash of their
@@ -40,8 +41,8 @@ from pyspark.sql import functions as F
 from quern.llm.common import partitions, read, stored, text_or_empty
 
 LENGTH, GRAM = 100, 32
-#: Buckets of documents for each shuffle partition (there is one range of suffixes for each), and bytes hashed at once.
-BUCKETS, CHUNK = 2, 1 << 22
+#: Bytes of text for each range of suffixes at most, buckets of documents for each range, and bytes hashed at once.
+PART, BUCKETS, CHUNK = 1 << 25, 4, 1 << 22
 #: Anchors that a task holds before it sends them, and places from which a gram may count as hot.
 HELD, HOT = 2_000_000, 2000
 
@@ -465,17 +466,23 @@ def cut_rows(left: pa.Table, right: pa.Table) -> pa.Table:
 
 def repeated_bytes(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_bytes, spans (removed, maximal) and kept (binary) for each row of docs. Keys are whole numbers."""
-    spark = docs.sparkSession
-    ranges = partitions(spark)
-    buckets = BUCKETS * ranges
     least = F.lit(-(2**63)).cast("long")
     base = docs.select(F.coalesce(F.col(key).cast("long"), least).alias("key"), F.col(key).isNull().alias("null_key"), text_or_empty(text).alias("text"))
     unique = base.select("key").groupBy("key").count().where("count > 1").isEmpty()
+    size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    session = partitions(docs.sparkSession)
+    ranges = max(session, -(-size // PART))
+    buckets = BUCKETS * ranges
+
+    def dealt(df: DataFrame) -> DataFrame:
+        """df by bucket, in more partitions than the session's where these would be too large."""
+        return (df if ranges == session else df.repartition(ranges, "bucket")).groupBy("bucket")
+
     tag = F.lit(0).cast("long") if unique else F.xxhash64("text", "null_key")
     base = base.select("key", tag.alias("tag"), F.col("text").cast("binary").alias("text"), "null_key")
     names = "bucket int, blob binary"
     grams = base.select("key", "tag", "text").mapInArrow(lambda b: gram_rows(b, ranges, buckets, length), names)
-    repeated = stored(grams.groupBy("bucket").applyInArrow(lambda g: repeated_rows(g, buckets), f"{names}, hash long, n long"))
+    repeated = stored(dealt(grams).applyInArrow(lambda g: repeated_rows(g, buckets), f"{names}, hash long, n long"))
     counts = repeated.where("bucket is null")
     places = counts.where("hash is null").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     # At most 4 x buckets grams can hold so many places.
@@ -488,9 +495,9 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([pa.array(doc_bucket(k, t.view(np.uint64), buckets).astype(np.int32)), *batch.columns], ["bucket", *batch.schema.names])
 
     texts = base.mapInArrow(bucketed, "bucket int, key long, tag long, text binary, null_key boolean")
-    runs = texts.groupBy("bucket").cogroup(repeated.groupBy("bucket")).applyInArrow(lambda a, b: run_rows(a, b, hot, ranges, length), names)
-    found = runs.groupBy("bucket").applyInArrow(lambda g: found_rows(g, length, buckets), names)
-    cut = texts.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(cut_rows, "key long, null_key boolean, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    runs = dealt(texts).cogroup(dealt(repeated)).applyInArrow(lambda a, b: run_rows(a, b, hot, ranges, length), names)
+    found = dealt(runs).applyInArrow(lambda g: found_rows(g, length, buckets), names)
+    cut = dealt(texts).cogroup(dealt(found)).applyInArrow(cut_rows, "key long, null_key boolean, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
     return cut.select(F.when(~F.col("null_key"), F.col("key")).alias(key), "n_bytes", "spans", "kept")
 
 

@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from quern.llm import suffix_dedup
@@ -105,3 +107,29 @@ def test_shared_lengths_of_many():
     texts = sorted(f"{i:06d}".encode() for i in range(140_000))
     plain = [0] + [next(k for k in range(7) if x[:k + 1] != y[: k + 1]) for x, y in zip(texts, texts[1:])]
     assert shared_lengths(texts).tolist() == plain
+
+
+def test_texts_beyond_a_chunk_and_tasks_beyond_what_they_hold(spark, monkeypatch):
+    rnd = np.random.default_rng(5)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789", np.uint8)
+    long = letters[rnd.integers(0, 36, 5_000_000)].tobytes()  # more than CHUNK; no two strings of it are equal by chance
+    passage, other = long[4_190_000:4_200_000], long[10:5010]
+    texts = [long, b"!" + passage + b"?", long[:99] + b"#" + other, other[:99]]
+    df = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in suffix_dedup.repeated_bytes(df).collect()}
+    assert got == {0: [], 1: [(1, 10_001)], 2: [(100, 5100)], 3: []}
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3), pa.int64()), pa.array([0, 0, 0], pa.int64()), pa.array([long[:9000], long[:4000], long[5000:9000]], pa.binary())], ["key", "tag", "text"])
+
+    def places():
+        found = set()
+        for out in suffix_dedup.gram_rows(iter([batch]), 3, 4, 100):
+            for bucket, blob in zip(out["bucket"].to_pylist(), out["blob"].to_pylist()):
+                columns = suffix_dedup.unpacked(blob, *(("<u8", "<u4") if bucket >= 0 else ()), *suffix_dedup.PLACE)[-5:]
+                found |= set(zip(*(c.tolist() for c in columns)))
+        return found
+
+    whole = places()
+    monkeypatch.setattr(suffix_dedup, "HELD", 40)
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 2000)
+    assert places() == whole and len(whole) > 400
