@@ -338,20 +338,19 @@ def near_texts(texts: DataFrame, words: int = WORDS, distance: int = WIDE, limit
 
     A link is a Jaccard similarity of 4/5 or more between sets of shingles; equal sets are one node. The index proposes
     `layers` forests of near fingerprints from each node and order: all pairs of a group of up to 2 * layers codes, and a number
-    of pairs in proportion to a larger one. They are checked in turns: each node's nearest one, the first forests, the rest; of
-    the later turns only what is not joined yet.
+    of pairs in proportion to a larger one. Each node's nearest one is checked first, and then, of the others, those whose ends are not joined yet.
     """
     rows = stored(sketches(texts, words))
     nodes = stored(rows.groupBy("node").agg(F.min("row").alias("row"), F.first("fp").alias("fp"), F.first("more").alias("more")))
     found = links(nodes.select("fp", F.col("node").alias("id"), "more"), distance, limit, layers)
-    found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "apart", "layer").groupBy("a", "b").agg(F.first("apart").alias("apart"), F.min("layer").alias("layer"))
+    found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "apart").distinct()
     found = stored(found)
     ends = found.select("a", "b", "apart").union(found.select("b", "a", "apart"))
     asked = stored(nodes.select("node", "row").join(ends.select(F.col("a").alias("node")).distinct(), "node", "left_semi"))
     sets = stored(shingle_sets(texts.join(asked, "row").select("node", "text"), words).dropDuplicates(["node"]))
     nearest = ends.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("x")).select(F.least("a", "x.b").alias("a"), F.greatest("a", "x.b").alias("b"))
     linked, roots, tried = None, None, None
-    for turn in (nearest.distinct(), found.where("layer = 0").select("a", "b"), found.where("layer > 0").select("a", "b")):
+    for turn in (nearest.distinct(), found.select("a", "b")):
         if roots is not None:
             left, right = (roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
             turn = turn.join(tried, ["a", "b"], "left_anti").join(left, "a", "left").join(right, "b", "left")
