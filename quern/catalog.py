@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
+import hashlib
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions import listing, variants
 from quern.operators import accept, ordered, scoring, tables
-from quern.sources.tables import lines, table
+from quern.sources.tables import lines, shared_folder, table, table_stream
 from quern.streaming.accept import accepted_stream, run_available
 
 QUERIES: dict = {}
@@ -68,23 +68,31 @@ def field_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("event_id", scoring.field_mismatches(F.col("f"), F.col("before")).alias("mismatches"))
 
 
-def _bag(spark: SparkSession, sf_dir: str, user: int) -> DataFrame:
-    return table(spark, sf_dir, "events").where(F.col("user_id") == user).select("event_type")
+#: Bags of event types: of each user (n), and of the user before (m), for users that have events.
+BAGS_SQL = "with c as (select user_id, event_type, count(*) as n from events group by 1, 2), b as (select coalesce(c.user_id, p.user_id + 1) as user_id, coalesce(c.event_type, p.event_type) as event_type, coalesce(c.n, 0) as n, coalesce(p.n, 0) as m from c full join c p on c.user_id = p.user_id + 1 and c.event_type = p.event_type)"
 
 
-@query("select event_type from events where user_id = 12 intersect all select event_type from events where user_id = 13")
+def _bags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(user_id, event_type, n, m): each user's bag against that of the user before, by counts."""
+    counts = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    before = counts.select((F.col("user_id") + 1).alias("user_id"), "event_type", F.col("n").alias("m"))
+    both = counts.join(before, ["user_id", "event_type"], "full")
+    return both.select("user_id", "event_type", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("m", F.lit(0)).alias("m")).join(counts.select("user_id").distinct(), "user_id", "left_semi")
+
+
+@query(f"{BAGS_SQL} select user_id, event_type, least(n, m) as lines from b where least(n, m) > 0 and user_id in (select user_id from c)")
 def reordered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _bag(spark, sf_dir, 12).intersectAll(_bag(spark, sf_dir, 13))
+    return _bags(spark, sf_dir).select("user_id", "event_type", F.least("n", "m").alias("lines")).where("lines > 0")
 
 
-@query("select event_type from events where user_id = 12 except all select event_type from events where user_id = 13")
+@query(f"{BAGS_SQL} select user_id, event_type, n - m as lines from b where n > m and user_id in (select user_id from c)")
 def inserted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _bag(spark, sf_dir, 12).exceptAll(_bag(spark, sf_dir, 13))
+    return _bags(spark, sf_dir).where("n > m").selectExpr("user_id", "event_type", "n - m as lines")
 
 
-@query("select event_type from events where user_id = 13 except all select event_type from events where user_id = 12")
+@query(f"{BAGS_SQL} select user_id, event_type, m - n as lines from b where m > n and user_id in (select user_id from c)")
 def deleted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _bag(spark, sf_dir, 13).exceptAll(_bag(spark, sf_dir, 12))
+    return _bags(spark, sf_dir).where("m > n").selectExpr("user_id", "event_type", "m - n as lines")
 
 
 @query("""with s as (select user_id, string_agg(substr(event_type, 1, 1), '' order by event_id) as s from events group by user_id)
@@ -130,8 +138,8 @@ def once_and_var(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Acceptance
 
 
-def _accept_sql(better_only: bool = False, best_only: bool = False, threshold: int | None = None, source: str = RESULTS_SQL) -> str:
-    static = f"score {'<' if better_only else '<='} {BASE}" + (f" and score < {threshold}" if threshold is not None else "")
+def _accept_sql(better_only: bool = False, best_only: bool = False, threshold: int | None = None, source: str = RESULTS_SQL, base_hash: str | None = None) -> str:
+    static = f"source is not null and score {'<' if better_only else '<='} {BASE}" + (f" and score < {threshold}" if threshold is not None else "") + (f" and hash <> '{base_hash}'" if base_hash else "")
     return f"""with s as (select * from {source} where {static}),
     w as (select *, row_number() over (partition by job, hash order by seq) as nth, least({BASE}, coalesce(min(score) over (partition by job order by seq rows between unbounded preceding and 1 preceding), {BASE})) as best_before from s)
     select job, seq, score, hash, best_before from w where (nth = 1 or score = 0)""" + (" and score <= best_before" if best_only else "")
@@ -156,6 +164,15 @@ def accept_best_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _accepted(spark, sf_dir, best_only=True, threshold=THRESHOLD)
 
 
+#: The hash of the base: a result with the score 100 and source "click" has it.
+BASE_HASH = hashlib.sha256(b"100click").hexdigest()
+
+
+@query(_accept_sql(base_hash=BASE_HASH))
+def accept_other_than_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _accepted(spark, sf_dir, base_hash=BASE_HASH)
+
+
 @query(_accept_sql(threshold=THRESHOLD))
 def accept_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _accepted(spark, sf_dir, threshold=THRESHOLD)
@@ -169,10 +186,20 @@ def accept_first_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_accept_sql(best_only=True, threshold=THRESHOLD))
 def stream_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events")
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quern-")
-    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return run_available(accepted_stream(results(stream), BASE, best_only=True, threshold=THRESHOLD), folder)
+    stream = table_stream(spark, sf_dir, "events")
+    return run_available(accepted_stream(results(stream), BASE, best_only=True, threshold=THRESHOLD), shared_folder(spark))
+
+
+@query(_accept_sql(better_only=True, base_hash=BASE_HASH))
+def stream_accept_better(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stream = table_stream(spark, sf_dir, "events")
+    return run_available(accepted_stream(results(stream), BASE, better_only=True, base_hash=BASE_HASH), shared_folder(spark))
+
+
+@query(f"select job, seq, score, case when score <= {BASE} then hash end as hash, case when score <= {BASE} then source end as source from {RESULTS_SQL}")
+def payload_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hash and source go before a shuffle where the row can't be put out anyway."""
+    return results(table(spark, sf_dir, "events")).select("job", "seq", "score", *(F.when(F.col("score") <= BASE, F.col(c)).alias(c) for c in ("hash", "source")))
 
 
 @query(f"""with w as (select *, least({BASE}, coalesce(min(score) over (partition by job order by seq rows between unbounded preceding and 1 preceding), {BASE})) as best from {RESULTS_SQL})
@@ -195,17 +222,18 @@ def result_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""select n.n_name as name, coalesce(c.w, s.w, cast(n.n_nationkey * 10 as bigint)) as weight from nation n
-    left join (select s_nationkey as k, count(*) as w from supplier where s_nationkey % 2 = 0 group by 1) s on n.n_nationkey = s.k
-    left join (select c_nationkey as k, count(*) as w from customer where c_nationkey % 3 = 0 group by 1) c on n.n_nationkey = c.k""")
+    left join (select s_nationkey as k, count(*) as w from supplier group by 1 having sum(s_acctbal) > 5000 * count(*)) s on n.n_nationkey = s.k
+    left join (select c_nationkey as k, count(*) as w from customer group by 1 having sum(c_acctbal) < 4500 * count(*)) c on n.n_nationkey = c.k""")
 def weight_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = table(spark, sf_dir, "nation")
 
-    def layer(name: str, key: str, every: int) -> DataFrame:
-        counts = table(spark, sf_dir, name).where(F.col(key) % every == 0).groupBy(key).agg(F.count("*").alias("weight"))
+    def layer(name: str, key: str, rule: str) -> DataFrame:
+        """Nations whose mean balance follows the rule, with their numbers of rows: layers in which keys are missing."""
+        counts = table(spark, sf_dir, name).groupBy(key).agg(F.count("*").alias("weight"), F.expr(f"{rule} as _rule")).where("_rule")
         return counts.join(nation, counts[key] == nation["n_nationkey"]).select(F.col("n_name").alias("name"), "weight")
 
     base = nation.select(F.col("n_name").alias("name"), (F.col("n_nationkey") * 10).cast("long").alias("weight"))
-    return tables.overlay(base, layer("supplier", "s_nationkey", 2), layer("customer", "c_nationkey", 3))
+    return tables.overlay(base, layer("supplier", "s_nationkey", "sum(s_acctbal) > 5000 * count(*)"), layer("customer", "c_nationkey", "sum(c_acctbal) < 4500 * count(*)"))
 
 
 @query("""with c as (select p_partkey, p_size, sum(p_size) over (order by p_partkey) as cum from part), t as (select sum(p_size) as t from part),
@@ -323,6 +351,112 @@ def trim_trailing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.without_tail(table(spark, sf_dir, "events"), "user_id", "event_id", F.col("event_type") == "view").select("event_id")
 
 
+@query("select event_id from (select event_id, lag(event_type) over (partition by user_id order by event_id) as b from events) where b is distinct from 'error'")
+def delay_slot_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows but those that follow an error."""
+    before = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("event_id"))
+    return table(spark, sf_dir, "events").select("event_id", before.alias("b")).where(~F.col("b").eqNullSafe("error")).select("event_id")
+
+
+@query("""with g as (select *, sum(case when event_type = 'view' then 0 else 1 end) over (partition by user_id order by event_id) as g from events)
+    select min(event_id) as event_id, count(*) - 1 as notes, max(case when event_type = 'view' then event_id end) as last_note from g where g > 0 group by user_id, g""")
+def notes_to_row_before(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views as notes on the row before them that is none."""
+    is_note = F.col("event_type") == "view"
+    head = F.sum(F.when(is_note, 0).otherwise(1)).over(Window.partitionBy("user_id").orderBy("event_id"))
+    rows = table(spark, sf_dir, "events").withColumn("head", head).where("head > 0")
+    return rows.groupBy("user_id", "head").agg(F.min("event_id").alias("event_id"), (F.count("*") - 1).alias("notes"), F.max(F.when(is_note, F.col("event_id"))).alias("last_note")).drop("user_id", "head")
+
+
+@query("select event_id, event_type || coalesce('>' || lead(event_type) over (partition by user_id order by event_id), '') as pair from events")
+def next_row_peek(spark: SparkSession, sf_dir: str) -> DataFrame:
+    after = F.lead("event_type").over(Window.partitionBy("user_id").orderBy("event_id"))
+    return table(spark, sf_dir, "events").select("event_id", F.concat("event_type", F.coalesce(F.concat(F.lit(">"), after), F.lit(""))).alias("pair"))
+
+
+@query("select event_id, row_number() over (partition by user_id order by case when event_type = 'error' then 1 else 0 end, event_id) as place from events")
+def late_section_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places inside a user's rows when errors go behind all others."""
+    order = Window.partitionBy("user_id").orderBy(F.col("event_type") == "error", "event_id")
+    return table(spark, sf_dir, "events").select("event_id", F.row_number().over(order).cast("long").alias("place"))
+
+
+@query("""select a.l_orderkey, a.l_linenumber as outer_line, b.l_linenumber as inner_line from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey
+    where a.l_partkey < b.l_partkey and b.l_partkey + b.l_suppkey < a.l_partkey + a.l_suppkey""")
+def interval_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of an order's lines of which the first's interval (part, part + supplier) holds the second's."""
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_partkey") + F.col("l_suppkey")).alias("upto"))
+    inner = items.select("l_orderkey", F.col("l_linenumber").alias("inner_line"), F.col("l_partkey").alias("inner_from"), F.col("upto").alias("inner_upto"))
+    return items.join(inner, "l_orderkey").where("l_partkey < inner_from and inner_upto < upto").select("l_orderkey", F.col("l_linenumber").alias("outer_line"), "inner_line")
+
+
+# Joins by name and key
+
+
+@query("""with e as (select *, user_id in (select c_custkey from customer where c_acctbal > 0) as known from events)
+    select 'total' as level, '' as name, count(*) as n, count(*) filter (value < 50) as improved, count(*) filter (value < 5) as matched from e
+    union all select 'function', event_type, count(*), count(*) filter (value < 50), count(*) filter (value < 5) from e group by event_type
+    union all select 'client', cast(user_id as varchar), count(*), count(*) filter (value < 50), count(*) filter (value < 5) from e where known group by user_id""")
+def stats_of_known_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts in total, by function and by client; unknown clients count in the first two alone."""
+    known = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("known")).distinct()
+    events = table(spark, sf_dir, "events")
+    rows = events.join(known, events["user_id"] == known["known"], "left").groupBy("event_type", "user_id", "known").agg(F.count("*").alias("n"), F.count_if(F.col("value") < 50).alias("improved"), F.count_if(F.col("value") < 5).alias("matched"))
+    levels = F.array(*(F.struct(F.lit(a).alias("level"), b.alias("name")) for a, b in (("total", F.lit("")), ("function", F.col("event_type")), ("client", F.col("known").cast("string")))))
+    return rows.select(F.explode(levels).alias("x"), "n", "improved", "matched").where("x.name is not null").groupBy("x.level", "x.name").agg(*(F.sum(c).alias(c) for c in ("n", "improved", "matched")))
+
+
+@query("select user_id, count(*) as starts from events where event_type = 'signup' group by user_id")
+def start_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").where("event_type = 'signup'").groupBy("user_id").agg(F.count("*").alias("starts"))
+
+
+@query("select o_orderkey as work, count(l_orderkey) as results from orders left join lineitem on o_orderkey = l_orderkey and l_quantity > 10 group by 1")
+def work_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results by the work that they belong to; results of no known work are passed over."""
+    done = table(spark, sf_dir, "lineitem").where("l_quantity > 10").groupBy(F.col("l_orderkey").alias("work")).agg(F.count("*").alias("results"))
+    work = table(spark, sf_dir, "orders").groupBy(F.col("o_orderkey").alias("work")).agg(F.count("*").alias("_n"))
+    return work.join(done, "work", "left").select("work", (F.coalesce("results", F.lit(0)) * F.col("_n")).cast("long").alias("results"))
+
+
+@query("select coalesce(s.k, c.k) as nation, coalesce(s.n, 0) as suppliers, coalesce(c.n, 0) as customers from (select s_nationkey as k, count(*) as n from supplier group by 1) s full join (select c_nationkey as k, count(*) as n from customer group by 1) c on s.k = c.k")
+def key_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, c = (table(spark, sf_dir, t).groupBy(F.col(k).alias("nation")).agg(F.count("*").alias(t)) for t, k in (("supplier", "s_nationkey"), ("customer", "c_nationkey")))
+    return s.join(c, "nation", "full").select("nation", F.coalesce("supplier", F.lit(0)).cast("long").alias("suppliers"), F.coalesce("customer", F.lit(0)).cast("long").alias("customers"))
+
+
+@query("select substr(r_name, 1, 2) || '*' as token, n_name as name from region join nation on contains(n_name, substr(r_name, 1, 2))")
+def wildcard_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A token that ends in * names every name that contains what is before it. Both sides are tables of fixed size."""
+    tokens = table(spark, sf_dir, "region").select(F.concat(F.substring("r_name", 1, 2), F.lit("*")).alias("token"))
+    return tables.wildcard_edges(tokens, table(spark, sf_dir, "nation").select(F.col("n_name").alias("name")))
+
+
+@query("select s as seed, cast(row_number() over (order by sha256(cast(s as varchar) || 'order'), s) as bigint) as place from range(375) t(s)")
+def seed_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seed of a space once, in an order that looks random."""
+    return tables.permuted(spark.range(375).select(F.col("id").alias("seed")), "seed", "order").select("seed", "place")
+
+
+@query("""with r as (select list(r_name order by r_regionkey) as r from region), n as (select list(n_name order by n_nationkey) as n from nation)
+    select s as seed, r[s % 5 + 1] || '-' || cast(1 + (s // 5) % 3 as varchar) || '-' || n[(s // 15) % 25 + 1] as variant from (select unnest([0, 17, 374]) as s), r, n""")
+def forced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = {t: variants.choice(*map(variants.text, _names(spark, sf_dir, t))) for t in ("region", "nation")}
+    return variants.at_seeds(spark, variants.combine(names["region"], variants.text("-"), variants.integer(1, 3), variants.text("-"), names["nation"]), [0, 17, 374])
+
+
+@query(f"select job, count(*) || case when count(*) = 1 then ' result' else ' results' end as label from {RESULTS_SQL} group by job")
+def plural_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results(table(spark, sf_dir, "events")).groupBy("job").agg(F.count("*").alias("n")).select("job", F.concat(F.col("n").cast("string"), F.when(F.col("n") == 1, " result").otherwise(" results")).alias("label"))
+
+
+@query("select p_partkey, cast(p_size as bigint) as size, cast(a as bigint) as a, cast(p_size // a as bigint) as b from part, range(1, 101) r(a) where a * a <= p_size and p_size % a = 0")
+def factor_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.col("p_size").cast("long")
+    a = F.filter(F.sequence(F.lit(1).cast("long"), F.greatest(F.lit(1), F.floor(F.sqrt(size))).cast("long")), lambda x: (size % x == 0) & (x * x <= size))
+    return table(spark, sf_dir, "part").select("p_partkey", size.alias("size"), F.explode(a).alias("a")).withColumn("b", F.call_function("div", F.col("size"), F.col("a")))
+
+
 # Text
 
 
@@ -355,11 +489,11 @@ def error_branch(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Graph
 
 
-@query("""with recursive e as (select 'p' || l_partkey as src, 's' || l_suppkey as dst from lineitem where l_quantity >= 46 union select 's' || l_suppkey, 'p' || l_partkey from lineitem where l_quantity <= 2),
+@query("""with recursive e as (select 'p' || l_partkey as src, 's' || l_suppkey as dst from lineitem where l_quantity > 20 union select 's' || l_suppkey, 'p' || l_partkey from lineitem where l_quantity <= 20),
     r(node) as (select 's' || min(s_suppkey) from supplier union select dst from r join e on src = node) select node from r""")
 def reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem")
     part, supplier = F.concat(F.lit("p"), F.col("l_partkey").cast("string")), F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))
-    edges = items.where("l_quantity >= 46").select(part.alias("src"), supplier.alias("dst")).union(items.where("l_quantity <= 2").select(supplier, part))
+    edges = items.select(*(F.when(F.col("l_quantity") > 20, x).otherwise(y).alias(c) for x, y, c in ((part, supplier, "src"), (supplier, part, "dst")))).distinct()
     roots = table(spark, sf_dir, "supplier").agg(F.concat(F.lit("s"), F.min("s_suppkey").cast("string")).alias("node"))
     return tables.reachable(edges, roots).select("node")

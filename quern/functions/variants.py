@@ -143,6 +143,21 @@ def variable(name: str) -> Space:
 
 def enumerated(spark: SparkSession, space: Space) -> DataFrame:
     """(seed, variant) for every seed of the space, made where they are used."""
+    return decoded(spark.range(_checked(space)), "id", space)
+
+
+def at_seeds(spark: SparkSession, space: Space, seeds: list[int]) -> DataFrame:
+    """(seed, variant) for the given seeds. Raises ValueError for one that is outside of the space."""
+    if wrong := [s for s in seeds if not 0 <= s < _checked(space)]:
+        raise ValueError(f"{wrong} are no seeds of {space.size} variants")
+    return decoded(spark.createDataFrame([(s,) for s in seeds], "seed long"), "seed", space)
+
+
+def decoded(seeds: DataFrame, seed: str, space: Space) -> DataFrame:
+    return seeds.select(F.col(seed).alias("seed"), space.decode(F.col(seed), {}).alias("variant"))
+
+
+def _checked(space: Space) -> int:
     if space.size >= LIMIT:
         raise ValueError(f"{space.size} variants are more than a long counts")
-    return spark.range(space.size).select(F.col("id").alias("seed"), space.decode(F.col("id"), {}).alias("variant"))
+    return space.size

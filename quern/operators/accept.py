@@ -5,16 +5,23 @@ Rows hold job, seq, score and hash, and equal hashes have equal scores; then the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def accepted(results: DataFrame, base: int, better_only: bool = False, best_only: bool = False, threshold: int | None = None) -> DataFrame:
-    """The accepted rows with best_before, the best score before them. A score of 0 is accepted however often it comes."""
-    static = (F.col("score") < base) if better_only else (F.col("score") <= base)
+def static_rule(results: DataFrame, base: int, better_only: bool = False, threshold: int | None = None, base_hash: str | None = None) -> Column:
+    """What can be said of a row alone: score, threshold, and a hash and a source (if there is such a column) other than the base's."""
+    rule = (F.col("score") < base) if better_only else (F.col("score") <= base)
     if threshold is not None:
-        static &= F.col("score") < threshold
-    rows = results.where(static & F.col("hash").isNotNull())
+        rule &= F.col("score") < threshold
+    rule &= F.col("hash").isNotNull() if base_hash is None else F.col("hash") != base_hash
+    return rule & F.col("source").isNotNull() if "source" in results.columns else rule
+
+
+def accepted(results: DataFrame, base: int, better_only: bool = False, best_only: bool = False, threshold: int | None = None, base_hash: str | None = None) -> DataFrame:
+    """The accepted rows with best_before, the best score before them. A score of 0 is accepted however often it comes; the
+    base's own hash counts as seen."""
+    rows = results.where(static_rule(results, base, better_only, threshold, base_hash))
     before = Window.partitionBy("job").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     seen = Window.partitionBy("job", "hash").orderBy("seq")
     rows = rows.withColumn("nth", F.row_number().over(seen)).withColumn("best_before", F.least(F.lit(base).cast("long"), F.min("score").over(before)))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.sources.tables import shared_folder
+
 
 def overlay(base: DataFrame, *layers: DataFrame, key: str = "name", value: str = "weight") -> DataFrame:
     """base's keys, each with the value of the last layer that has it; keys that only a layer has are dropped."""
@@ -46,9 +46,7 @@ def demand(df: DataFrame, key: str, order: str, halves: Column) -> DataFrame:
 
 def reachable(edges: DataFrame, roots: DataFrame, max_rounds: int = 200) -> DataFrame:
     """(node, round): what edges(src, dst) reach from roots(node), round by round, each checkpointed in the shared folder."""
-    spark = edges.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quern-"))
+    shared_folder(edges.sparkSession)
     seen = roots.select("node").distinct().withColumn("round", F.lit(0)).checkpoint()
     new = seen
     for k in range(1, max_rounds + 1):
@@ -60,3 +58,19 @@ def reachable(edges: DataFrame, roots: DataFrame, max_rounds: int = 200) -> Data
         if k % 10 == 0:
             seen = seen.checkpoint()
     raise RuntimeError(f"not all is reached after {max_rounds} rounds")
+
+
+def wildcard_edges(tokens: DataFrame, names: DataFrame) -> DataFrame:
+    """(token, name): names(name) that contain what stands before the final * of tokens(token). tokens are broadcast and so must be few."""
+    part = F.expr("substring(token, 1, length(token) - 1)")
+    return names.join(F.broadcast(tokens), F.col("token").endswith("*") & F.contains(F.col("name"), part)).select("token", "name")
+
+
+def permuted(seeds: DataFrame, seed: str, salt: str) -> DataFrame:
+    """seeds with place, from 1: their order by SHA-256 of seed and salt. Ranges of the hash are counted first, then ranked each for itself."""
+    key = F.sha2(F.concat(F.col(seed).cast("string"), F.lit(salt)), 256)
+    ranged = seeds.withColumn("_key", key).withColumn("_range", F.substring("_key", 1, 2))
+    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))  # 256 rows at most
+    before = counts.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy("_key", seed))
+    return ranged.withColumn("_in", inside).join(F.broadcast(before), "_range").withColumn("place", F.col("_before") + F.col("_in")).drop("_key", "_range", "_in", "_before")

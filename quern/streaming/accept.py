@@ -9,18 +9,22 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quern.operators.accept import static_rule
+
 RESULT = "job long, seq long, score long, hash string, best_before long"
 
 
-def accepted_stream(results: DataFrame, base: int, best_only: bool = False, threshold: int | None = None) -> DataFrame:
-    """Rows must come with non-decreasing seq in each job. State of a job: the best score and the hashes seen."""
+def accepted_stream(results: DataFrame, base: int, better_only: bool = False, best_only: bool = False, threshold: int | None = None, base_hash: str | None = None) -> DataFrame:
+    """Rows must come with non-decreasing seq in each job. State of a job: the best score and the hashes seen.
+
+    What a row alone decides is filtered before the shuffle.
+    """
+    results = results.where(static_rule(results, base, better_only, threshold, base_hash))
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         best, seen = state.get if state.exists else (base, [])
         seen, out = set(seen), []
         for r in pd.concat(list(frames)).sort_values("seq").itertuples():
-            if r.score > base or (threshold is not None and r.score >= threshold) or r.hash is None:
-                continue
             if (r.score == 0 or r.hash not in seen) and not (best_only and r.score > best):
                 out.append((key[0], r.seq, r.score, r.hash, best))
             seen.add(r.hash)
