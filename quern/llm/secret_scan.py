@@ -119,7 +119,7 @@ def scan_into(docs: DataFrame, path: str, version: int = VERSION, key: str = "do
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        ledger = spark.createDataFrame([], kinds)
+        ledger = None
     new = scan(unseen(versions, ledger, version)).select("blob", F.lit(version).alias("version"), "findings")
     new.write.parquet(f"{path}/{uuid.uuid4().hex}.part")
     return paths(versions, spark.read.schema(kinds).parquet(parts), version, key)

@@ -1,7 +1,7 @@
 """Toxicity scores: gradient-boosted trees over dense features, with isotonic calibration.
 
 1. Lexicon: terms (words in plain form and word beginnings) that labelled toxic documents hold far more often than clean
-   ones. Document frequencies are counted by Spark; at most LEXICON terms for each lexicon reach the driver.
+   ones. Document frequencies are counted by Spark, in the labelled sample; only those terms reach the driver.
 2. Features of a text: lexicon densities, how near hits stand to second-person words, capitals, punctuation, and how much
    is obfuscated (symbols, digits or stretched letters inside words, hits that only the plain form shows).
 3. Trees: boosted on the features of at most SAMPLE labelled rows (those with the smallest hashes of their ids), with the
@@ -11,7 +11,8 @@ Scoring then is one pass over the documents, without a shuffle.
 
 Defined cases: a null or empty text has zero features and gets a score like any other; repeated rows get equal scores; an
 empty table gives an empty result; without labels of both kinds every score is the share of toxic labels, or 0; a doc_id
-with contrary labels counts as toxic; other columns are not read.
+with contrary labels counts as toxic; of texts that share a labelled doc_id the smallest is learnt from; other columns are not
+read.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import CACHE_ENTRIES, read, stored, text_or_empty
 
-#: Bounds: labelled rows that the model is fitted on, terms of a lexicon, labelled documents that a term must stand in.
-SAMPLE, LEXICON, LEAST = 20_000, 500, 4
+#: Bounds: labelled rows that the model is fitted on, and labelled toxic documents that a term must stand in.
+SAMPLE, LEAST = 20_000, 4
 PREFIXES = (5, 7)
 NEAR = 5
 THRESHOLD = 0.7
@@ -218,7 +219,7 @@ def lexicons(sample: DataFrame) -> list[dict[str, float]]:
         toxic, clean = (sum((F.col(f"n{h}{t}") for h in halves), F.lit(0)) for t in (1, 0))
         all_toxic, all_clean = (sum(n.get((h, t), 0) for h in halves) for t in (1, 0))
         weight = F.log((toxic + 0.5) / (all_toxic + 1.0)) - F.log((clean + 0.5) / (all_clean + 1.0))
-        rows = counted.where((toxic >= LEAST) & (weight > 1.5)).select("term", weight.alias("w"), (toxic * weight).alias("s")).orderBy(F.desc("s"), "term").limit(LEXICON).collect()
+        rows = counted.where((toxic >= LEAST) & (weight > 1.5)).select("term", weight.alias("w")).collect()
         out.append({r["term"]: r["w"] for r in rows})
     return out
 
@@ -228,7 +229,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     known = labels.where(F.col("toxic").isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     chosen = known.orderBy(F.xxhash64("_key"), "_key").limit(SAMPLE)  # at most SAMPLE ids and labels, hence small enough to broadcast
     half = F.pmod(F.xxhash64("_key", F.lit(7)), F.lit(2)).cast("int").alias("half")
-    sample = stored(docs.select(F.col(key).alias("_key"), text_or_empty(text).alias("text")).join(F.broadcast(chosen), "_key").dropDuplicates(["_key"]).select("text", "toxic", half))
+    sample = stored(docs.select(F.col(key).alias("_key"), text_or_empty(text).alias("text")).join(F.broadcast(chosen), "_key").groupBy("_key", "toxic").agg(F.min("text").alias("text")).select("text", "toxic", half))
     words = lexicons(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
