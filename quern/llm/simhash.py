@@ -9,8 +9,8 @@
 4. A run that is cut (by its size, or by a partition's end) goes on in other nodes: its parts are joined by their leading
    bits, pairs of parts whose shared patterns differ too much are pruned before their codes move, and the others are searched.
    So no task holds more than two nodes, however many codes are alike.
-5. Each node gives a spanning forest of its links, nearest ones first (or several, without common links), no pairs of whole
-   cliques; `components` joins forests.
+5. A pair belongs to the first order that joins it. Each node gives a spanning forest of its own links, nearest ones first (or
+   several, without common links), no pairs of whole cliques; `components` joins forests.
 
 Up to three bits, any two codes within `distance` surely meet. Wider searches (`near_texts`: five words, Jaccard similarity of
 4/5) choose leading bits at random, so many that codes with 3/5 of `distance` bits between them meet with a chance of RECALL;
@@ -31,7 +31,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.llm.common import checkpointed, partitions, read, stored, text_or_empty
@@ -44,7 +44,7 @@ NODE, WIDE_NODE, LEAF, FAN = 4096, 1024, 32, 8
 GROUP, RECALL = 1024, 0.999
 #: Near copies by similarity: words of a shingle (the similarity is in `enough`), bits between fingerprints of candidates, bits
 #: between these and second fingerprints together, forests of candidates. Of 128 bits, 19 +- 4 differ at a similarity of 4/5.
-WORDS, WIDE, WIDE_LIMIT, LAYERS = 5, 17, 30, 8
+WORDS, WIDE, WIDE_LIMIT, LAYERS = 5, 17, 30, 2
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -179,45 +179,58 @@ def forest(n: int, a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> np.ndarra
     return np.array(chosen, np.int64)
 
 
-PART = "k int, lead long, node long, low long, high long, codes binary"
+PART = "k int, lead long, node long, low long, high long, one long, codes binary"
 
 
-def within(found: tuple[np.ndarray, ...], one: np.ndarray, two: np.ndarray, limit: int) -> tuple[np.ndarray, ...]:
-    """Of the pairs found (a in one, b in two, apart), those that differ in `limit` bits at most with the second words of their codes."""
-    a, b, apart = found
-    apart = apart.astype(np.int32) + np.bitwise_count((one[a] ^ two[b]).view(np.uint64))
-    return a[apart <= limit], b[apart <= limit], apart[apart <= limit]
+def earlier(orders: list[list[int]], lead: int) -> list[np.ndarray]:
+    """For each order the leading bits of those before it, as masks over codes that are permuted by that order."""
+    masks = np.array([sum(1 << bit for bit in order[:lead]) for order in orders], np.uint64)
+    return [permuted(masks[:k], order) for k, order in enumerate(orders)]
 
 
-def node_rows(batches: Iterator[pa.RecordBatch], distance: int, limit: int, lead: int, size: int, layers: int) -> Iterator[pa.RecordBatch]:
-    """Of a range partition of (k, rank, id, more), sorted: the links (a, b, apart, layer) inside its nodes, and the parts of runs of equal
-    leading bits that may go on outside of their node."""
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-    names = ["a", "b", "apart", "layer", "k", "lead", "node", "low", "high", "codes"]
+def within(found: tuple[np.ndarray, ...], one: tuple[np.ndarray, ...], two: tuple[np.ndarray, ...], limit: int, before: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of the pairs found (a in one, b in two, apart; both: codes, ids, second words and roots), those of two roots that differ in
+    `limit` bits at most with the second words, and that don't meet in an order before: a pair belongs to the first that joins it."""
+    a, b, apart = found
+    apart = apart.astype(np.int32) + np.bitwise_count((one[2][a] ^ two[2][b]).view(np.uint64))
+    keep = np.flatnonzero((apart <= limit) & (one[3][a] != two[3][b]))
+    for mask in before:
+        keep = keep[(one[0][a[keep]] ^ two[0][b[keep]]) & mask != 0]
+    return a[keep], b[keep], apart[keep]
+
+
+def node_rows(batches: Iterator[pa.RecordBatch], distance: int, limit: int, lead: int, size: int, layers: int, before: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Of a range partition of (k, rank, id, more, root), sorted: the links (a, b, apart, layer) inside its nodes, and the parts of runs of equal
+    leading bits that may go on outside of their node, with their root if they have but one."""
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    names = ["a", "b", "apart", "layer", "k", "lead", "node", "low", "high", "one", "codes"]
     number = TaskContext.get().partitionId() << 32
 
-    def rows(k: int, codes: np.ndarray, ids: np.ndarray, more: np.ndarray, is_open: tuple[bool, bool]) -> pa.RecordBatch:
+    def rows(k: int, codes: np.ndarray, ids: np.ndarray, more: np.ndarray, roots: np.ndarray, is_open: tuple[bool, bool]) -> pa.RecordBatch:
         nonlocal number
-        a, b, apart = within(search(codes, codes, distance, True, Counter()), more, more, limit)
+        own = (codes, ids, more, roots)
+        a, b, apart = within(search(codes, codes, distance, True, Counter()), own, own, limit, before[k])
         links, layer = forests(len(codes), a, b, apart, layers)
         heads = gray_rank(codes) >> np.uint64(64 - lead)
         runs = {tuple(int(np.searchsorted(heads, h, side)) for side in ("left", "right")) for h, is_cut in zip(heads[[0, -1]], is_open) if is_cut}
-        columns = [[None] * len(links) for _ in range(6)]
+        columns = [[None] * len(links) for _ in range(7)]
         for lo, hi in sorted(runs):
-            own, number = codes[lo:hi], number + 1
-            low, high = (int(f.reduce(own).view(np.int64)) for f in (np.bitwise_and, np.bitwise_or))
-            for column, x in zip(columns, (k, int(heads[lo]), number, low, high, own.tobytes() + ids[lo:hi].tobytes() + more[lo:hi].tobytes())):
+            number += 1
+            low, high = (int(f.reduce(codes[lo:hi]).view(np.int64)) for f in (np.bitwise_and, np.bitwise_or))
+            one = int(roots[lo]) if (roots[lo:hi] == roots[lo]).all() else None
+            packed = b"".join(c[lo:hi].tobytes() for c in own)
+            for column, x in zip(columns, (k, int(heads[lo]), number, low, high, one, packed)):
                 column.append(x)
         none = [None] * len(runs)
         both = [ids[a[links]].tolist() + none, ids[b[links]].tolist() + none, apart[links].tolist() + none, layer.tolist() + none, *columns]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(both, kinds)], names)
 
-    held, left = None, True  # rows not yet in a node (k, code, id, more); whether what is left of them may belong to their first run
+    held, left = None, True  # rows not yet in a node (k, code, id, more, root); whether what is left of them may belong to their first run
     for batch in _with_end(batches):
         if batch is not None:
-            k, rank, own, more = (c.to_numpy() for c in batch.columns)
+            k, rank, own, more, root = (c.to_numpy() for c in batch.columns)
             rank = rank.view(np.uint64) ^ np.uint64(1 << 63)
-            new = (k, rank ^ rank >> np.uint64(1), own, more)
+            new = (k, rank ^ rank >> np.uint64(1), own, more, root)
             held = new if held is None else tuple(np.concatenate(c) for c in zip(held, new))
         while held is not None and len(held[0]) and (batch is None or len(held[0]) > size or held[0][0] != held[0][-1]):
             k, codes = held[:2]
@@ -234,23 +247,25 @@ def node_rows(batches: Iterator[pa.RecordBatch], distance: int, limit: int, lead
             held = tuple(c[end:] for c in held)
 
 
-def pair_rows(batches: Iterator[pa.RecordBatch], distance: int, limit: int, layers: int) -> Iterator[pa.RecordBatch]:
+def pair_rows(batches: Iterator[pa.RecordBatch], distance: int, limit: int, layers: int, before: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     """The links between the codes of two parts, for each row of two parts."""
     for batch in batches:
-        for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            (c, i, m), (d, j, n) = (np.frombuffer(z, np.uint64).reshape(3, -1) for z in (x, y))
-            a, b, apart = within(search(d, c, distance, False, Counter()), m, n, limit)
-            links, layer = forests(len(c) + len(d), a, b + len(c), apart, layers)
-            columns = [i.view(np.int64)[a[links]], j.view(np.int64)[b[links]], apart[links].astype(np.int32), layer.astype(np.int32)]
+        for k, x, y in zip(*(c.to_pylist() for c in batch.columns)):
+            one, two = (np.frombuffer(z, np.uint64).reshape(4, -1) for z in (x, y))
+            a, b, apart = within(search(two[0], one[0], distance, False, Counter()), one, two, limit, before[k])
+            links, layer = forests(one.shape[1] + two.shape[1], a, b + one.shape[1], apart, layers)
+            columns = [one[1].view(np.int64)[a[links]], two[1].view(np.int64)[b[links]], apart[links].astype(np.int32), layer.astype(np.int32)]
             yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["a", "b", "apart", "layer"])
 
 
-def links(codes: DataFrame, distance: int, limit: int | None = None, layers: int = 1, node: int | None = None) -> DataFrame:
-    """(a, b, apart, layer): forests of links between codes(fp, id, more), distinct rows that are stored; see above for what they
-    join. Links differ in `distance` bits of fp at most, and if there is a limit, in so many of fp and more together.
+def links(codes: DataFrame, distance: int, limit: int | None = None, layers: int = 1, node: int | None = None, chain: bool = False) -> DataFrame:
+    """(a, b, apart, layer): forests of links between codes(fp, id, more[, root]), distinct rows that are stored; see above for what they
+    join. Links differ in `distance` bits of fp at most, and if there is a limit, in so many of fp and more together. Codes of one
+    root need no link: theirs are left out. With `chain`, a part of a run is searched with the next one only, not with all others.
     """
     limit = distance if limit is None else limit
     orders, lead = bit_orders(distance, codes.count() if distance > 3 else 0)
+    before = earlier(orders, lead)
     size = node or (NODE if distance <= 3 else WIDE_NODE)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,15 +273,24 @@ def links(codes: DataFrame, distance: int, limit: int | None = None, layers: int
             fp = batch.column(0).to_numpy().view(np.uint64)
             for k, order in enumerate(orders):
                 rank = gray_rank(permuted(fp, order)) ^ np.uint64(1 << 63)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), k, np.int32)), pa.array(rank.view(np.int64)), *batch.columns[1:]], ["k", "rank", "id", "more"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), k, np.int32)), pa.array(rank.view(np.int64)), *batch.columns[1:]], ["k", "rank", "id", "more", "root"])
 
-    ranked = codes.select("fp", "id", "more").mapInArrow(spread, "k int, rank long, id long, more long")
+    own = codes.select("fp", "id", "more", F.col("root" if "root" in codes.columns else "id").alias("root"))
+    ranked = own.mapInArrow(spread, "k int, rank long, id long, more long, root long")
     ranked = ranked.repartitionByRange(partitions(codes.sparkSession), "k", "rank", "id").sortWithinPartitions("k", "rank", "id")
-    found = stored(ranked.mapInArrow(partial(node_rows, distance=distance, limit=limit, lead=lead, size=size, layers=layers), f"a long, b long, apart int, layer int, {PART}"))
-    x, y = (found.where("codes is not null").select("k", "lead", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "low", "high", "codes"))) for s in "xy")
+    found = stored(ranked.mapInArrow(partial(node_rows, distance=distance, limit=limit, lead=lead, size=size, layers=layers, before=before), f"a long, b long, apart int, layer int, {PART}"))
+    parts = found.where("codes is not null")
+    if chain:
+        following = F.lead("node").over(Window.partitionBy("k", "lead").orderBy("node"))
+        met = parts.select("k", F.col("node").alias("node_x"), following.alias("node_y")).where("node_y is not null")
+        for s in "xy":
+            met = met.join(parts.select(F.col("node").alias(f"node_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in ("low", "high", "one", "codes"))), f"node_{s}")
+    else:
+        x, y = (parts.select("k", "lead", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "low", "high", "one", "codes"))) for s in "xy")
+        met = x.join(y, ["k", "lead"]).where("node_x < node_y")
     both = (F.col("low_x").bitwiseXOR(F.col("low_y"))).bitwiseAND(F.bitwise_not(F.col("low_x").bitwiseXOR(F.col("high_x")))).bitwiseAND(F.bitwise_not(F.col("low_y").bitwiseXOR(F.col("high_y"))))
-    pairs = x.join(y, ["k", "lead"]).where((F.col("node_x") < F.col("node_y")) & (F.bit_count(both) <= distance)).select("codes_x", "codes_y")
-    across = pairs.mapInArrow(partial(pair_rows, distance=distance, limit=limit, layers=layers), "a long, b long, apart int, layer int")
+    pairs = met.where((F.bit_count(both) <= distance) & F.coalesce(F.col("one_x") != F.col("one_y"), F.lit(True))).select("k", "codes_x", "codes_y")
+    across = pairs.mapInArrow(partial(pair_rows, distance=distance, limit=limit, layers=layers, before=before), "a long, b long, apart int, layer int")
     return found.where("codes is null").select("a", "b", "apart", "layer").union(across)
 
 
@@ -336,33 +360,32 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def near_texts(texts: DataFrame, words: int = WORDS, distance: int = WIDE, limit: int = WIDE_LIMIT, layers: int = LAYERS) -> DataFrame:
     """(row, root) for texts(row, text): rows, a binary name of each, have one root if chains of links join their texts.
 
-    A link is a Jaccard similarity of 4/5 or more between sets of shingles; equal sets are one node. The index proposes
-    `layers` forests of near fingerprints from each node and order: all pairs of a group of up to 2 * layers codes, and a number
-    of pairs in proportion to a larger one. Each node's nearest one is checked first, and then, of the others, those whose ends are not joined yet.
+    A link is a Jaccard similarity of 4/5 or more between sets of shingles; equal sets are one node. The index proposes in two
+    turns. First one forest of near fingerprints from each node and order, runs that are cut being followed from part to part:
+    that joins large groups by few links. Then, for texts that have a candidate, `layers` forests of links between texts that the
+    first turn's checks left apart: all pairs of up to 2 * layers such codes of a node, of more a number in proportion to them.
     """
     rows = stored(sketches(texts, words))
     nodes = stored(rows.groupBy("node").agg(F.min("row").alias("row"), F.first("fp").alias("fp"), F.first("more").alias("more")))
-    found = links(nodes.select("fp", F.col("node").alias("id"), "more"), distance, limit, layers)
-    found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "apart").distinct()
-    found = stored(found)
-    ends = found.select("a", "b", "apart").union(found.select("b", "a", "apart"))
-    asked = stored(nodes.select("node", "row").join(ends.select(F.col("a").alias("node")).distinct(), "node", "left_semi"))
-    sets = stored(shingle_sets(texts.join(asked, "row").select("node", "text"), words).dropDuplicates(["node"]))
-    nearest = ends.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("x")).select(F.least("a", "x.b").alias("a"), F.greatest("a", "x.b").alias("b"))
-    linked, roots, tried = None, None, None
-    for turn in (nearest.distinct(), found.select("a", "b")):
-        if roots is not None:
-            left, right = (roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
-            turn = turn.join(tried, ["a", "b"], "left_anti").join(left, "a", "left").join(right, "b", "left")
-            turn = turn.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-        turn = stored(turn)
-        tried = turn if tried is None else tried.union(turn)
-        linked = similar(turn, sets) if linked is None else linked.union(similar(turn, sets))
-        roots = stored(components(linked))
+    codes = nodes.select("fp", F.col("node").alias("id"), "more")
+    first = _candidates(links(codes, distance, limit, chain=True))
+    ends = first.select(F.col("a").alias("node")).union(first.select("b")).distinct()
+    asked = stored(nodes.join(ends, "node", "left_semi"))
+    sets = stored(shingle_sets(texts.join(asked.select("node", "row"), "row").select("node", "text"), words).dropDuplicates(["node"]))
+    linked = similar(first, sets)
+    roots = stored(components(linked))
+    rooted = stored(asked.join(roots, "node", "left").select("fp", F.col("node").alias("id"), "more", F.coalesce("root", "node").alias("root")))
+    second = _candidates(links(rooted, distance, limit, layers), tried=first)
+    roots = stored(components(linked.union(similar(second, sets))))
     named = nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
     return rows.select("row", "node").join(named, "node").select("row", "root")
 
 
+def _candidates(found: DataFrame, tried: DataFrame | None = None) -> DataFrame:
+    pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
