@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.functions import listing, variants
+from quern.functions import listing, macros, variants
 from quern.operators import accept, ordered, scoring, tables
 from quern.sources.tables import lines, shared_folder, table, table_stream
 from quern.streaming.accept import accepted_stream, run_available
@@ -135,6 +135,16 @@ def once_and_var(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.enumerated(spark, variants.with_once(body))
 
 
+#: A macro text with nested choices, an escaped comma, a key of two places, a variable that one choice sets, and lines in any order.
+MACROS = "PERM_VAR(v,)f(PERM_GENERAL(1,PERM_GENERAL(x(,)y,g(2, 3)),PERM_INT(7,8)));PERM_GENERAL(s;,PERM_VAR(v,t;))PERM_ONCE(k,a;)b;PERM_ONCE(k,c;)PERM_VAR(v)PERM_LINESWAP(p,q;\nr;\n)"
+
+
+@query("""select s as seed, 'f(' || (['1', 'x,y', 'g(2, 3)', '7', '8'])[(s // 2) % 5 + 1] || ');' || (['s;', ''])[(s // 10) % 2 + 1] || (['a;b;', 'b;c;'])[s % 2 + 1] || (['', 't;'])[(s // 10) % 2 + 1]
+    || (['p,q;' || chr(10) || 'r;', 'r;' || chr(10) || 'p,q;'])[(s // 20) % 2 + 1] as variant from range(40) t(s)""")
+def enumerate_macros(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.enumerated(spark, macros.parsed(MACROS))
+
+
 # Acceptance
 
 

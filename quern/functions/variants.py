@@ -1,7 +1,7 @@
 """Spaces of text variants as Column expressions over a whole-number seed.
 
 Each space has a size and decodes a seed in [0, size) to text. Combined spaces use mixed radix, the leftmost part being the
-least significant digit. Spaces are put together in Python; there is no macro text to parse.
+least significant digit. Spaces are put together in Python, or read from macro text by `macros.parsed`.
 """
 
 from __future__ import annotations
@@ -53,24 +53,31 @@ def _digits(seed: Column, sizes: list[int]) -> list[Column]:
 
 def combine(*parts: Space) -> Space:
     def decode(seed: Column, chosen: dict) -> Column:
-        seen, out = dict(chosen), []
-        for part, digit in zip(parts, _digits(seed, [p.size for p in parts])):
-            out.append(part.decode(digit, seen))
-        return F.concat(*out)
+        return F.concat(*(part.decode(digit, chosen) for part, digit in zip(parts, _digits(seed, [p.size for p in parts]))))
 
     return Space(math.prod(p.size for p in parts), decode, tuple(k for p in parts for k in p.once))
 
 
 def choice(*parts: Space) -> Space:
-    """A sum: the seed counts through the first part, then the second, and so on."""
+    """A sum: the seed counts through the first part, then the second, and so on. A variable that a part sets is set where that
+    part is shown."""
 
     def decode(seed: Column, chosen: dict) -> Column:
-        out, at = None, sum(p.size for p in parts)
-        for part in reversed(parts):
-            at -= part.size
-            own = part.decode(seed - at, chosen)
-            out = own if out is None else F.when(seed < at + part.size, own).otherwise(out)
-        return out
+        at, shown, after = [0], [], []
+        for part in parts:
+            after.append(dict(chosen))
+            shown.append(part.decode(seed - at[-1], after[-1]))
+            at.append(at[-1] + part.size)
+
+        def picked(values: list[Column]) -> Column:
+            out = values[-1]
+            for upto, value in zip(at[-2:0:-1], values[-2::-1]):
+                out = F.when(seed < upto, value).otherwise(out)
+            return out
+
+        for name in {k for own in after for k in own if own[k] is not chosen.get(k)}:
+            chosen[name] = picked([own[name] if name in own else F.raise_error(F.lit(f"{name[1:]} is read before it is set")) for own in after])
+        return picked(shown)
 
     return Space(sum(p.size for p in parts), decode, tuple(k for p in parts for k in p.once))
 
