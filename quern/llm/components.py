@@ -12,8 +12,9 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of links(a, b); root is the smallest node of the component.
 
     Each round makes, around every node, its larger neighbours point to the smallest one (large star), then its smaller
-    ones (small star). Rounds grow with the logarithm of the longest chain. Hubs are only ever aggregated or joined, so
-    no task holds the neighbours of a hub. Every round is checkpointed; only two sums reach the driver.
+    ones (small star). Rounds grow with the logarithm of the longest chain. Hubs are aggregated or joined by their key: no task
+    holds a hub's neighbours in memory, but without adaptive skew splitting one task reads them. Every round is checkpointed;
+    only sums reach the driver.
     """
     now = checkpointed(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     size = _state(now)
