@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quern.functions import listing, macros, variants
 from quern.operators import accept, ordered, scoring, tables
 from quern.sources.tables import lines, shared_folder, table, table_stream
-from quern.streaming.accept import accepted_stream, run_available
+from quern.streaming.accept import accepted_stream, run_available, run_updates
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -507,3 +507,198 @@ def reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = items.select(*(F.when(F.col("l_quantity") > 20, x).otherwise(y).alias(c) for x, y, c in ((part, supplier, "src"), (supplier, part, "dst")))).distinct()
     roots = table(spark, sf_dir, "supplier").agg(F.concat(F.lit("s"), F.min("s_suppkey").cast("string")).alias("node"))
     return tables.reachable(edges, roots).select("node")
+
+
+@query("""with recursive e as (select n_name as src, r_name as dst from nation join region on n_regionkey = r_regionkey union all select r_name, substr(r_name, 1, 2) || '*' from region),
+    w as (select src, dst from e union select substr(r_name, 1, 2) || '*', e.dst from region join e on contains(e.src, substr(r_name, 1, 2))),
+    r(node) as (select min(n_name) from nation union select dst from r join w on src = node) select node from r""")
+def wildcard_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations lead to their regions, these to a token, and that to what all names lead to which contain it. Tables of fixed size."""
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    token = F.concat(F.substring("r_name", 1, 2), F.lit("*"))
+    edges = nation.join(region, nation["n_regionkey"] == region["r_regionkey"]).select(F.col("n_name").alias("src"), F.col("r_name").alias("dst")).union(region.select("r_name", token))
+    return tables.wildcard_closure(edges, region.select(token.alias("token")), nation.agg(F.min("n_name").alias("node"))).select("node")
+
+
+@query("""with recursive l as (select p_partkey as node, p_partkey - p_size as up from part where p_size > 0 and p_partkey > p_size),
+    r as (select node, up from l union all select r.node, l.up from r join l on r.up = l.node) select node, min(up) as up from r group by node""")
+def chain_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the chains end that lead from each part to the one p_size before it."""
+    up = (F.col("p_partkey") - F.col("p_size")).alias("up")
+    return tables.chain_ends(table(spark, sf_dir, "part").where("p_size > 0 and p_partkey > p_size").select(F.col("p_partkey").alias("node"), up))
+
+
+# Draws
+
+
+@query("select l_orderkey, arg_min(l_linenumber, sha256(l_orderkey || ':' || l_linenumber || 'region')) as region from lineitem group by 1")
+def region_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One of each order's lines, by the least hash."""
+    drawn = F.sha2(F.concat(F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")), F.lit("region")), 256)
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min_by("l_linenumber", drawn).alias("region"))
+
+
+def _drawn(limit: int, parts: str) -> str:
+    return f"(cast('0x' || substr(sha256({parts}), 1, 15) as bigint) % {limit})"
+
+
+@query(f"""with w as (select *, lag(score) over (partition by job order by seq) as before from {RESULTS_SQL})
+    select job, seq, coalesce({_drawn(10, "seq || 'keep'")} < 6 and before not in (0, {scoring.FAILED}), false) as keeps from w""")
+def keep_previous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a result goes on from the one before it: six times of ten, if that one is neither perfect nor failed."""
+    before = F.lag("score").over(Window.partitionBy("job").orderBy("seq"))
+    rows = results(table(spark, sf_dir, "events")).withColumn("before", before)
+    drawn = tables.uniform(F.concat(F.col("seq").cast("string"), F.lit("keep")), F.lit(10)) < 6
+    return rows.select("job", "seq", F.coalesce(drawn & ~F.col("before").isin(0, scoring.FAILED), F.lit(False)).alias("keeps"))
+
+
+@query(f"""select l_orderkey, l_linenumber from lineitem where l_linenumber = 1 or {_drawn(100, "l_orderkey || ':whole'")} < 20
+    or ({_drawn(2, "l_orderkey || ':half'")} = 0 and {_drawn(2, "l_orderkey || ':' || l_linenumber || ':row'")} = 0)
+    or ({_drawn(100, "l_orderkey || ':side'")} < 20 and case when {_drawn(2, "l_orderkey || ':which'")} = 0 then l_linenumber < 1 else l_linenumber > 1 end)""")
+def subset_around_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.around_pivot(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), "l_orderkey", "l_linenumber", F.lit(1), "")
+
+
+@query(f"""select l_orderkey, arg_min(l_linenumber, -ln(({_drawn(1000000, "l_orderkey || ':' || l_linenumber || 'try'")} + 1) / 1000001.0) / l_quantity) as chosen
+    from lineitem where l_returnflag <> 'R' and l_quantity > 0 group by 1""")
+def first_applicable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A weighted choice that is tried again until one applies: the least of exponential draws among those that apply."""
+    u = tables.uniform(F.concat(F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")), F.lit("try")), F.lit(1000000))
+    rows = table(spark, sf_dir, "lineitem").where("l_returnflag <> 'R' and l_quantity > 0")
+    return rows.groupBy("l_orderkey").agg(F.min_by("l_linenumber", -F.ln((u + 1) / F.lit(1000001.0)) / F.col("l_quantity")).alias("chosen"))
+
+
+# Life of jobs
+
+
+@query("""with d as (select *, case when event_type in ('signup', 'view') then 1 when event_type in ('purchase', 'click') then -1 else 0 end as d from events),
+    s as (select *, sum(d) over (partition by user_id order by event_id) as s from d) select event_id from s where d = -1 and s = 0""")
+def counted_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results after which no work of their job is out any more."""
+    step = F.when(F.col("event_type").isin("signup", "view"), 1).when(F.col("event_type").isin("purchase", "click"), -1).otherwise(0)
+    rows = table(spark, sf_dir, "events").withColumn("d", step)
+    return rows.withColumn("s", F.sum("d").over(Window.partitionBy("user_id").orderBy("event_id"))).where("d = -1 and s = 0").select("event_id")
+
+
+@query("select event_id from events e left join (select user_id as u, min(event_id) as last from events where event_type = 'purchase' and value < 5 group by 1) r on e.user_id = r.u where last is null or event_id <= last")
+def late_results_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows up to the removal of their job; later ones go."""
+    events = table(spark, sf_dir, "events")
+    removed = events.where("event_type = 'purchase' and value < 5").groupBy(F.col("user_id").alias("u")).agg(F.min("event_id").alias("last"))
+    return events.join(removed, events["user_id"] == removed["u"], "left").where("last is null or event_id <= last").select("event_id")
+
+
+@query("select event_id, cast(g // 1000000 as bigint) as seconds from (select event_id, epoch_us(lead(ts) over (partition by user_id order by ts, event_id)) - epoch_us(ts) as g from events) where g > 50000 * 1000000::bigint")
+def silent_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows after which their user is silent for more than 50,000 seconds."""
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    gap = F.lead(at).over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - at
+    return table(spark, sf_dir, "events").select("event_id", gap.alias("g")).where(F.col("g") > 50000 * 1000000).select("event_id", F.call_function("div", F.col("g"), F.lit(1000000)).alias("seconds"))
+
+
+@query(ORACLE_SQL["stats_of_known_users"])
+def stream_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """stats_of_known_users, kept up by a stream."""
+    known = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("known")).distinct()
+    events = table_stream(spark, sf_dir, "events")
+    rows = events.join(known, events["user_id"] == known["known"], "left")
+    levels = F.array(*(F.struct(F.lit(a).alias("level"), b.alias("name")) for a, b in (("total", F.lit("")), ("function", F.col("event_type")), ("client", F.col("known").cast("string")))))
+    named = rows.select(F.explode(levels).alias("x"), "value").where("x.name is not null").select("x.level", "x.name", "value")
+    counted = named.groupBy("level", "name").agg(F.count("*").alias("n"), F.count_if(F.col("value") < 50).alias("improved"), F.count_if(F.col("value") < 5).alias("matched"))
+    return run_updates(counted, ["level", "name"], shared_folder(spark))
+
+
+# Rows of listings and other texts
+
+
+@query(rf"""select doc_id, cast(line_no as integer) as line_no, array_to_string(list_transform(regexp_extract_all(line, '[A-Za-z0-9_]+|[^A-Za-z0-9_]+'), lambda w: case when regexp_full_match(w, '[0-9]{{2,18}}') then '0x' || printf('%x', try_cast(w as bigint)) else w end), '') as line from {LINES_SQL}""")
+def numbers_as_hex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines(table(spark, sf_dir, "documents")).select("doc_id", "line_no", listing.numbers_as_hex(F.col("line")).alias("line"))
+
+
+@query("""select p_partkey, case when p_size > 25 then 'lw' || chr(9) || 'a0,%lo(' || replace(p_brand, ' ', '') || '+' || p_size || ')(v0)' else 'addiu' || chr(9) || 'a0,a1,' || p_size end as line, p_size > 25 as has_symbol from part""")
+def relocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rows for parts of more than 25: a load, and the relocation that names its symbol."""
+    part = table(spark, sf_dir, "part")
+    size, tab = F.col("p_size").cast("string"), F.lit("\t")
+    load = F.concat(F.lit("lw"), tab, F.lit("a0,"), size, F.lit("(v0)"))
+    note = F.concat(F.lit("R_MIPS_LO16"), tab, F.replace("p_brand", F.lit(" "), F.lit("")))
+    rows = F.when(F.col("p_size") > 25, F.array(load, note)).otherwise(F.array(F.concat(F.lit("addiu"), tab, F.lit("a0,a1,"), size)))
+    listed = part.select("p_partkey", F.posexplode(rows).alias("place", "line"))
+    return ordered.with_relocations(listed, "p_partkey", "place", "line", "mips", "R_MIPS_").select("p_partkey", "line", "has_symbol")
+
+
+@query("select p_partkey, case when p_size > 25 then 'sw' || chr(9) || 'imm,addr(sp)' when p_size > 10 then 'beq' || chr(9) || 'a0,<target>' else 'lw' || chr(9) || 'a0,addr(sp)' end as line from part")
+def stack_and_branch_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.col("p_size").cast("string")
+    store, branch, load = (F.concat(F.lit(a), size, F.lit(b)) for a, b in (("sw\t3,", "(sp)"), ("beq\ta0,", ""), ("lw\ta0,-0x1f+", "(sp)")))
+    line = F.when(F.col("p_size") > 25, store).when(F.col("p_size") > 10, branch).otherwise(load)
+    return table(spark, sf_dir, "part").select("p_partkey", listing.branch_target_as_one(listing.stack_as_one(line, ("sw",)), ("beq",)).alias("line"))
+
+
+@query("select p_partkey, case when p_size > 25 then 'addis' else 'lwz' end as operation, case when p_size > 25 then 'r3,0,' || p_size else 'r3,' || p_size || '(0)' end as operands from part")
+def small_data_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size, large = F.col("p_size").cast("string"), F.col("p_size") > 25
+    operands = F.when(large, F.concat(F.lit("r3,"), size)).otherwise(F.concat(F.lit("r3,"), size, F.lit("(r13)")))
+    form = listing.small_data_form(F.when(large, "lis").otherwise("lwz"), operands)
+    return table(spark, sf_dir, "part").select("p_partkey", form.alias("x")).select("p_partkey", "x.operation", "x.operands")
+
+
+@query("select p_partkey, p_partkey as value from part")
+def based_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part keys, written to the base 16, 2, 8 or 10 and read again."""
+    key = F.col("p_partkey")
+    text = F.when(key % 4 == 0, F.concat(F.lit("0x"), F.hex(key))).when(key % 4 == 1, F.concat(F.lit("0b"), F.bin(key))).when(key % 4 == 2, F.concat(F.lit("0o"), F.conv(key.cast("string"), 10, 8))).otherwise(key.cast("string"))
+    return table(spark, sf_dir, "part").select("p_partkey", listing.based_int(text).alias("value"))
+
+
+@query("""select p_partkey, case when regexp_full_match(p_name, '[A-Za-z0-9_@%+=:,./-]+') then p_name else '''' || replace(p_name, '''', '''"''"''') || '''' end as word from part""")
+def shell_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", listing.shell_quoted(F.col("p_name")).alias("word"))
+
+
+@query("select p_partkey, 'f' || p_size as name from part")
+def function_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = F.concat(F.lit("int g(int a) {\n}\nint f"), F.col("p_size").cast("string"), F.lit("(int a) {\n  if(a) {\n  }\n}\n"))
+    return table(spark, sf_dir, "part").select("p_partkey", listing.function_name(source).alias("name"))
+
+
+@query("select page_id, block from (select page_id, unnest(regexp_extract_all(html, '(?s)<script>(.*?)</script>', 1)) as block from pages)")
+def embedded_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.explode(listing.blocks(F.col("html"), "<script>", "</script>")).alias("block"))
+
+
+@query(r"""select event_id, regexp_extract(props, '"(\w+)"', 1) as name, cast(regexp_extract(props, ': *(-?[0-9]+)', 1) as bigint) as value from events where props like '%:%'""")
+def store_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored JSON maps, one row an entry."""
+    return table(spark, sf_dir, "events").select("event_id", F.explode(F.from_json("props", "map<string, long>")).alias("name", "value"))
+
+
+@query(f"select job, seq, score from {RESULTS_SQL}")
+def score_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All results, the worst first."""
+    return results(table(spark, sf_dir, "events")).select("job", "seq", "score").orderBy(F.desc("score"), "job", "seq")
+
+
+@query("select p_partkey, concat_ws(',', case when p_size between 5 and 40 then null else 'p_size' end, case when p_retailprice between 1000 and 1500 then null else 'p_retailprice' end) as outside from part")
+def option_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", listing.outside({"p_size": (5, 40), "p_retailprice": (1000, 1500)}).alias("outside"))
+
+
+@query("select s as seed, chr(10) || ' a; b;' || chr(10) || (['c', 'd'])[s + 1] || chr(10) || 'e f' || chr(10) as variant from range(2) t(s)")
+def finished_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variants with a same-line region, a literal and pretended code."""
+    space = macros.parsed("PERM_FORCE_SAMELINE(a;\n b;)PERM_GENERAL(c,d)PERM_IGNORE(e f)PERM_PRETEND(g)")
+    return macros.finished(variants.enumerated(spark, space), "seed")
+
+
+@query()
+def align_opcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return scoring.opcodes(docs, (_target(docs).first()["text"] or "").split("\n"))
+
+
+@query()
+def line_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return scoring.line_diff(docs, (_target(docs).first()["text"] or "").split("\n"))

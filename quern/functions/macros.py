@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import variants
@@ -104,3 +105,31 @@ def parsed(source: str) -> Space:
         raise ValueError(f"PERM_{open_[-1].name} is not closed")
     body = open_[0].args[0].space()
     return variants.with_once(body) if body.once else body
+
+
+def finished(variants_: DataFrame, key: str, text: str = "variant") -> DataFrame:
+    """variants with their marker lines carried out: same-line regions on one line, pretended code dropped, literals decoded.
+
+    A marker leaves an empty line outside of same-line regions. White space at the end becomes one line end. Regions that don't
+    match are an error; a null text stays null. key must be unique: a text's lines are joined by it.
+    """
+    line = F.col("_line")
+    order = Window.partitionBy(key).orderBy("_no")
+
+    def depth(name: str) -> Column:
+        step = F.when(F.trim(line) == f"#pragma region {name}", 1).when(F.trim(line) == f"#pragma endregion {name}", -1).otherwise(0)
+        return F.sum(step).over(order.rowsBetween(Window.unboundedPreceding, 0))
+
+    marker = F.trim(line).rlike("^#pragma (region|endregion|literal) ")
+    own = F.when(F.trim(line).startswith("#pragma literal "), F.decode(F.unbase64(F.substring(F.trim(line), 17, 1 << 30)), "UTF-8")).when(marker | (F.col("_dropped") > 0), "").otherwise(line)
+    rows = variants_.select(key, F.posexplode(F.split(text, "\n", -1)).alias("_no", "_line"))
+    rows = rows.withColumn("_same", depth("force_sameline")).withColumn("_dropped", depth("pretend")).withColumn("_own", own)
+    is_open = F.lag((F.col("_same") > 0) & ~F.endswith("_own", F.lit("\n"))).over(order)
+    joined = F.when(F.coalesce(is_open, F.lit(False)) & (F.col("_own") != ""), F.concat(F.lit(" "), F.ltrim("_own"))).otherwise(F.col("_own"))
+    piece = F.when(F.col("_same") == 0, F.concat("_own", F.lit("\n"))).otherwise(joined)
+    last = F.max_by(F.struct("_same", "_dropped"), "_no")
+    whole = rows.withColumn("_piece", piece).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_no", "_piece"))).alias("_all"), last.alias("_last"), F.min(F.least("_same", "_dropped")).alias("_least"))
+    matched = (F.col("_last._same") == 0) & (F.col("_last._dropped") == 0) & (F.col("_least") >= 0)
+    done = F.concat(F.regexp_replace(F.array_join(F.transform("_all", lambda x: x["_piece"]), ""), r"\s+\z", ""), F.lit("\n"))
+    out = whole.select(key, F.when(matched, done).otherwise(F.raise_error(F.lit("regions don't match")).cast("string")).alias("_done"))
+    return variants_.join(out, key, "left").withColumn(text, F.col("_done")).drop("_done")

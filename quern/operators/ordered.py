@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions import listing
+
 
 def as_of(df: DataFrame, key: str, order: str, value: Column, name: str, forward: bool = False) -> DataFrame:
     """df with the nearest non-null value before (or after) each row of its key."""
@@ -66,3 +68,12 @@ def weighted_picks(df: DataFrame, order: str, weight: str, picks: DataFrame, wid
     ends = ranges.select("_range", "_to", F.coalesce(F.lag("_to").over(Window.orderBy("_range")), F.lit(0)).alias("_from"))
     found = picks.join(ends, (F.col("u") >= F.col("_from")) & (F.col("u") < F.col("_to"))).select("pick", "u", "_range")
     return found.join(summed.where(F.col(weight) > 0), "_range").where("cum > u").groupBy("pick", "u").agg(F.min(order).alias(order))
+
+
+def with_relocations(df: DataFrame, key: str, order: str, row: str, arch: str, mark: str) -> DataFrame:
+    """(key, order, row, has_symbol): rows that hold `mark` rewrite the row before them that doesn't, in order; those before any are dropped."""
+    is_note = F.contains(F.col(row), F.lit(mark))
+    head = F.sum(F.when(is_note, 0).otherwise(1)).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    grouped = df.withColumn("_head", head).where("_head > 0").groupBy(key, "_head").agg(F.min(order).alias(order), F.max(F.when(~is_note, F.col(row))).alias(row), F.array_sort(F.collect_list(F.when(is_note, F.struct(F.col(order).alias("at"), F.col(row).alias("note"))))).alias("_notes"))
+    written = F.aggregate("_notes", F.col(row), lambda line, x: listing.relocated(line, x["note"], arch))
+    return grouped.select(key, order, written.alias(row), (F.size("_notes") > 0).alias("has_symbol"))

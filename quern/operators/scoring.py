@@ -75,3 +75,33 @@ def align_scores(docs: DataFrame, target: list[str]) -> DataFrame:
             yield out.assign(doc_id=batch["doc_id"].values)[["doc_id", *out.columns]]
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, score long, mismatches long, insertions long, deletions long")
+
+
+def opcodes(docs: DataFrame, target: list[str], blind: bool = False) -> DataFrame:
+    """(doc_id, tag, i1, i2, j1, j2): the steps from each document's lines i1..i2 to the target's lines j1..j2.
+
+    Lines are compared by their first words, or if blind, whole but for white space at their ends. A null text has no steps.
+    """
+    names = ["doc_id", "tag", "i1", "i2", "j1", "j2"]
+
+    def name(line: str) -> str:
+        return line.strip() if blind else fields(line)[0]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        matcher = difflib.SequenceMatcher(autojunk=False)
+        matcher.set_seq2([name(x) for x in target])
+        for batch in batches:
+            for doc_id, text in zip(batch["doc_id"], batch["text"]):
+                if text is not None:
+                    matcher.set_seq1([name(x) for x in text.split("\n")])
+                    yield pd.DataFrame([(doc_id, *step) for step in matcher.get_opcodes()], columns=names)
+
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, tag string, i1 long, i2 long, j1 long, j2 long")
+
+
+def line_diff(docs: DataFrame, target: list[str]) -> DataFrame:
+    """(doc_id, sign, line_no): lines that only the document (+) or only the target (-) has, blind to white space at their ends."""
+    steps = opcodes(docs, target, blind=True).where("tag <> 'equal'")
+    sides = F.array(*(F.struct(F.lit(sign).alias("sign"), F.col(a).alias("a"), F.col(b).alias("b")) for sign, a, b in (("+", "i1", "i2"), ("-", "j1", "j2"))))
+    each = steps.select("doc_id", F.explode(sides).alias("x")).where("x.a < x.b")
+    return each.select("doc_id", "x.sign", F.explode(F.sequence("x.a", F.col("x.b") - 1)).alias("line_no"))

@@ -74,3 +74,44 @@ def permuted(seeds: DataFrame, seed: str, salt: str) -> DataFrame:
     before = counts.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     inside = F.row_number().over(Window.partitionBy("_range").orderBy("_key", seed))
     return ranged.withColumn("_in", inside).join(F.broadcast(before), "_range").withColumn("place", F.col("_before") + F.col("_in")).drop("_key", "_range", "_in", "_before")
+
+
+def wildcard_closure(edges: DataFrame, tokens: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, round): what edges(src, dst) reach if a node that ends in * stands for every src that contains what is before it.
+
+    tokens(token) are such nodes; they must be few, as they are broadcast.
+    """
+    stands_for = wildcard_edges(tokens, edges.select(F.col("src").alias("name")).distinct())
+    through = edges.join(stands_for, edges["src"] == stands_for["name"]).select(F.col("token").alias("src"), "dst")
+    return reachable(edges.union(through).distinct(), roots)
+
+
+def chain_ends(links: DataFrame, max_rounds: int = 40) -> DataFrame:
+    """(node, up): the end of each node's chain of links(node, up), by pointers that double their reach each round. One link a node.
+
+    A cycle is an error. Nodes that many chains lead to are a hot key of the join, which adaptive skew handling splits.
+    """
+    shared_folder(links.sparkSession)
+    at = links.select("node", "up").checkpoint()
+    for _ in range(max_rounds):
+        further = at.select(F.col("node").alias("up"), F.col("up").alias("_end"))
+        at = at.join(further, "up", "left").select("node", F.coalesce("_end", "up").alias("up"), F.col("_end").isNotNull().alias("_moved")).checkpoint()
+        if at.where("_moved").isEmpty():
+            return at.drop("_moved")
+        at = at.drop("_moved")
+    raise RuntimeError(f"chains don't end after {max_rounds} rounds: is there a cycle?")
+
+
+def around_pivot(df: DataFrame, key: str, order: str, pivot: Column, salt: str, whole: int = 20, side: int = 20) -> DataFrame:
+    """A random subset of each key's rows that holds its pivot, the row whose order is `pivot`.
+
+    Each other row by an even coin, in half of the keys, and none in the rest; of `whole` percent of the keys all rows; of `side`
+    percent of the others all rows on one side. Draws follow from SHA-256 of key, order and salt.
+    """
+
+    def drawn(name: str, limit: int, *parts: str) -> Column:
+        return uniform(F.concat_ws(":", *(F.col(p).cast("string") for p in (key, *parts)), F.lit(salt + name)), F.lit(limit))
+
+    coin = (drawn("half", 2) == 0) & (drawn("row", 2, order) == 0)
+    one_side = (drawn("side", 100) < side) & F.when(drawn("which", 2) == 0, F.col(order) < pivot).otherwise(F.col(order) > pivot)
+    return df.where((F.col(order) == pivot) | coin | (drawn("whole", 100) < whole) | one_side)

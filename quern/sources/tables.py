@@ -70,3 +70,10 @@ def settings(path: str) -> dict:
             return tomllib.load(f)
     except FileNotFoundError:
         return {}
+
+
+def weight_rows(spark: SparkSession, path: str, *sections: str) -> DataFrame:
+    """(layer, name, weight) of a TOML file of weights: layer k is the k-th section named; a section that is missing has no rows."""
+    found = settings(path)
+    rows = [(k, name, float(w)) for k, s in enumerate(sections) for name, w in found.get(s, {}).items()]
+    return spark.createDataFrame(rows, "layer int, name string, weight double")

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quern.operators.accept import static_rule
@@ -43,3 +44,19 @@ def run_available(stream: DataFrame, folder: str) -> DataFrame:
     if query.exception():
         raise query.exception()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{at}/out")
+
+
+def run_updates(stream: DataFrame, keys: list[str], folder: str) -> DataFrame:
+    """Runs a streaming aggregation over all that is there now; each batch adds the groups that it changed, and the last of each key counts."""
+    at = f"{folder}/stream-{uuid.uuid4().hex}"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.withColumn("_batch", F.lit(number).cast("long")).write.mode("append").parquet(f"{at}/out")
+
+    query = stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{at}/state").outputMode("update").trigger(availableNow=True).start()
+    query.awaitTermination()
+    if query.exception():
+        raise query.exception()
+    values = [c for c in stream.columns if c not in keys]
+    written = stream.sparkSession.read.schema(f"{', '.join(f'`{x.name}` {x.dataType.simpleString()}' for x in stream.schema)}, _batch long").parquet(f"{at}/out")
+    return written.groupBy(*keys).agg(F.max_by(F.struct(*values), "_batch").alias("_last")).select(*keys, *(F.col(f"_last.{c}") for c in values))
