@@ -2,7 +2,7 @@
 
 Words are lower-cased (A-Z) and stand in pieces, which phrases don't cross. Every task counts the phrases of 1 to `longest`
 words by sections of about a million words and sends their counts as cells of a sketch with DEPTH rows; the partial sketches
-are added up, chunk by chunk, and of each cell one bit is kept: whether it reaches `least`. A sketch never counts too little, so
+are added up, range by range, and of each cell one bit is kept: whether it reaches `least`. A sketch never counts too little, so
 a phrase with a cell below the mark can't be frequent. The second pass counts only phrases all of whose cells are set, this time by
 their words, and drops what the sketch overestimated; so nothing frequent is lost whatever the width. Parts of a frequent phrase are at
 least as frequent, so the exact counts hold all that scores need.
@@ -29,8 +29,8 @@ from quern.llm.common import partitions, read, stored
 
 LONGEST, LEAST, SHARE, TOP = 3, 10, 50, 2000
 DEPTH, LEAST_BITS, MOST_BITS = 2, 16, 28
-#: Cells of a chunk (16-bit places), words of a section, bytes of a text that are cut into words at a time.
-CHUNK, SECTION, SLICE = 1 << 16, 1 << 20, 1 << 22
+#: Ranges of cells that are merged one by one, words of a section, bytes of a text that are cut into words at a time.
+RANGES, SECTION, SLICE = 1024, 1 << 19, 1 << 22
 #: Marks that end a piece turn to a byte that UTF-8 never has; tabs to spaces; A-Z to a-z.
 MARK = b"\xff"
 TABLE = bytes(255 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -116,6 +116,8 @@ def cells(lang: str, numbers: list[np.ndarray], word_hashes: np.ndarray, bits: i
 def sketch(rows: DataFrame, longest: int, least: int, bits: int, limit: int = SECTION, cut: int = SLICE) -> np.ndarray:
     """One bit for each cell of the merged sketch of rows(lang, text as bytes): whether it counts `least` or more."""
 
+    width = (DEPTH << bits) // RANGES
+
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in sections(batches, longest, limit, cut):
             found = []
@@ -125,39 +127,44 @@ def sketch(rows: DataFrame, longest: int, least: int, bits: int, limit: int = SE
                     word_hashes = hashes(words) if word_hashes is None else word_hashes
                     at = cells(lang, numbers, word_hashes, bits)
                     found.append((at << np.uint64(8) | np.minimum(counts, 255).astype(np.uint64)).ravel())
-            if not found:
-                continue
-            packed = np.sort(np.concatenate(found))
-            chunk = packed >> np.uint64(24)
-            starts = np.flatnonzero(np.diff(chunk, prepend=chunk[:1] + np.uint64(1)))
-            ends = np.append(starts[1:], len(packed))
-            place, count = (packed >> np.uint64(8) & np.uint64(CHUNK - 1)).astype("<u2"), (packed & np.uint64(255)).astype(np.uint8)
-            for k in range(0, len(starts), 512):
-                some = list(zip(starts[k : k + 512], ends[k : k + 512]))
-                yield pa.RecordBatch.from_arrays([pa.array(chunk[starts[k : k + 512]].astype(np.int64)), pa.array([place[a:b].tobytes() for a, b in some]), pa.array([count[a:b].tobytes() for a, b in some])], ["chunk", "places", "counts"])
+            if found:
+                packed = np.sort(np.concatenate(found))
+                own = (packed >> np.uint64(8)) // np.uint64(width)
+                starts = np.searchsorted(own, np.arange(RANGES + 1, dtype=np.uint64)).tolist()
+                inside = (packed - ((own * np.uint64(width)) << np.uint64(8))).astype("<u4")  # place in the range, count
+                there = [k for k in range(RANGES) if starts[k] < starts[k + 1]]
+                yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array([inside[starts[k] : starts[k + 1]].tobytes() for k in there])], ["chunk", "cells"])
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Batches are sorted by chunk; one chunk is held at a time."""
+        """Rows come sorted by chunk; one chunk and some of its parts are held at a time."""
+
+        def added(total: np.ndarray, parts: list[bytes]) -> np.ndarray:
+            found = np.frombuffer(b"".join(parts), "<u4")
+            return np.minimum(total + np.bincount(found >> 8, found & 255, width).astype(np.int64), 1 << 20)
 
         def out(chunk: int, total: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([np.packbits(total >= least).tobytes()])], ["chunk", "bits"])
+            return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([np.packbits(total >= least).tobytes()])], ["chunk", "bits"])
 
-        now, total = None, None
+        now, total, parts, n = None, None, [], 0
         for batch in batches:
-            for chunk, places, counts in zip(*(c.to_pylist() for c in batch.columns)):
-                if chunk != now:
-                    if now is not None:
-                        yield out(now, total)
-                    now, total = chunk, np.zeros(CHUNK, np.int64)
-                total += np.bincount(np.frombuffer(places, "<u2"), np.frombuffer(counts, np.uint8), CHUNK).astype(np.int64)
+            for chunk, part in zip(*(c.to_pylist() for c in batch.columns)):
+                if chunk != now or n > 4 * width + (1 << 22):
+                    total = added(total, parts) if parts else total
+                    if chunk != now:
+                        if now is not None:
+                            yield out(now, total)
+                        now, total = chunk, np.zeros(width, np.int64)
+                    parts, n = [], 0
+                parts.append(part)
+                n += len(part)
         if now is not None:
-            yield out(now, total)
+            yield out(now, added(total, parts))
 
-    parts = rows.mapInArrow(partial, "chunk long, places binary, counts binary").repartition(partitions(rows.sparkSession), "chunk")
-    held = parts.sortWithinPartitions("chunk").mapInArrow(merged, "chunk long, bits binary").toArrow()  # at most DEPTH * 2**bits / 8 bytes
+    sent = rows.mapInArrow(partial, "chunk int, cells binary").repartition(partitions(rows.sparkSession), "chunk")
+    held = sent.sortWithinPartitions("chunk").mapInArrow(merged, "chunk int, bits binary").toArrow()  # at most DEPTH * 2**bits / 8 bytes
     bitmap = np.zeros(DEPTH << bits >> 3, np.uint8)
     for chunk, found in zip(held["chunk"].to_pylist(), held["bits"].to_pylist()):
-        bitmap[chunk * CHUNK // 8 : (chunk + 1) * CHUNK // 8] = np.frombuffer(found, np.uint8)
+        bitmap[chunk * width // 8 : (chunk + 1) * width // 8] = np.frombuffer(found, np.uint8)
     return bitmap
 
 
