@@ -54,10 +54,80 @@ def bag_score_vs_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.bag_scores(docs, _target(docs))
 
 
-@query()
+#: Alignment as common table expressions over {rows}(key, pos, name) and {target}(pos, name), ending in steps(key, tag, i1, i2, j1, j2).
+ALIGN_SQL = """cells as (select r.key, r.pos as i, t.pos as j from {rows} r join {target} t on r.name is not distinct from t.name),
+    runs as (select key, min(i) as a, min(j) as b, count(*) as n from (select *, i - row_number() over (partition by key, i - j order by i) as g from cells) group by key, i - j, g),
+    segs(kind, key, i1, i2, j1, j2) as (select 'open', key, 0::bigint, count(*), 0::bigint, (select count(*) from {target}) from {rows} group by key union all
+        select x.kind, key, x.i1, x.i2, x.j1, x.j2 from (select key, unnest([struct_pack(kind := 'equal', i1 := -best.a, i2 := best.n - best.a, j1 := -best.b, j2 := best.n - best.b), struct_pack(kind := 'split', i1 := i1, i2 := i2, j1 := j1, j2 := j2),
+            struct_pack(kind := 'open', i1 := i1, i2 := -best.a, j1 := j1, j2 := -best.b), struct_pack(kind := 'open', i1 := best.n - best.a, i2 := i2, j1 := best.n - best.b, j2 := j2)]) as x
+            from (select key, i1, i2, j1, j2, max(struct_pack(n := least(n, i2 - a, j2 - b) - skip, a := -(a + skip), b := -(b + skip))) as best from
+                (select s.*, a, b, n, greatest(0, i1 - a, j1 - b) as skip from segs s join runs r on s.key = r.key where kind = 'open') where least(n, i2 - a, j2 - b) > skip group by key, i1, i2, j1, j2))),
+    steps as (select key, 'equal' as tag, i1, i2, j1, j2 from segs where kind = 'equal' union all
+        select key, case when i1 = i2 then 'insert' when j1 = j2 then 'delete' else 'replace' end, i1, i2, j1, j2 from segs o where kind = 'open' and (i1 < i2 or j1 < j2)
+        and not exists (select 1 from segs s where s.kind = 'split' and (s.key, s.i1, s.i2, s.j1, s.j2) = (o.key, o.i1, o.i2, o.j1, o.j2))),
+    pairs as (select key, i, i - i1 + j1 as j from (select *, unnest(range(i1, i2)) as i from steps where tag = 'equal')),
+    more as (select key, unnest(range(i1, i2)) as i from steps where tag <> 'equal'), less as (select key, unnest(range(j1, j2)) as j from steps where tag <> 'equal')"""
+STRIPPED_SQL = "trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+#: Lines by their first words and comma-parted fields, and those of the first document as target.
+NAMED_SQL = f"""named as (select doc_id as key, line_no as pos, line, {{name}} as name, case when contains(s, ' ') then list_transform(string_split(substr(s, strpos(s, ' ') + 1), ','), lambda line: {STRIPPED_SQL}) else [] end as fields
+    from (select *, {STRIPPED_SQL} as s from {LINES_SQL} where doc_id in (select doc_id from documents where text is not null))), aim as (select * from named where key = (select min(doc_id) from documents))"""
+_first_word, _whole = (NAMED_SQL.format(name=x) + ", " + ALIGN_SQL.format(rows="named", target="aim") for x in ("split_part(s, ' ', 1)", "s"))
+
+
+def bags_sql(line: str, rows: str = "named", target: str = "aim") -> str:
+    """bags(key, reorderings, insertions, deletions) of lines that only one side of an alignment has."""
+    return f"""sided as (select more.key, {line} as line, 1 as n from more join {rows} r on r.key = more.key and r.pos = i union all select less.key, {line}, -1 from less join {target} t on t.pos = j),
+    bags as (select key, sum(least(m, l)) as reorderings, sum(m - least(m, l)) as insertions, sum(l - least(m, l)) as deletions from
+        (select key, line, count(*) filter (n > 0) as m, count(*) filter (n < 0) as l from sided group by key, line) group by key)"""
+
+
+@query(f"""with recursive {_first_word}, {bags_sql("line")},
+    differ as (select p.key, sum(len(list_filter(range(1, least(len(r.fields), len(t.fields)) + 1), lambda k: r.fields[k] <> t.fields[k])) + abs(len(r.fields) - len(t.fields))) as mismatches
+        from pairs p join named r on r.key = p.key and r.pos = p.i join aim t on t.pos = p.j group by p.key)
+    select doc_id, cast(case when text is null then {scoring.FAILED} else 5 * coalesce(mismatches, 0) + 60 * coalesce(reorderings, 0) + 100 * coalesce(insertions + deletions, 0) end as bigint) as score,
+    cast(coalesce(mismatches, 0) as bigint) as mismatches, cast(coalesce(insertions, 0) as bigint) as insertions, cast(coalesce(deletions, 0) as bigint) as deletions
+    from documents d left join bags b on b.key = doc_id left join differ f on f.key = doc_id""")
 def align_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return scoring.align_scores(docs, (_target(docs).first()["text"] or "").split("\n"))
+    return scoring.align_scores(docs, _target(docs))
+
+
+#: Line items as rows of a listing (l_orderkey, pos, row, name, has_symbol), and the longest order's as target.
+ITEM_ROWS_SQL = """items as (select l_orderkey as key, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_returnflag, l_linestatus) - 1 as pos,
+    cast(l_suppkey % 4 as varchar) as k, cast(l_quantity as bigint) as q, l_returnflag as f, l_linestatus as s from lineitem),
+    listed as (select key, pos, case when f = 'A' then 'lw' when f = 'R' then 'beq' when s = 'O' then 'jal' else 'addiu' end as name, f not in ('A', 'R') and (s = 'O' or q % 5 = 0) as has_symbol,
+    case when f = 'A' then 'lw' || chr(9) || 'a' || k || ',' || 4 * q || '(sp)' when f = 'R' then 'beq' || chr(9) || 'a' || k || ',zero,L' || q % 20 when s = 'O' then 'jal' || chr(9) || 'f' || q % 3
+        else 'addiu' || chr(9) || 'v' || k || ',v0,' || case when q % 5 = 0 then '.data+' || q else cast(q % 10 as varchar) end end as row from items),
+    goal as (select * from listed where key = (select key from listed group by key order by count(*) desc, key limit 1))"""
+#: Line items by the rules above, with the last operand's bracket apart.
+_item_fields = "string_split(regexp_replace(split_part({0}.row, chr(9), 2), '[(]', ','), ',')"
+_item_ends = "(r.name = 'lw' or (r.name = 'beq' and list_last(string_split(r.row, ',')) <> list_last(string_split(t.row, ','))))"
+
+
+@query(f"""with recursive {ITEM_ROWS_SQL}, {ALIGN_SQL.format(rows="listed", target="goal")}, {bags_sql("row", "listed", "goal")},
+    beside as (select p.key, r.row as a, t.row as b, r.name, t.has_symbol as symbol, {_item_ends} as ends, {_item_fields.format("r")} as x, {_item_fields.format("t")} as y
+        from pairs p join listed r on r.key = p.key and r.pos = p.i join goal t on t.pos = p.j where r.row <> t.row),
+    cut as (select *, case when name = 'lw' then abs(cast(regexp_extract(a, ',([0-9]+)[(]sp[)]', 1) as bigint) - cast(regexp_extract(b, ',([0-9]+)[(]sp[)]', 1) as bigint)) else 0 end as stack, (name = 'beq' and ends)::int as branch,
+        case when name = 'lw' then x[1:1] when ends then x[1:len(x) - 1] else x end as u, case when name = 'lw' then y[1:1] when ends then y[1:len(y) - 1] else y end as v from beside),
+    differ as (select key, sum(stack) as stack, sum(branch) as branch, sum(len(list_filter(range(1, least(len(u), len(v)) + 1), lambda k: u[k] <> v[k] and not (symbol and contains(u[k], '.')))) + abs(len(u) - len(v))) as register from cut group by key)
+    select key as l_orderkey, cast(coalesce(stack, 0) as bigint) as stack, cast(coalesce(branch, 0) as bigint) as branch, cast(coalesce(register, 0) as bigint) as register, cast(coalesce(reorderings, 0) as bigint) as reorderings,
+    cast(coalesce(insertions, 0) as bigint) as insertions, cast(coalesce(deletions, 0) as bigint) as deletions,
+    cast(coalesce(stack, 0) + coalesce(branch, 0) + 5 * coalesce(register, 0) + 60 * coalesce(reorderings, 0) + 100 * coalesce(insertions + deletions, 0) as bigint) as score
+    from (select distinct key from listed) left join differ using (key) left join bags using (key)""")
+def score_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order as a listing, its lines being operations, scored by all six penalties against the order with the most lines."""
+    items = table(spark, sf_dir, "lineitem")
+    names = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_returnflag", "l_linestatus")
+    place = (F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*names)) - 1).cast("long")  # an order has few lines
+    k, q, f, s = (F.col("l_suppkey") % 4).cast("string"), F.col("l_quantity").cast("long"), F.col("l_returnflag"), F.col("l_linestatus")
+    last = F.when(q % 5 == 0, F.concat(F.lit(".data+"), q.cast("string"))).otherwise((q % 10).cast("string"))
+    join = lambda *parts: F.concat(*(p if not isinstance(p, str) else F.lit(p) for p in parts))
+    row = F.when(f == "A", join("lw\ta", k, ",", (4 * q).cast("string"), "(sp)")).when(f == "R", join("beq\ta", k, ",zero,L", (q % 20).cast("string")))
+    row = row.when(s == "O", join("jal\tf", (q % 3).cast("string"))).otherwise(join("addiu\tv", k, ",v0,", last))
+    rows = items.select("l_orderkey", place.alias("pos"), row.alias("row"), F.substring_index(row, "\t", 1).alias("name"), (~f.isin("A", "R") & ((s == "O") | (q % 5 == 0))).alias("has_symbol"))
+    longest = items.groupBy("l_orderkey").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l_orderkey").limit(1)  # one row
+    target = rows.join(F.broadcast(longest.select("l_orderkey")), "l_orderkey").drop("l_orderkey")
+    return scoring.listing_scores(rows, target, "l_orderkey", "pos", "mips")
 
 
 @query("""with f as (select user_id, event_id, event_type, cast(floor(value) as bigint) as v, props, lag(event_type) over w as pt, lag(cast(floor(value) as bigint)) over w as pv, lag(props) over w as pp from events window w as (partition by user_id order by event_id))
@@ -95,12 +165,12 @@ def deleted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bags(spark, sf_dir).where("m > n").selectExpr("user_id", "event_type", "m - n as lines")
 
 
-@query("""with s as (select user_id, string_agg(substr(event_type, 1, 1), '' order by event_id) as s from events group by user_id)
+@query("""with c as (select event_type, chr(cast(64 + row_number() over (order by event_type) as integer)) as c from (select distinct event_type from events)),
+    s as (select user_id, string_agg(c, '' order by event_id) as s from events join c using (event_type) group by user_id)
     select user_id, levenshtein(s, (select s from s where user_id = (select min(user_id) from s))) as distance from s""")
 def mnemonic_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    codes = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("event_id", F.substring("event_type", 1, 1).alias("c")))), lambda x: x["c"]), "").alias("s"))
-    first = codes.orderBy("user_id").limit(1).select(F.col("s").alias("t"))
-    return codes.join(F.broadcast(first)).select("user_id", F.levenshtein("s", "t").cast("long").alias("distance"))
+    events = table(spark, sf_dir, "events")
+    return scoring.distances(events, events.agg(F.min("user_id")).first()[0], "user_id", "event_id", "event_type")
 
 
 # Enumeration
@@ -225,7 +295,8 @@ def stop_at_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"select job, score, seq, row_number() over (partition by job, score order by seq) as counter from {RESULTS_SQL}")
 def result_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return results(table(spark, sf_dir, "events")).select("job", "score", "seq", F.row_number().over(Window.partitionBy("job", "score").orderBy("seq")).cast("long").alias("counter"))
+    rows = results(table(spark, sf_dir, "events")).select("job", "score", "seq", F.struct("job", "score").alias("name"))
+    return ordered.with_running(rows, "name", ["seq"], F.lit(1).cast("long"), "counter").drop("name")
 
 
 # Weights, picks and roll-ups
@@ -316,7 +387,7 @@ def unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""select event_id, row_number() over (partition by user_id order by event_id) as turn, row_number() over (order by t, user_id) as position from
     (select *, row_number() over (partition by user_id order by event_id) as t from events)""")
 def round_robin_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ordered.round_robin(table(spark, sf_dir, "events"), "user_id", "event_id").select("event_id", "turn", "position")
+    return ordered.round_robin(table(spark, sf_dir, "events").select("user_id", "event_id"), "user_id", "event_id").select("event_id", "turn", "position")
 
 
 @query("select min(doc_id) as doc_id, sha256(coalesce(text, '')) as text_hash from documents group by 2")
@@ -328,13 +399,13 @@ def first_seen_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select event_id, last_value(case when event_type = 'purchase' then event_id end ignore nulls) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding) as last_write from events")
 def asof_prev(spark: SparkSession, sf_dir: str) -> DataFrame:
     write = F.when(F.col("event_type") == "purchase", F.col("event_id"))
-    return ordered.as_of(table(spark, sf_dir, "events"), "user_id", "event_id", write, "last_write").select("event_id", "last_write")
+    return ordered.as_of(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id", write, "last_write").select("event_id", "last_write")
 
 
-@query("select event_id, first_value(case when event_type = 'purchase' then event_id end ignore nulls) over (partition by user_id order by event_id rows between 1 following and unbounded following) as next_write from events")
+@query("select event_id, first_value(case when event_type = 'purchase' then event_id end ignore nulls) over (partition by user_id order by event_id rows between current row and unbounded following) as next_write from events")
 def asof_next(spark: SparkSession, sf_dir: str) -> DataFrame:
     write = F.when(F.col("event_type") == "purchase", F.col("event_id"))
-    return ordered.as_of(table(spark, sf_dir, "events"), "user_id", "event_id", write, "next_write", forward=True).select("event_id", "next_write")
+    return ordered.as_of(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id", write, "next_write", forward=True, own=True).select("event_id", "next_write")
 
 
 @query("""with c as (select *, case when event_type = lag(event_type) over (partition by user_id order by event_id) then 0 else 1 end as c from events),
@@ -364,8 +435,8 @@ def trim_trailing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select event_id from (select event_id, lag(event_type) over (partition by user_id order by event_id) as b from events) where b is distinct from 'error'")
 def delay_slot_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows but those that follow an error."""
-    before = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("event_id"))
-    return table(spark, sf_dir, "events").select("event_id", before.alias("b")).where(~F.col("b").eqNullSafe("error")).select("event_id")
+    rows = ordered.neighbour(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id", F.col("event_type"), "before")
+    return rows.where(~F.col("before").eqNullSafe("error")).select("event_id")
 
 
 @query("""with g as (select *, sum(case when event_type = 'view' then 0 else 1 end) over (partition by user_id order by event_id) as g from events)
@@ -373,22 +444,22 @@ def delay_slot_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def notes_to_row_before(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Views as notes on the row before them that is none."""
     is_note = F.col("event_type") == "view"
-    head = F.sum(F.when(is_note, 0).otherwise(1)).over(Window.partitionBy("user_id").orderBy("event_id"))
-    rows = table(spark, sf_dir, "events").withColumn("head", head).where("head > 0")
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    rows = ordered.with_running(events, "user_id", ["event_id"], F.when(is_note, 0).otherwise(1), "head").where("head > 0")
     return rows.groupBy("user_id", "head").agg(F.min("event_id").alias("event_id"), (F.count("*") - 1).alias("notes"), F.max(F.when(is_note, F.col("event_id"))).alias("last_note")).drop("user_id", "head")
 
 
 @query("select event_id, event_type || coalesce('>' || lead(event_type) over (partition by user_id order by event_id), '') as pair from events")
 def next_row_peek(spark: SparkSession, sf_dir: str) -> DataFrame:
-    after = F.lead("event_type").over(Window.partitionBy("user_id").orderBy("event_id"))
-    return table(spark, sf_dir, "events").select("event_id", F.concat("event_type", F.coalesce(F.concat(F.lit(">"), after), F.lit(""))).alias("pair"))
+    rows = ordered.neighbour(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id", F.col("event_type"), "after", forward=True)
+    return rows.select("event_id", F.concat("event_type", F.coalesce(F.concat(F.lit(">"), F.col("after")), F.lit(""))).alias("pair"))
 
 
 @query("select event_id, row_number() over (partition by user_id order by case when event_type = 'error' then 1 else 0 end, event_id) as place from events")
 def late_section_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places inside a user's rows when errors go behind all others."""
-    order = Window.partitionBy("user_id").orderBy(F.col("event_type") == "error", "event_id")
-    return table(spark, sf_dir, "events").select("event_id", F.row_number().over(order).cast("long").alias("place"))
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_type") == "error").alias("late"))
+    return ordered.with_running(rows, "user_id", ["late", "event_id"], F.lit(1).cast("long"), "place").select("event_id", "place")
 
 
 @query("""select a.l_orderkey, a.l_linenumber as outer_line, b.l_linenumber as inner_line from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey
@@ -546,8 +617,7 @@ def _drawn(limit: int, parts: str) -> str:
     select job, seq, coalesce({_drawn(10, "seq || 'keep'")} < 6 and before not in (0, {scoring.FAILED}), false) as keeps from w""")
 def keep_previous(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a result goes on from the one before it: six times of ten, if that one is neither perfect nor failed."""
-    before = F.lag("score").over(Window.partitionBy("job").orderBy("seq"))
-    rows = results(table(spark, sf_dir, "events")).withColumn("before", before)
+    rows = ordered.neighbour(results(table(spark, sf_dir, "events")).select("job", "seq", "score"), "job", "seq", F.col("score"), "before")
     drawn = tables.uniform(F.concat(F.col("seq").cast("string"), F.lit("keep")), F.lit(10)) < 6
     return rows.select("job", "seq", F.coalesce(drawn & ~F.col("before").isin(0, scoring.FAILED), F.lit(False)).alias("keeps"))
 
@@ -576,8 +646,8 @@ def first_applicable(spark: SparkSession, sf_dir: str) -> DataFrame:
 def counted_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results after which no work of their job is out any more."""
     step = F.when(F.col("event_type").isin("signup", "view"), 1).when(F.col("event_type").isin("purchase", "click"), -1).otherwise(0)
-    rows = table(spark, sf_dir, "events").withColumn("d", step)
-    return rows.withColumn("s", F.sum("d").over(Window.partitionBy("user_id").orderBy("event_id"))).where("d = -1 and s = 0").select("event_id")
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", step.cast("long").alias("d"))
+    return ordered.with_running(rows, "user_id", ["event_id"], F.col("d"), "s").where("d = -1 and s = 0").select("event_id")
 
 
 @query("select event_id from events e left join (select user_id as u, min(event_id) as last from events where event_type = 'purchase' and value < 5 group by 1) r on e.user_id = r.u where last is null or event_id <= last")
@@ -592,8 +662,9 @@ def late_results_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
 def silent_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows after which their user is silent for more than 50,000 seconds."""
     at = F.unix_micros(F.col("ts").cast("timestamp"))
-    gap = F.lead(at).over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - at
-    return table(spark, sf_dir, "events").select("event_id", gap.alias("g")).where(F.col("g") > 50000 * 1000000).select("event_id", F.call_function("div", F.col("g"), F.lit(1000000)).alias("seconds"))
+    rows = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", at.alias("at"))
+    later = ordered.neighbour(rows, "user_id", ["ts", "event_id"], F.col("at"), "later", forward=True)
+    return later.select("event_id", (F.col("later") - F.col("at")).alias("g")).where(F.col("g") > 50000 * 1000000).select("event_id", F.call_function("div", F.col("g"), F.lit(1000000)).alias("seconds"))
 
 
 @query(ORACLE_SQL["stats_of_known_users"])
@@ -611,7 +682,7 @@ def stream_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Rows of listings and other texts
 
 
-@query(rf"""select doc_id, cast(line_no as integer) as line_no, array_to_string(list_transform(regexp_extract_all(line, '[A-Za-z0-9_]+|[^A-Za-z0-9_]+'), lambda w: case when regexp_full_match(w, '[0-9]{{2,18}}') then '0x' || printf('%x', try_cast(w as bigint)) else w end), '') as line from {LINES_SQL}""")
+@query(rf"""select doc_id, cast(line_no as integer) as line_no, array_to_string(list_transform(regexp_extract_all(line, '[A-Za-z0-9_]+|[^A-Za-z0-9_]+'), lambda w: case when regexp_full_match(w, '[0-9]{{2,18}}') then '0x' || printf('%x', try_cast(w as bigint)) when regexp_full_match(w, '[0-9]{{19,38}}') then '0x' || lower(to_hex(try_cast(w as hugeint))) else w end), '') as line from {LINES_SQL}""")
 def numbers_as_hex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(table(spark, sf_dir, "documents")).select("doc_id", "line_no", listing.numbers_as_hex(F.col("line")).alias("line"))
 
@@ -692,13 +763,13 @@ def finished_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return macros.finished(variants.enumerated(spark, space), "seed")
 
 
-@query()
+@query(f"with recursive {_first_word} select key as doc_id, tag, i1, i2, j1, j2 from steps")
 def align_opcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return scoring.opcodes(docs, (_target(docs).first()["text"] or "").split("\n"))
+    return scoring.opcodes(docs, _target(docs))
 
 
-@query()
+@query(f"with recursive {_whole} select key as doc_id, '+' as sign, i as line_no from more union all select key, '-', j from less")
 def line_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return scoring.line_diff(docs, (_target(docs).first()["text"] or "").split("\n"))
+    return scoring.line_diff(docs, _target(docs))

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import difflib
-from collections import Counter
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions import listing
+from quern.operators import alignment
 from quern.sources.tables import lines
 
 #: Penalties of a candidate's differences, and the score of one that could not be evaluated.
@@ -42,66 +39,62 @@ def field_mismatches(a: Column, b: Column) -> Column:
     return F.aggregate(pairs, F.lit(0), lambda s, x: s + x) + F.abs(F.size(a) - F.size(b))
 
 
-def fields(line: str) -> list[str]:
-    head, _, rest = line.strip().partition(" ")
-    return [head, *(f.strip() for f in rest.split(","))] if rest else [head]
-
+def named_lines(docs: DataFrame, blind: bool = False) -> DataFrame:
+    """(doc_id, line_no, line, name, fields) of texts that aren't null: a line's name is its first word, or if blind the whole line,
+    white space at its ends aside; its fields are what commas part in the rest."""
+    line = listing.stripped(F.col("line"))
+    rest = F.when(F.contains(line, F.lit(" ")), F.transform(F.split(F.expr("substring(_line, instr(_line, ' ') + 1)"), ",", -1), lambda x: listing.stripped(x))).otherwise(F.array().cast("array<string>"))
+    rows = lines(docs.where("text is not null")).withColumn("_line", line)
+    return rows.select("doc_id", "line_no", "line", (F.col("_line") if blind else F.substring_index("_line", " ", 1)).alias("name"), rest.alias("fields"))
 
-def align(candidate: list[str], target: list[str]) -> tuple[int, int, int, int]:
-    """(score, field mismatches, insertions, deletions) of an alignment by the first words of lines."""
-    matcher = difflib.SequenceMatcher(None, [fields(x)[0] for x in candidate], [fields(x)[0] for x in target], autojunk=False)
-    mismatches, more, less = 0, Counter(), Counter()
-    for tag, i1, i2, j1, j2 in matcher.get_opcodes():
-        if tag == "equal":
-            for x, y in zip(candidate[i1:i2], target[j1:j2]):
-                a, b = fields(x)[1:], fields(y)[1:]
-                mismatches += sum(p != q for p, q in zip(a, b)) + abs(len(a) - len(b))
-        else:
-            more.update(candidate[i1:i2])
-            less.update(target[j1:j2])
-    reordered = sum((more & less).values())
-    inserted, deleted = sum(more.values()) - reordered, sum(less.values()) - reordered
-    score = PENALTY["register"] * mismatches + PENALTY["reorder"] * reordered + PENALTY["insert"] * inserted + PENALTY["delete"] * deleted
-    return score, mismatches, inserted, deleted
 
+def align_scores(docs: DataFrame, target: DataFrame) -> DataFrame:
+    """Score, field mismatches, insertions and deletions of every document's lines against those of target, one document; a null text has failed."""
+    known = docs.where("text is not null")
+    mismatches = {"mismatches": field_mismatches(F.col("new.fields"), F.col("old.fields"))}
+    weights = PENALTY | {"mismatches": PENALTY["register"]}
+    found = alignment.scores(named_lines(docs), named_lines(target).drop("doc_id"), "doc_id", "line_no", "name", "line", mismatches, weights, known)
+    zero = F.lit(0).cast("long")
+    failed = docs.where("text is null").select("doc_id", F.lit(FAILED).cast("long").alias("score"), zero.alias("mismatches"), zero.alias("insertions"), zero.alias("deletions"))
+    return found.select(F.col("key").alias("doc_id"), "score", "mismatches", "insertions", "deletions").union(failed)
 
-def align_scores(docs: DataFrame, target: list[str]) -> DataFrame:
-    """align() of every document's lines with the target's, in Arrow batches; a null text has failed."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(FAILED, 0, 0, 0) if t is None else align(t.split("\n"), target) for t in batch["text"]]
-            out = pd.DataFrame(rows, columns=["score", "mismatches", "insertions", "deletions"])
-            yield out.assign(doc_id=batch["doc_id"].values)[["doc_id", *out.columns]]
+def opcodes(docs: DataFrame, target: DataFrame, blind: bool = False) -> DataFrame:
+    """(doc_id, tag, i1, i2, j1, j2): the steps from each document's lines i1..i2 to the lines j1..j2 of target, one document.
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, score long, mismatches long, insertions long, deletions long")
+    Lines are compared by their first words, or if blind, whole but for white space at their ends. A null text has no steps.
+    """
+    return alignment.steps(named_lines(docs, blind), named_lines(target, blind), "doc_id", "line_no", "name").withColumnRenamed("key", "doc_id")
 
 
-def opcodes(docs: DataFrame, target: list[str], blind: bool = False) -> DataFrame:
-    """(doc_id, tag, i1, i2, j1, j2): the steps from each document's lines i1..i2 to the target's lines j1..j2.
+def line_diff(docs: DataFrame, target: DataFrame) -> DataFrame:
+    """(doc_id, sign, line_no): lines that only the document (+) or only the target (-) has, blind to white space at their ends."""
+    _, more, less = alignment.sides(opcodes(docs, target, blind=True).withColumnRenamed("doc_id", "key"))
+    signed = more.select("key", F.lit("+").alias("sign"), F.col("i").alias("line_no")).union(less.select("key", F.lit("-").alias("sign"), F.col("j").alias("line_no")))
+    return signed.withColumnRenamed("key", "doc_id")
 
-    Lines are compared by their first words, or if blind, whole but for white space at their ends. A null text has no steps.
-    """
-    names = ["doc_id", "tag", "i1", "i2", "j1", "j2"]
 
-    def name(line: str) -> str:
-        return line.strip() if blind else fields(line)[0]
+def distances(rows: DataFrame, first: object, key: str, order: str, name: str) -> DataFrame:
+    """(key, distance): how many names must be put in, taken out or replaced to turn each sequence into that of the key `first`.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matcher = difflib.SequenceMatcher(autojunk=False)
-        matcher.set_seq2([name(x) for x in target])
-        for batch in batches:
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                if text is not None:
-                    matcher.set_seq1([name(x) for x in text.split("\n")])
-                    yield pd.DataFrame([(doc_id, *step) for step in matcher.get_opcodes()], columns=names)
+    Each distinct name has a character of its own, so names count as equal only if they are; more than 50,000 names are an error. A
+    sequence is one value, as the functions that it stands for are. Null names are left out.
+    """
+    named = rows.where(F.col(name).isNotNull())
+    numbers = named.select(name).distinct().agg(F.array_sort(F.collect_list(name)).alias("_names"))
+    numbers = numbers.select(F.when(F.size("_names") <= 50_000, F.map_from_entries(F.transform("_names", lambda x, i: F.struct(x, i)))).otherwise(F.raise_error("more than 50,000 names")).alias("_of"))
+    code = F.decode(F.unhex(F.lpad(F.hex(F.element_at("_of", F.col(name)) + 65), 4, "0")), "UTF-16BE")
+    coded = named.join(F.broadcast(numbers)).groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), code.alias("c")))), lambda x: x["c"]), "").alias("_own"))
+    aim = coded.where(F.col(key) == first).select(F.col("_own").alias("_aim"))
+    return coded.join(F.broadcast(aim)).select(key, F.levenshtein("_own", "_aim").cast("long").alias("distance"))
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, tag string, i1 long, i2 long, j1 long, j2 long")
 
+def listing_scores(rows: DataFrame, target: DataFrame, key: str, order: str, arch: str, stack: bool = True, branches: bool = True) -> DataFrame:
+    """(key, stack, branch, register, reorderings, insertions, deletions, score) of listings against a target's, by all six penalties.
 
-def line_diff(docs: DataFrame, target: list[str]) -> DataFrame:
-    """(doc_id, sign, line_no): lines that only the document (+) or only the target (-) has, blind to white space at their ends."""
-    steps = opcodes(docs, target, blind=True).where("tag <> 'equal'")
-    sides = F.array(*(F.struct(F.lit(sign).alias("sign"), F.col(a).alias("a"), F.col(b).alias("b")) for sign, a, b in (("+", "i1", "i2"), ("-", "j1", "j2"))))
-    each = steps.select("doc_id", F.explode(sides).alias("x")).where("x.a < x.b")
-    return each.select("doc_id", "x.sign", F.explode(F.sequence("x.a", F.col("x.b") - 1)).alias("line_no"))
+    Both have the columns order, row, name (the operation) and has_symbol. `stack` counts how far places on the stack are apart, `branches`
+    counts branches that go elsewhere; otherwise rows should come in the normal form without them.
+    """
+    found = listing.differences(F.col("new"), F.col("old"), arch, stack, branches)
+    scored = alignment.scores(rows, target, key, order, "name", "row", found, PENALTY)
+    return scored.withColumnRenamed("key", key)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.sources.tables import shared_folder
+from quern.operators.ranges import with_running
+from quern.sources.tables import checkpointed, shared_folder
 
 
 def overlay(base: DataFrame, *layers: DataFrame, key: str = "name", value: str = "weight") -> DataFrame:
@@ -38,10 +39,10 @@ def fair_order(jobs: DataFrame, units: int, scale: int) -> DataFrame:
 
 
 def demand(df: DataFrame, key: str, order: str, halves: Column) -> DataFrame:
-    """df with units: what a carried sum of half units makes whole at each row."""
-    w = Window.partitionBy(key).orderBy(order)
-    total = F.sum(halves).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("_sum", total).withColumn("units", F.floor(F.col("_sum") / 2) - F.floor(F.coalesce(F.lag("_sum").over(w), F.lit(0)) / 2)).drop("_sum")
+    """df with units: what a carried sum of half units makes whole at each row. A column of that name is replaced."""
+    summed = with_running(df.withColumn("_halves", halves), key, [order], F.col("_halves"), "_sum")
+    whole = F.floor(F.col("_sum") / 2) - F.floor((F.col("_sum") - F.col("_halves")) / 2)
+    return summed.withColumn("units", whole).drop("_sum", "_halves")
 
 
 def reachable(edges: DataFrame, roots: DataFrame, max_rounds: int = 200) -> DataFrame:

@@ -20,7 +20,7 @@ def test_relocations_rewrite_the_row_before(spark):
 
 
 def test_numbers_and_names(spark):
-    cases = [("add 12,-34 r10 0x20 7 x_11", "add 0xc,-0x22 r10 0x20 7 x_11"), ("", ""), ("9" * 20, "9" * 20)]
+    cases = [("add 12,-34 r10 0x20 7 x_11", "add 0xc,-0x22 r10 0x20 7 x_11"), ("", "")] + [(str(n), hex(n)) for n in (10**18 - 1, 10**18, 10**19, int("9" * 30), 16**40, 7**99)]
     df = spark.createDataFrame(cases, "a string, b string")
     assert [r[0] for r in df.select(listing.numbers_as_hex(df.a)).collect()] == [c[1] for c in cases]
     ints = {"0x1F": 31, "-0b11": -3, "0o17": 15, "12": 12, "00": 0, "012": None, "": None, "x": None, "9" * 30: None}
@@ -44,12 +44,13 @@ def test_steps_lead_to_the_target(spark):
     target = [rnd.choice("abc") for _ in range(9)]
     texts = {i: [rnd.choice("abcd") for _ in range(rnd.randint(1, 12))] for i in range(40)}
     docs = spark.createDataFrame([*((i, "\n".join(t)) for i, t in texts.items()), (99, None)], "doc_id long, text string")
-    steps = scoring.opcodes(docs, target).orderBy("doc_id", "i1", "j1").collect()
+    aim = lambda rows: spark.createDataFrame([(0, "\n".join(rows))], "doc_id long, text string")
+    steps = scoring.opcodes(docs, aim(target)).orderBy("doc_id", "i1", "j1").collect()
     for i, own in texts.items():
         made = [x for s in steps if s.doc_id == i for x in (own[s.i1 : s.i2] if s.tag == "equal" else target[s.j1 : s.j2])]
         assert made == target
     assert 99 not in {s.doc_id for s in steps}
-    diff = scoring.line_diff(spark.createDataFrame([(1, " a\nb \nx")], "doc_id long, text string"), ["a", "b", "c"]).collect()
+    diff = scoring.line_diff(spark.createDataFrame([(1, " a\nb \nx")], "doc_id long, text string"), aim(["a", "b", "c"])).collect()
     assert {(r.sign, r.line_no) for r in diff} == {("+", 2), ("-", 2)}
 
 

@@ -61,19 +61,18 @@ def test_enumeration_covers_every_variant_once(spark):
         v.with_once(v.once("k", v.text("a")))
 
 
-def test_alignment_counts():
-    assert scoring.align(["a 1, 2", "b"], ["a 1, 2", "b"]) == (0, 0, 0, 0)
-    assert scoring.align(["a", "b"], ["a"]) == (100, 0, 1, 0)
-    assert scoring.align(["a"], ["a", "b"]) == (100, 0, 0, 1)
-    assert scoring.align(["b", "a"], ["a", "b"])[0] == 60
-    assert scoring.align(["a 1, 2"], ["a 1, 3"]) == (5, 1, 0, 0)
+def test_alignment_counts(spark):
+    cases = [("a 1, 2\nb", "a 1, 2\nb", (0, 0, 0, 0)), ("a\nb", "a", (100, 0, 1, 0)), ("a", "a\nb", (100, 0, 0, 1)), ("b\na", "a\nb", (60, 0, 0, 0)), ("a 1, 2", "a 1, 3", (5, 1, 0, 0))]
+    for own, aim, want in cases:
+        docs, target = (spark.createDataFrame([(1, t)], "doc_id long, text string") for t in (own, aim))
+        assert tuple(scoring.align_scores(docs, target).select("score", "mismatches", "insertions", "deletions").first()) == want
 
 
 def test_bag_score_of_equal_and_null_texts(spark):
     df = spark.createDataFrame([(1, "x\nx\nx"), (2, "x"), (3, None)], "doc_id long, text string")
     got = {r.doc_id: (r.reorderings, r.insertions, r.deletions) for r in scoring.bag_scores(df, df.where("doc_id = 2")).collect()}
     assert got == {1: (1, 2, 0), 2: (1, 0, 0), 3: (0, 1, 1)}
-    assert scoring.align_scores(df, ["x"]).where("doc_id = 3").first().score == scoring.FAILED
+    assert scoring.align_scores(df, df.where("doc_id = 2")).where("doc_id = 3").first().score == scoring.FAILED
 
 
 def test_overlay_drops_unknown_keys(spark):
