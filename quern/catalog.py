@@ -11,6 +11,7 @@ from quern.functions import listing, macros, variants
 from quern.operators import accept, ordered, scoring, tables
 from quern.sources.tables import lines, shared_folder, table, table_stream
 from quern.streaming.accept import accepted_stream, run_available, run_updates
+from quern.streaming.state import removals, results_of_work, silences
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -679,6 +680,33 @@ def stream_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_updates(counted, ["level", "name"], shared_folder(spark))
 
 
+@query("""with s as (select *, sum(case when event_type in ('signup', 'view') then 1 when event_type = 'purchase' then -1 else 0 end) over (partition by user_id order by event_id) as s from events),
+    e as (select *, min(case when s = 0 and event_type in ('purchase', 'error') then event_id end) over (partition by user_id order by event_id rows between current row and unbounded following) as gone from s)
+    select distinct user_id as job, gone as seq from e where event_type = 'error' and gone is not null""")
+def stream_removals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors ask for the removal of their user's job, which goes with the first result after which no work is out."""
+    events = table_stream(spark, sf_dir, "events")
+    step = F.when(F.col("event_type").isin("signup", "view"), 1).when(F.col("event_type") == "purchase", -1).otherwise(0)
+    rows = events.select(F.col("user_id").alias("job"), F.col("event_id").alias("seq"), step.alias("step"), (F.col("event_type") == "error").alias("ask"))
+    return run_available(removals(rows), shared_folder(spark))
+
+
+@query("""with g as (select user_id, epoch_us(ts) // 1000 as last, lead(epoch_us(ts) // 1000) over (partition by user_id order by ts) as after from events)
+    select user_id, last, last + 86400000 as silent from g where after - last > 86400000 or (after is null and last + 86400000 <= (select max(epoch_us(ts) // 1000) from events))""")
+def stream_silences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users that weren't heard for 20 hours and two half periods of two hours more, by event time."""
+    return run_available(silences(table_stream(spark, sf_dir, "events"), "user_id", "ts", 20 * 3_600_000, 4 * 3_600_000), shared_folder(spark))
+
+
+@query("""select o_orderkey as work, count(*) as results from orders join lineitem on o_orderkey = l_orderkey and l_quantity > 10 and l_shipdate >= o_orderdate and l_shipdate <= o_orderdate + interval 120 day group by 1""")
+def stream_work_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of each order that came within 120 days, by a join of two streams; results out of time or of no known work are dropped."""
+    work = table_stream(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("work"), F.col("o_orderdate").alias("given"))
+    done = table_stream(spark, sf_dir, "lineitem").where("l_quantity > 10").select(F.col("l_orderkey").alias("work"), F.col("l_shipdate").alias("done"))
+    found = run_available(results_of_work(work, done, "120 days"), shared_folder(spark))
+    return found.groupBy("work").agg(F.count("*").alias("results"))
+
+
 # Rows of listings and other texts
 
 

@@ -8,32 +8,44 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import TimerValues
 
 from quern.operators.accept import static_rule
+from quern.streaming.state import own, with_state
 
 RESULT = "job long, seq long, score long, hash string, best_before long"
 
 
-def accepted_stream(results: DataFrame, base: int, better_only: bool = False, best_only: bool = False, threshold: int | None = None, base_hash: str | None = None) -> DataFrame:
-    """Rows must come with non-decreasing seq in each job. State of a job: the best score and the hashes seen.
-
-    What a row alone decides is filtered before the shuffle.
-    """
-    results = results.where(static_rule(results, base, better_only, threshold, base_hash))
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        best, seen = state.get if state.exists else (base, [])
-        seen, out = set(seen), []
-        for r in pd.concat(list(frames)).sort_values("seq").itertuples():
-            if (r.score == 0 or r.hash not in seen) and not (best_only and r.score > best):
-                out.append((key[0], r.seq, r.score, r.hash, best))
-            seen.add(r.hash)
+class Acceptance(StatefulProcessor):
+    """Of a job: the best score, and a map of the hashes seen, of which a batch reads and writes only its own rows' entries."""
+
+    def __init__(self, base: int, best_only: bool):
+        self.base, self.best_only = base, best_only
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.best = handle.getValueState("best", "score long")
+        self.seen = handle.getMapState("seen", "hash string", "seen boolean")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        best = self.best.get()[0] if self.best.exists() else self.base
+        out = []
+        for r in pd.concat(list(rows)).sort_values("seq").itertuples():
+            known = r.score != 0 and self.seen.containsKey((r.hash,))
+            if not known and not (self.best_only and r.score > best):
+                out.append((own(key), r.seq, r.score, r.hash, best))
+            if r.score != 0 and not known:
+                self.seen.updateValue((r.hash,), (True,))
             best = min(best, r.score)
-        state.update((int(best), sorted(seen)))
-        yield pd.DataFrame(out, columns=["job", "seq", "score", "hash", "best_before"])
+        self.best.update((int(best),))
+        yield pd.DataFrame(out, columns=["job", "seq", "score", "hash", "best_before"]).astype({"job": "Int64"})
+
 
-    return results.groupBy("job").applyInPandasWithState(step, RESULT, "best long, seen array<string>", "append", GroupStateTimeout.NoTimeout)
+def accepted_stream(results: DataFrame, base: int, better_only: bool = False, best_only: bool = False, threshold: int | None = None, base_hash: str | None = None) -> DataFrame:
+    """Rows must come with non-decreasing seq in each job; inside a batch they may come in any order. What a row alone decides is
+    filtered before the shuffle. Null jobs are a job; rows with a null score or hash are not accepted."""
+    rows = results.where(static_rule(results, base, better_only, threshold, base_hash)).select("job", "seq", "score", "hash")
+    return with_state(rows, "job").transformWithStateInPandas(Acceptance(base, best_only), RESULT, "append", "None")
 
 
 def run_available(stream: DataFrame, folder: str) -> DataFrame:
