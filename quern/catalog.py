@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import math
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.functions import listing, macros, variants
+from quern.functions import listing, macros, seeds, variants
 from quern.operators import accept, ordered, scoring, tables
 from quern.sources.tables import lines, shared_folder, table, table_stream
 from quern.streaming.accept import accepted_stream, run_available, run_updates
@@ -514,10 +515,25 @@ def wildcard_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.wildcard_edges(tokens, table(spark, sf_dir, "nation").select(F.col("n_name").alias("name")))
 
 
-@query("select s as seed, cast(row_number() over (order by sha256(cast(s as varchar) || 'order'), s) as bigint) as place from range(375) t(s)")
+@query(f"""with recursive c as (select count(*) as n, cast(ceil(sqrt(count(*))) as bigint) as a from part), d as (select n, a, (n + a - 1) // a as b from c),
+    walk(seed, x, i) as (select seed, seed, 0 from (select row_number() over (order by p_partkey) - 1 as seed from part) union all select seed, {seeds.step_sql("x", "order")}, i + 1 from walk, d where i = 0 or x >= n)
+    select seed as seed, arg_max(x, i) as place from walk group by seed""")
 def seed_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every seed of a space once, in an order that looks random."""
-    return tables.permuted(spark.range(375).select(F.col("id").alias("seed")), "seed", "order").select("seed", "place")
+    """Every seed of a space with as many variants as there are parts, in an order that looks random."""
+    n = table(spark, sf_dir, "part").count()
+    return seeds.shuffled(spark.range(n).select(F.col("id").alias("seed")), "seed", n, "order") if n else spark.range(0).selectExpr("id as seed", "id as place")
+
+
+@query("""with recursive n as (select list(n_name order by n_nationkey) as n from nation),
+    t(key, seed, rest, s, out) as (select s_suppkey, cast(v as varchar), n, v, [] ::varchar[] from (select s_suppkey, (s_suppkey::hugeint + 1) * 15511210043330985983 * 99991 % 15511210043330985984000000 as v from supplier), n union all
+        select key, seed, rest[1:s % len(rest)] || rest[s % len(rest) + 2:len(rest)], s // len(rest), list_append(out, rest[cast(s % len(rest) + 1 as integer)]) from t where len(rest) > 0)
+    select seed, array_to_string(out, chr(10)) as variant from t where len(rest) = 0""")
+def large_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each supplier's own of the 25! orders of the nations, which are more than a long counts."""
+    space = variants.orders([variants.text(n) for n in _names(spark, sf_dir, "nation")])
+    one, size = (F.lit(str(x)).cast("decimal(38,0)") for x in (15511210043330985983, math.factorial(25)))
+    seed = (F.col("s_suppkey").cast("decimal(6,0)") + 1) * one * F.lit(99991).cast("decimal(5,0)") % size
+    return variants.decoded(table(spark, sf_dir, "supplier").select(seed.cast("string").alias("seed")), "seed", space)
 
 
 @query("""with r as (select list(r_name order by r_regionkey) as r from region), n as (select list(n_name order by n_nationkey) as n from nation)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,7 +55,7 @@ def literal(part: Space) -> Space:
         shown = part.decode(seed, chosen)
         return F.when(shown == "", "").otherwise(F.concat(F.lit("\n#pragma literal "), F.base64(F.encode(shown, "UTF-8")), F.lit("\n")))
 
-    return Space(part.size, decode, part.once)
+    return Space(part.size, decode, part.once, part.random)
 
 
 def built(name: str, args: list[Argument]) -> Space:
@@ -75,12 +75,14 @@ def built(name: str, args: list[Argument]) -> Space:
     if name == "INT":
         return variants.integer(*(int(a.raw) for a in args))
     inner = variants.combine(*(x for k, a in enumerate(args) for x in ([variants.text(",")] if k else []) + [a.space()]))
-    return literal(inner) if name == "IGNORE" else wrapped(name.lower(), inner)
+    return literal(inner) if name == "IGNORE" else replace(wrapped(name.lower(), inner), random=True) if name == "RANDOMIZE" else wrapped(name.lower(), inner)
 
 
-def parsed(source: str) -> Space:
+def parsed(source: str, auto_random: bool = False) -> Space:
     """The space of a macro text; a text without any choice has one variant. (,) in a macro stands for a comma.
 
+    With auto_random a text of one variant, none of whose code is marked to be randomised, is marked as a whole.
+
     Raises ValueError for unknown names, brackets that don't match, wrong numbers of arguments, and keys of PERM_ONCE that stand
     at one place only. Names of variables are plain texts. The markers of randomised, same-line and pretended code are this
     module's own.
@@ -104,7 +106,8 @@ def parsed(source: str) -> Space:
     if len(open_) > 1:
         raise ValueError(f"PERM_{open_[-1].name} is not closed")
     body = open_[0].args[0].space()
-    return variants.with_once(body) if body.once else body
+    whole = variants.with_once(body) if body.once else body
+    return replace(wrapped("randomize", whole), random=True) if auto_random and whole.size <= 1 and not whole.random else whole
 
 
 def finished(variants_: DataFrame, key: str, text: str = "variant") -> DataFrame:

@@ -67,16 +67,6 @@ def wildcard_edges(tokens: DataFrame, names: DataFrame) -> DataFrame:
     return names.join(F.broadcast(tokens), F.col("token").endswith("*") & F.contains(F.col("name"), part)).select("token", "name")
 
 
-def permuted(seeds: DataFrame, seed: str, salt: str) -> DataFrame:
-    """seeds with place, from 1: their order by SHA-256 of seed and salt. Ranges of the hash are counted first, then ranked each for itself."""
-    key = F.sha2(F.concat(F.col(seed).cast("string"), F.lit(salt)), 256)
-    ranged = seeds.withColumn("_key", key).withColumn("_range", F.substring("_key", 1, 2))
-    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))  # 256 rows at most
-    before = counts.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy("_key", seed))
-    return ranged.withColumn("_in", inside).join(F.broadcast(before), "_range").withColumn("place", F.col("_before") + F.col("_in")).drop("_key", "_range", "_in", "_before")
-
-
 def wildcard_closure(edges: DataFrame, tokens: DataFrame, roots: DataFrame) -> DataFrame:
     """(node, round): what edges(src, dst) reach if a node that ends in * stands for every src that contains what is before it.
 
