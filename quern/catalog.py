@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions import listing, macros, seeds, variants
-from quern.operators import accept, ordered, scoring, tables
+from quern.operators import accept, ordered, scoring, tables, trees
 from quern.sources.tables import lines, shared_folder, table, table_stream
 from quern.streaming.accept import accepted_stream, run_available, run_updates
 from quern.streaming.state import removals, results_of_work, silences
@@ -616,6 +616,48 @@ def chain_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.chain_ends(table(spark, sf_dir, "part").where("p_size > 0 and p_partkey > p_size").select(F.col("p_partkey").alias("node"), up))
 
 
+@query("""with recursive e as (select 'p' || l_partkey as src, 's' || l_suppkey as dst, bool_and(l_returnflag <> 'N' or l_linestatus = 'F') as weak from lineitem where l_quantity > 40 group by 1, 2
+        union select 's' || l_suppkey, 'p' || l_partkey, bool_and(l_returnflag <> 'N' or l_linestatus = 'F') from lineitem where l_quantity <= 2 group by 1, 2),
+    r(node) as (select 's' || min(s_suppkey) from supplier union select dst from r join e on src = node where not weak)
+    select node, false as weak from r union all select distinct dst, true from r join e on src = node where weak and dst not in (select node from r)""")
+def strong_and_weak(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts and suppliers that open items lead to, and those that only other items name."""
+    items = table(spark, sf_dir, "lineitem").where("l_quantity > 40 or l_quantity <= 2")
+    part, supplier = F.concat(F.lit("p"), F.col("l_partkey").cast("string")), F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))
+    ends = (F.when(F.col("l_quantity") > 40, x).otherwise(y).alias(c) for x, y, c in ((part, supplier, "src"), (supplier, part, "dst")))
+    roots = table(spark, sf_dir, "supplier").agg(F.concat(F.lit("s"), F.min("s_suppkey").cast("string")).alias("node"))
+    return tables.strong_and_weak(items.select(*ends, ((F.col("l_returnflag") != "N") | (F.col("l_linestatus") == "F")).alias("weak")), roots)
+
+
+#: Tags of pages that are always closed, and their nodes: html is cut at them, and each opens or closes a node.
+TAGS = "</?(?:html|body|nav|ul|li|a|div|article|footer|h1)(?: [^>]*)?>"
+TREE_SQL = f"""t as (select page_id, unnest(range(len(ts))) as pos, unnest(ts) as tag from (select page_id, regexp_extract_all(html, '{TAGS}') as ts from pages)),
+    u as (select page_id, pos, case when tag like '</%' then -1 else 1 end as step, regexp_extract(tag, '[a-z0-9]+') as label from t),
+    d as (select *, sum(step) over (partition by page_id order by pos) as depth from u),
+    n as (select page_id, pos as node, label, depth - 1 as depth, (select min(c.pos) from d c where c.page_id = o.page_id and c.pos > o.pos and c.depth = o.depth - 1) as upto from d o where step = 1),
+    s as (select page_id, node, any_value(n.label) as label, any_value(n.depth) as depth, any_value(upto) as upto, count(*) as size, string_agg((d.depth - 1 - n.depth) || d.label, ',' order by pos) as serial
+        from n join d using (page_id) where d.step = 1 and pos >= node and pos < coalesce(upto, pos + 1) group by page_id, node)"""
+
+
+def _page_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tags = table(spark, sf_dir, "pages").select(F.col("page_id").alias("tree"), F.posexplode(F.regexp_extract_all("html", F.lit(TAGS), F.lit(0))).alias("pos", "tag"))
+    step = F.when(F.startswith("tag", F.lit("</")), -1).otherwise(1)
+    return trees.nodes(tags.select("tree", F.col("pos").cast("long").alias("pos"), step.alias("step"), F.regexp_extract("tag", "[a-z0-9]+", 0).alias("label")))
+
+
+@query(f"""with {TREE_SQL} select page_id, node, label, cast(depth as bigint) as depth, (select max(p.node) from n p where p.page_id = s.page_id and p.depth = s.depth - 1 and p.node < s.node) as parent, upto as "end" from s""")
+def page_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements of each page with their parents and where they end, by the depth of their tags."""
+    return _page_nodes(spark, sf_dir).select(F.col("tree").alias("page_id"), "node", "label", "depth", "parent", "end")
+
+
+@query(f"with {TREE_SQL} select min(struct_pack(p := page_id, n := node)).p as page_id, min(struct_pack(p := page_id, n := node)).n as node, any_value(size) as size, count(*) as n from s where size >= 2 group by serial having count(*) > 1")
+def repeated_subtrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shapes of two elements or more that several places of the pages have, each with the first of them."""
+    found = trees.repeated(trees.hashed(_page_nodes(spark, sf_dir)))
+    return found.select(F.col("tree").alias("page_id"), "node", "size", "n")
+
+
 # Draws
 
 

@@ -6,14 +6,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.operators.ranges import with_running
-from quern.sources.tables import checkpointed, shared_folder
+from quern.sources.tables import shared_folder, stored
+
+
+#: Different tokens with a wildcard that a table of names is held against.
+MOST_TOKENS = 10_000
 
 
 def overlay(base: DataFrame, *layers: DataFrame, key: str = "name", value: str = "weight") -> DataFrame:
-    """base's keys, each with the value of the last layer that has it; keys that only a layer has are dropped."""
+    """base's keys, each with the value of the last layer that has it; keys that only a layer has are dropped. Of a key that a layer
+    repeats the largest value counts; a null value, as a null key, overlays nothing."""
     out = base
     for layer in layers:
-        over = layer.select(F.col(key).alias("_key"), F.col(value).alias("_value"))
+        over = layer.groupBy(F.col(key).alias("_key")).agg(F.max(value).alias("_value"))
         out = out.join(over, out[key] == over["_key"], "left").withColumn(value, F.coalesce("_value", value)).drop("_key", "_value")
     return out
 
@@ -45,32 +50,53 @@ def demand(df: DataFrame, key: str, order: str, halves: Column) -> DataFrame:
     return summed.withColumn("units", whole).drop("_sum", "_halves")
 
 
-def reachable(edges: DataFrame, roots: DataFrame, max_rounds: int = 200) -> DataFrame:
-    """(node, round): what edges(src, dst) reach from roots(node), round by round, each checkpointed in the shared folder."""
-    shared_folder(edges.sparkSession)
-    seen = roots.select("node").distinct().withColumn("round", F.lit(0)).checkpoint()
-    new = seen
-    for k in range(1, max_rounds + 1):
-        step = edges.join(new.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
-        new = step.join(seen.select("node"), "node", "left_anti").withColumn("round", F.lit(k)).checkpoint()
+def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, round): what edges(src, dst) reach from roots(node), round by round, in as many rounds as the longest of the shortest ways has edges.
+
+    Edges are stored once, different ones by src, and a round reads them along the new nodes alone. Nodes found are in one table a
+    round; a node that many edges lead to is told once. Null nodes are reached by no edge and lead nowhere, but null roots stay.
+    """
+    known = stored(edges.where("src is not null and dst is not null").select("src", "dst").distinct().repartition("src"))
+    new = stored(roots.select("node").distinct().withColumn("round", F.lit(0)))
+    found = new
+    k = 0
+    while True:
+        k += 1
+        step = known.join(new.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
+        new = stored(step.join(found.select("node"), "node", "left_anti").withColumn("round", F.lit(k)))
         if new.isEmpty():
-            return seen
-        seen = seen.union(new)
-        if k % 10 == 0:
-            seen = seen.checkpoint()
-    raise RuntimeError(f"not all is reached after {max_rounds} rounds")
+            return found
+        found = found.union(new)
+        if k % 20 == 0:
+            found = stored(found)
+
+
+def strong_and_weak(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, weak): what strong edges of edges(src, dst, weak) reach from roots(node), and, weak, the border that only weak edges from there reach.
+
+    A weak edge needs no more than that its end is named: it leads to the border and not beyond, unless strong edges reach the end by
+    another way. An edge that stands as weak and as strong is strong; a null of weak counts as strong.
+    """
+    weak = F.coalesce("weak", F.lit(False))
+    strong = reachable(edges.where(~weak), roots).select("node")
+    border = edges.where(weak & F.col("dst").isNotNull()).join(strong.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
+    return strong.withColumn("weak", F.lit(False)).union(border.join(strong, "node", "left_anti").withColumn("weak", F.lit(True)))
 
 
 def wildcard_edges(tokens: DataFrame, names: DataFrame) -> DataFrame:
-    """(token, name): names(name) that contain what stands before the final * of tokens(token). tokens are broadcast and so must be few."""
+    """(token, name): names(name) that contain what stands before the final * of tokens(token). Tokens are compared with every name, so
+    more than MOST_TOKENS different ones are an error."""
+    few = tokens.distinct().limit(MOST_TOKENS + 1)
+    if few.count() > MOST_TOKENS:
+        raise ValueError(f"more than {MOST_TOKENS} tokens")
     part = F.expr("substring(token, 1, length(token) - 1)")
-    return names.join(F.broadcast(tokens), F.col("token").endswith("*") & F.contains(F.col("name"), part)).select("token", "name")
+    return names.join(F.broadcast(few), F.col("token").endswith("*") & F.contains(F.col("name"), part)).select("token", "name")
 
 
 def wildcard_closure(edges: DataFrame, tokens: DataFrame, roots: DataFrame) -> DataFrame:
     """(node, round): what edges(src, dst) reach if a node that ends in * stands for every src that contains what is before it.
 
-    tokens(token) are such nodes; they must be few, as they are broadcast.
+    tokens(token) are such nodes.
     """
     stands_for = wildcard_edges(tokens, edges.select(F.col("src").alias("name")).distinct())
     through = edges.join(stands_for, edges["src"] == stands_for["name"]).select(F.col("token").alias("src"), "dst")
@@ -78,12 +104,13 @@ def wildcard_closure(edges: DataFrame, tokens: DataFrame, roots: DataFrame) -> D
 
 
 def chain_ends(links: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """(node, up): the end of each node's chain of links(node, up), by pointers that double their reach each round. One link a node.
+    """(node, up): the end of each node's chain of links(node, up), by pointers that double their reach each round. Of a node that has
+    several links the least counts; links of or to null are dropped.
 
     A cycle is an error. Nodes that many chains lead to are a hot key of the join, which adaptive skew handling splits.
     """
     shared_folder(links.sparkSession)
-    at = links.select("node", "up").checkpoint()
+    at = links.where("node is not null and up is not null").groupBy("node").agg(F.min("up").alias("up")).checkpoint()
     for _ in range(max_rounds):
         further = at.select(F.col("node").alias("up"), F.col("up").alias("_end"))
         at = at.join(further, "up", "left").select("node", F.coalesce("_end", "up").alias("up"), F.col("_end").isNotNull().alias("_moved")).checkpoint()
