@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import math
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions import listing, macros, seeds, variants
 from quern.operators import accept, ordered, scoring, tables, trees
+from quern.sources import sinks
 from quern.sources.tables import lines, shared_folder, table, table_stream
 from quern.streaming.accept import accepted_stream, run_available, run_updates
 from quern.streaming.state import removals, results_of_work, silences
@@ -118,6 +120,14 @@ _item_ends = "(r.name = 'lw' or (r.name = 'beq' and list_last(string_split(r.row
     from (select distinct key from listed) left join differ using (key) left join bags using (key)""")
 def score_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order as a listing, its lines being operations, scored by all six penalties against the order with the most lines."""
+    rows = _item_rows(spark, sf_dir).select("l_orderkey", "pos", "row", "name", "has_symbol")
+    longest = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l_orderkey").limit(1)  # one row
+    target = rows.join(F.broadcast(longest.select("l_orderkey")), "l_orderkey").drop("l_orderkey")
+    return scoring.listing_scores(rows, target, "l_orderkey", "pos", "mips")
+
+
+def _item_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ITEM_ROWS_SQL's rows, with q, the quantity."""
     items = table(spark, sf_dir, "lineitem")
     names = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_returnflag", "l_linestatus")
     place = (F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*names)) - 1).cast("long")  # an order has few lines
@@ -126,10 +136,7 @@ def score_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     join = lambda *parts: F.concat(*(p if not isinstance(p, str) else F.lit(p) for p in parts))
     row = F.when(f == "A", join("lw\ta", k, ",", (4 * q).cast("string"), "(sp)")).when(f == "R", join("beq\ta", k, ",zero,L", (q % 20).cast("string")))
     row = row.when(s == "O", join("jal\tf", (q % 3).cast("string"))).otherwise(join("addiu\tv", k, ",v0,", last))
-    rows = items.select("l_orderkey", place.alias("pos"), row.alias("row"), F.substring_index(row, "\t", 1).alias("name"), (~f.isin("A", "R") & ((s == "O") | (q % 5 == 0))).alias("has_symbol"))
-    longest = items.groupBy("l_orderkey").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l_orderkey").limit(1)  # one row
-    target = rows.join(F.broadcast(longest.select("l_orderkey")), "l_orderkey").drop("l_orderkey")
-    return scoring.listing_scores(rows, target, "l_orderkey", "pos", "mips")
+    return items.select("l_orderkey", place.alias("pos"), row.alias("row"), F.substring_index(row, "\t", 1).alias("name"), (~f.isin("A", "R") & ((s == "O") | (q % 5 == 0))).alias("has_symbol"), q.alias("q"))
 
 
 @query("""with f as (select user_id, event_id, event_type, cast(floor(value) as bigint) as v, props, lag(event_type) over w as pt, lag(cast(floor(value) as bigint)) over w as pv, lag(props) over w as pp from events window w as (partition by user_id order by event_id))
@@ -329,9 +336,14 @@ def weighted_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.weighted_picks(part, "p_partkey", "p_size", picks)
 
 
-@query("select d as distance, cast(round((power(d + 1, -1.5) + 0.005) * 1000000) as bigint) as weight_millionths from range(100) r(d)")
+@query("""select l_orderkey, l_linenumber, cast(round((power(abs(l_linenumber - 4) + 1, -1.5) + (case when l_returnflag = 'N' then 0.5 else 1.0 end)::double / count(*) over (partition by l_orderkey)) * 1000000) as bigint) as weight_millionths from lineitem""")
 def distance_decay_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(100).select(F.col("id").alias("distance"), F.round(tables.decay(F.col("id"), F.lit(0.005)) * 1000000).cast("long").alias("weight_millionths"))
+    """The weight of each item by how far it is from the fourth line, with an even share among the order's items that depends on its kind."""
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
+    n = items.groupBy("l_orderkey").agg(F.count("*").alias("n"))
+    share = F.when(F.col("l_returnflag") == "N", 0.5).otherwise(1.0) / F.col("n")
+    weight = tables.decay(F.abs(F.col("l_linenumber") - 4), share)
+    return items.join(n, "l_orderkey").select("l_orderkey", "l_linenumber", F.round(weight * 1000000).cast("long").alias("weight_millionths"))
 
 
 @query("""with s as (select event_type, sum(cast(value as decimal(18,2))) as v from events group by event_type)
@@ -658,6 +670,58 @@ def repeated_subtrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("tree").alias("page_id"), "node", "size", "n")
 
 
+@query("select event_type, user_id % 7 as server, user_id as client, count(*) as n, count(*) filter (value < 50) as improved, count(*) filter (value < 5) as matched from events group by grouping sets ((), (event_type), (user_id % 7), (user_id))")
+def stats_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes in total, by function, by server and by client, from one pass over counts by all three."""
+    events = table(spark, sf_dir, "events").select("event_type", (F.col("user_id") % 7).alias("server"), F.col("user_id").alias("client"), "value")
+    levels = [[], [F.col("event_type")], [F.col("server")], [F.col("client")]]
+    return events.groupingSets(levels, "event_type", "server", "client").agg(F.count("*").alias("n"), F.count_if(F.col("value") < 50).alias("improved"), F.count_if(F.col("value") < 5).alias("matched"))
+
+
+@query(f"""with r as (select job, case when source = 'error' and score % 2 = 0 then {scoring.FAILED} else score end as score, source = 'error' and score % 2 = 1 as internal from {RESULTS_SQL})
+    select job, count(*) as iterations, count(*) filter (internal or score >= {scoring.FAILED}) as errors, count(*) filter (internal) as internal_errors, min(score) filter (not internal and score < {scoring.FAILED}) as best from r group by job""")
+def error_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Iterations and errors of each job: failed evaluations, which score infinitely, and internal ones, which have no score."""
+    rows = results(table(spark, sf_dir, "events"))
+    internal = (F.col("source") == "error") & (F.col("score") % 2 == 1)
+    rows = rows.select("job", internal.alias("internal"), F.when((F.col("source") == "error") & (F.col("score") % 2 == 0), scoring.FAILED).otherwise(F.col("score")).alias("score"))
+    return scoring.error_counts(rows, "job", F.col("internal"))
+
+
+@query(f"""with l as (select doc_id, line_no, line, length(line) > 60 and line_no % 5 = 0 as s from {LINES_SQL}), m as (select *, lead(s) over (partition by doc_id order by line_no) as next_s, count(*) over (partition by doc_id) as n from l),
+    k as (select doc_id, line_no, line_no % 4 = 1 and line_no + 2 < n as starts, line_no % 4 = 3 as ends from m where line_no < n - n % 4),
+    g as (select doc_id, line_no, starts, ends, sum(case when starts then 1 else 0 end) over (partition by doc_id order by line_no) as g, sum(case when starts then 1 when ends then -1 else 0 end) over (partition by doc_id order by line_no) as depth from k),
+    r as (select doc_id, g, min(line_no) as first, max(line_no) as last from g where depth = 1 and not starts group by doc_id, g),
+    c as (select doc_id, arg_min(struct_pack(first := first, last := last), sha256(doc_id || ':' || first || ':pick')) as at from r group by doc_id)
+    select g.doc_id, cast(g.line_no as integer) as line_no from g left join c using (doc_id) where not starts and not ends and (c.at is null or g.line_no between c.at.first and c.at.last)""")
+def region_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of one region of each document: of every four lines the second starts a region and the fourth ends it."""
+    rows = lines(table(spark, sf_dir, "documents"))
+    n = rows.groupBy("doc_id").agg(F.count("*").alias("n"))
+    fours = rows.join(n, "doc_id").where(F.col("line_no") < F.col("n") - F.col("n") % 4).select("doc_id", "line_no", "n")
+    starts, ends = (F.col("line_no") % 4 == 1) & (F.col("line_no") + 2 < F.col("n")), F.col("line_no") % 4 == 3
+    return ordered.chosen_region(fours, "doc_id", "line_no", starts, ends, "pick").select("doc_id", "line_no")
+
+
+@query(f"select job, seq, score, row_number() over (partition by job, score order by seq % 2, seq) as counter from {RESULTS_SQL}")
+def result_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results written in two runs, those with even seq first; the second run's counters go on."""
+    rows = results(table(spark, sf_dir, "events"))
+    path = f"{shared_folder(spark)}/results-{uuid.uuid4().hex}"  # a lasting one would be given here
+    sinks.write_results(rows.where("seq % 2 = 0"), path)
+    return sinks.write_results(rows.where("seq % 2 = 1"), path).select("job", "seq", "score", "counter")
+
+
+@query("select doc_id, length(text) as score from documents")
+def scored_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents scored over two runs; the second one works out only texts that the first, over English ones, has not."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    path = f"{shared_folder(spark)}/memo-{uuid.uuid4().hex}"  # a lasting one would be given here
+    score = lambda new: new.select("digest", F.length("source").cast("long").alias("score"))
+    sinks.scored_once(docs.where("lang = 'en'"), path, score, "text")
+    return sinks.scored_once(docs, path, score, "text").select("doc_id", "score")
+
+
 # Draws
 
 
@@ -773,40 +837,62 @@ def numbers_as_hex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(table(spark, sf_dir, "documents")).select("doc_id", "line_no", listing.numbers_as_hex(F.col("line")).alias("line"))
 
 
-@query("""select p_partkey, case when p_size > 25 then 'lw' || chr(9) || 'a0,%lo(' || replace(p_brand, ' ', '') || '+' || p_size || ')(v0)' else 'addiu' || chr(9) || 'a0,a1,' || p_size end as line, p_size > 25 as has_symbol from part""")
+@query(rf"""with {ITEM_ROWS_SQL.replace("cast(l_quantity as bigint) as q,", "cast(l_quantity as bigint) as q, cast(l_partkey as varchar) as part,").replace("select key, pos, case", "select key, pos, q, part, case")},
+    noted as (select *, case when name = 'jal' then 'R_MIPS_26 f' || part when name = 'lw' and q % 3 = 0 then 'R_MIPS_GPREL16 d' || part when name = 'addiu' and has_symbol then 'R_MIPS_HI16 d' || part end as note from listed),
+    cut as (select *, regexp_extract(row, '^(.*[\s,])?([^\s,()]+)([(][^()]*[)])?\s*$', 1) as head, regexp_extract(row, '^(.*[\s,])?([^\s,()]+)([(][^()]*[)])?\s*$', 2) as v, regexp_extract(row, '^(.*[\s,])?([^\s,()]+)([(][^()]*[)])?\s*$', 3) as tail,
+        string_split(note, ' ')[2] as sym from noted)
+    select key as l_orderkey, 2 * pos as place, case when note is null then row else head || replace(case when note like '%_26 %' then '?' when note like '%HI16%' then '%hi(?)' else '%lo(?)' end, '?', sym || case when v in ('0', 'imm', 'addr') then '' when v like '-%' then v else '+' || v end) || tail end as row,
+    note is not null as has_symbol from cut""")
 def relocations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two rows for parts of more than 25: a load, and the relocation that names its symbol."""
-    part = table(spark, sf_dir, "part")
-    size, tab = F.col("p_size").cast("string"), F.lit("\t")
-    load = F.concat(F.lit("lw"), tab, F.lit("a0,"), size, F.lit("(v0)"))
-    note = F.concat(F.lit("R_MIPS_LO16"), tab, F.replace("p_brand", F.lit(" "), F.lit("")))
-    rows = F.when(F.col("p_size") > 25, F.array(load, note)).otherwise(F.array(F.concat(F.lit("addiu"), tab, F.lit("a0,a1,"), size)))
-    listed = part.select("p_partkey", F.posexplode(rows).alias("place", "line"))
-    return ordered.with_relocations(listed, "p_partkey", "place", "line", "mips", "R_MIPS_").select("p_partkey", "line", "has_symbol")
+    """Orders as listings, some of whose rows are followed by a relocation that names a symbol for their last operand."""
+    parts = _item_rows(spark, sf_dir)
+    items = table(spark, sf_dir, "lineitem")
+    names = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_returnflag", "l_linestatus")
+    part = items.select("l_orderkey", (F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*names)) - 1).cast("long").alias("pos"), F.col("l_partkey").cast("string").alias("part"))
+    rows = parts.join(part, ["l_orderkey", "pos"])
+    named = lambda kind, mark: F.concat(F.lit(kind + "\t" + mark), F.col("part"))
+    note = F.when(F.col("name") == "jal", named("R_MIPS_26", "f")).when((F.col("name") == "lw") & (F.col("q") % 3 == 0), named("R_MIPS_GPREL16", "d")).when((F.col("name") == "addiu") & F.col("has_symbol"), named("R_MIPS_HI16", "d"))
+    listed = rows.select("l_orderkey", "pos", F.posexplode(F.array_compact(F.array("row", note))).alias("_at", "row")).select("l_orderkey", (2 * F.col("pos") + F.col("_at")).alias("place"), "row")
+    return ordered.with_relocations(listed, "l_orderkey", "place", "row", "mips", "R_MIPS_").select("l_orderkey", "place", "row", "has_symbol")
 
 
-@query("select p_partkey, case when p_size > 25 then 'sw' || chr(9) || 'imm,addr(sp)' when p_size > 10 then 'beq' || chr(9) || 'a0,<target>' else 'lw' || chr(9) || 'a0,addr(sp)' end as line from part")
+@query(rf"""with {ITEM_ROWS_SQL}, stacked as (select *, case when name in ('addiu', 'lw') and regexp_matches(row, '\bsp\b') then regexp_replace(row, '(,)-?(0x[0-9a-f]+|[0-9]+)([^A-Za-z0-9_]|$)', '\1imm\3', 'g') else row end as r from listed),
+    placed as (select *, regexp_replace(r, '[^\s,()]+[(]sp[)]', 'addr(sp)', 'g') as p from stacked)
+    select key as l_orderkey, pos, case when name in ('beq', 'jal') then regexp_replace(p, '[^,\s]+\s*$', '<target>') else p end as row from placed""")
 def stack_and_branch_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    size = F.col("p_size").cast("string")
-    store, branch, load = (F.concat(F.lit(a), size, F.lit(b)) for a, b in (("sw\t3,", "(sp)"), ("beq\ta0,", ""), ("lw\ta0,-0x1f+", "(sp)")))
-    line = F.when(F.col("p_size") > 25, store).when(F.col("p_size") > 10, branch).otherwise(load)
-    return table(spark, sf_dir, "part").select("p_partkey", listing.branch_target_as_one(listing.stack_as_one(line, ("sw",)), ("beq",)).alias("line"))
+    form = listing.branch_target_as_one(listing.stack_as_one(F.col("row"), ("addiu", "lw")), ("beq", "jal"))
+    return _item_rows(spark, sf_dir).select("l_orderkey", "pos", form.alias("row"))
 
 
-@query("select p_partkey, case when p_size > 25 then 'addis' else 'lwz' end as operation, case when p_size > 25 then 'r3,0,' || p_size else 'r3,' || p_size || '(0)' end as operands from part")
-def small_data_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    size, large = F.col("p_size").cast("string"), F.col("p_size") > 25
-    operands = F.when(large, F.concat(F.lit("r3,"), size)).otherwise(F.concat(F.lit("r3,"), size, F.lit("(r13)")))
-    form = listing.small_data_form(F.when(large, "lis").otherwise("lwz"), operands)
-    return table(spark, sf_dir, "part").select("p_partkey", form.alias("x")).select("p_partkey", "x.operation", "x.operands")
+#: Events as rows of a listing with small data; purchases are relocations.
+_small_rows = """rows as (select user_id, event_id, cast(floor(value) as bigint) as v, event_type as t from events),
+    forms as (select *, case t when 'view' then 'lis' when 'click' then 'lwz' when 'error' then 'addi' when 'signup' then 'li' else 'R_PPC_EMB_SDA21' end as operation,
+        case t when 'view' then 'r3,' || v when 'click' then 'r3,' || v || '(r13)' when 'error' then 'r4,r2,' || v when 'signup' then 'r5,' || v else 'd' || v end as operands from rows)"""
 
 
-@query("select p_partkey, p_partkey as value from part")
+@query(rf"""with {_small_rows}, ahead as (select *, coalesce(lead(operation) over (partition by user_id order by event_id) = 'R_PPC_EMB_SDA21', false) as small from forms),
+    zero as (select *, regexp_replace(regexp_replace(operands, '[(]r(2|13)[)]', '(0)'), ',r(2|13),', ',0,') as z from ahead)
+    select event_id, case when small and operation in ('li', 'lis') then replace(operation, 'li', 'addi') else operation end as operation,
+    case when not small then operands when operation in ('li', 'lis') then string_split(z, ',')[1] || ',0,' || string_split(z, ',')[2] else z end as operands from zero""")
+def small_data_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' events as rows of a listing, some of which a relocation of small data follows."""
+    t, v = F.col("event_type"), F.floor("value").cast("long").cast("string")
+    cases = {"view": ("lis", "r3,", ""), "click": ("lwz", "r3,", "(r13)"), "error": ("addi", "r4,r2,", ""), "signup": ("li", "r5,", "")}
+    operation, operands = F.lit("R_PPC_EMB_SDA21"), F.concat(F.lit("d"), v)
+    for name, (op, before, after) in cases.items():
+        operation, operands = F.when(t == name, op).otherwise(operation), F.when(t == name, F.concat(F.lit(before), v, F.lit(after))).otherwise(operands)
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", operation.alias("operation"), operands.alias("operands"))
+    return ordered.small_data_rows(rows, "user_id", "event_id", "operation", "operands", "operation").select("event_id", "operation", "operands")
+
+
+@query(r"""with w as (select doc_id, unnest(range(len(ws))) as place, unnest(ws) as word from (select doc_id, regexp_extract_all(text, '[A-Za-z0-9+-]*[0-9][A-Za-z0-9]*') as ws from documents)),
+    s as (select *, lower(regexp_replace(word, '^[+-]', '')) as body, case when word like '-%' then -1 else 1 end as sign from w)
+    select doc_id, cast(place as integer) as place, word, sign * case when regexp_full_match(body, '0x[0-9a-f]+') then try_cast(body as bigint) when regexp_full_match(body, '0o[0-7]{1,20}') then list_reduce(range(3, length(body) + 1), lambda a, k: a * 8 + try_cast(substr(body, k, 1) as bigint), 0::bigint)
+        when regexp_full_match(body, '0b[01]{1,62}') then list_reduce(range(3, length(body) + 1), lambda a, k: a * 2 + try_cast(substr(body, k, 1) as bigint), 0::bigint) when regexp_full_match(body, '0+|[1-9][0-9]*') then try_cast(body as bigint) end as value from s""")
 def based_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Part keys, written to the base 16, 2, 8 or 10 and read again."""
-    key = F.col("p_partkey")
-    text = F.when(key % 4 == 0, F.concat(F.lit("0x"), F.hex(key))).when(key % 4 == 1, F.concat(F.lit("0b"), F.bin(key))).when(key % 4 == 2, F.concat(F.lit("0o"), F.conv(key.cast("string"), 10, 8))).otherwise(key.cast("string"))
-    return table(spark, sf_dir, "part").select("p_partkey", listing.based_int(text).alias("value"))
+    """Words with a digit in documents, read as whole numbers of any base; null for those that are none."""
+    words = F.regexp_extract_all("text", F.lit("[A-Za-z0-9+-]*[0-9][A-Za-z0-9]*"), F.lit(0))
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(words).alias("place", "word")).select("doc_id", "place", "word", listing.based_int(F.col("word")).alias("value"))
 
 
 @query("""select p_partkey, case when regexp_full_match(p_name, '[A-Za-z0-9_@%+=:,./-]+') then p_name else '''' || replace(p_name, '''', '''"''"''') || '''' end as word from part""")
@@ -814,9 +900,14 @@ def shell_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", listing.shell_quoted(F.col("p_name")).alias("word"))
 
 
-@query("select p_partkey, 'f' || p_size as name from part")
+@query(r"""with w as (select p_partkey, regexp_replace(p_type, '[^A-Za-z]+', '_', 'g') as a, regexp_replace(p_name, '[^A-Za-z]+', '_', 'g') as b, p_size from part),
+    t as (select p_partkey, 'PERM_X(1) {}' || chr(10) || 'int ' || a || '(int x) {' || chr(10) || '  while (x) { if(x) {} }' || chr(10) || '}' || chr(10) || 'void ' || b || '(void)' || case when p_size % 2 = 0 then ';' else chr(10) || '{ for(;;) {} }' end as source from w)
+    select p_partkey, list_last(list_filter(regexp_extract_all(source, '(\w+)\([^()]*\)\s*\{', 1), lambda n: n not in ('if', 'for', 'while', 'switch') and not starts_with(n, 'PERM'))) as name from t""")
 def function_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source = F.concat(F.lit("int g(int a) {\n}\nint f"), F.col("p_size").cast("string"), F.lit("(int a) {\n  if(a) {\n  }\n}\n"))
+    """C text made of each part's type and name; the second function is defined for odd sizes and declared for even ones."""
+    a, b = (F.regexp_replace(c, "[^A-Za-z]+", "_") for c in ("p_type", "p_name"))
+    ending = F.when(F.col("p_size") % 2 == 0, ";").otherwise("\n{ for(;;) {} }")
+    source = F.concat(F.lit("PERM_X(1) {}\nint "), a, F.lit("(int x) {\n  while (x) { if(x) {} }\n}\nvoid "), b, F.lit("(void)"), ending)
     return table(spark, sf_dir, "part").select("p_partkey", listing.function_name(source).alias("name"))
 
 

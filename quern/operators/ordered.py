@@ -102,3 +102,38 @@ def with_relocations(df: DataFrame, key: str, order: str, row: str, arch: str, m
     grouped = headed.where("_head > 0").groupBy(key, "_head").agg(F.min(order).alias(order), F.max(F.when(~is_note, F.col(row))).alias(row), F.array_sort(F.collect_list(F.when(is_note, F.struct(F.col(order).alias("at"), F.col(row).alias("note"))))).alias("_notes"))
     written = F.aggregate("_notes", F.col(row), lambda line, x: listing.relocated(line, x["note"], arch))
     return grouped.select(key, order, written.alias(row), (F.size("_notes") > 0).alias("has_symbol"))
+
+
+def small_data_rows(df: DataFrame, key: str, order: str, operation: str, operands: str, row: str) -> DataFrame:
+    """df with operation and operands in the one form of small-data addresses where the next row of the key is such a relocation."""
+    ahead = neighbour(df, key, order, F.col(row), "_next", forward=True)
+    form = listing.small_data_form(F.col(operation), F.col(operands), F.col("_next"))
+    return ahead.withColumn("_form", form).withColumn(operation, F.col("_form.operation")).withColumn(operands, F.col("_form.operands")).drop("_next", "_form")
+
+
+def regions(df: DataFrame, key: str, order: str, starts: Column, ends: Column) -> DataFrame:
+    """(key, first, last) of the regions of each key: from behind a row that starts one to before the row that ends it.
+
+    A start in a region, an end without a start and a start without an end are errors. A region without rows has last below first,
+    both null. Rows that start and end at once are no marks.
+    """
+    step = F.when(starts & ~F.coalesce(ends, F.lit(False)), 1).when(ends & ~F.coalesce(starts, F.lit(False)), -1).otherwise(0)
+    deep = with_running(df.select(key, order, step.cast("long").alias("_step")), key, [order], F.col("_step"), "_depth")
+    numbered = with_running(deep, key, [order], F.when(F.col("_step") == 1, 1).otherwise(0).cast("long"), "_region")
+    wrong = (F.col("_depth") < 0) | (F.col("_depth") > 1)
+    summed = numbered.groupBy(key, "_region").agg(
+        F.min(F.when((F.col("_step") == 0) & (F.col("_depth") == 1), F.col(order))).alias("first"), F.max(F.when((F.col("_step") == 0) & (F.col("_depth") == 1), F.col(order))).alias("last"),
+        F.bool_or(wrong).alias("_wrong"), F.sum("_step").alias("_left"),
+    )
+    checked = F.when(F.col("_wrong") | (F.col("_left") != 0), F.raise_error("regions don't match").cast("boolean")).otherwise(F.col("_region") > 0)
+    return summed.where(checked).select(key, "first", "last")
+
+
+def chosen_region(df: DataFrame, key: str, order: str, starts: Column, ends: Column, salt: str) -> DataFrame:
+    """df's rows (but marks) of one region of each key, by the least hash of key, first row and salt; all rows of keys without regions."""
+    found = regions(df, key, order, starts, ends)
+    drawn = F.sha2(F.concat_ws(":", F.col(key).cast("string"), F.col("first").cast("string"), F.lit(salt)), 256)
+    one = found.groupBy(F.col(key).alias("_key")).agg(F.min_by(F.struct("first", "last"), drawn).alias("_at"), F.count("*").alias("_n"))
+    marks = F.coalesce(starts, F.lit(False)) != F.coalesce(ends, F.lit(False))
+    joined = df.where(~marks).join(one, F.col(key).eqNullSafe(F.col("_key")), "left")
+    return joined.where(F.col("_n").isNull() | F.col(order).between(F.col("_at.first"), F.col("_at.last"))).select(*df.columns)

@@ -32,6 +32,13 @@ def bag_scores(docs: DataFrame, target: DataFrame) -> DataFrame:
     return counted.withColumn("score", penalty(reorder=F.col("reorderings"), insert=F.col("insertions"), delete=F.col("deletions")))
 
 
+def error_counts(results: DataFrame, key: str, internal: Column) -> DataFrame:
+    """(key, iterations, errors, internal_errors, best): a score of FAILED or more counts as an error and never as best; so do internal errors."""
+    failed = F.coalesce(F.col("score") >= FAILED, F.lit(False))
+    inner = F.coalesce(internal, F.lit(False))
+    return results.groupBy(key).agg(F.count("*").alias("iterations"), F.count_if(inner | failed).alias("errors"), F.count_if(inner).alias("internal_errors"), F.min(F.when(~inner & ~failed, F.col("score"))).alias("best"))
+
+
 def field_mismatches(a: Column, b: Column) -> Column:
     """How many fields of two arrays differ, and by how much their lengths do."""
     both = F.least(F.size(a), F.size(b))
