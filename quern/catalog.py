@@ -218,10 +218,12 @@ def once_and_var(spark: SparkSession, sf_dir: str) -> DataFrame:
 MACROS = "PERM_VAR(v,)f(PERM_GENERAL(1,PERM_GENERAL(x(,)y,g(2, 3)),PERM_INT(7,8)));PERM_GENERAL(s;,PERM_VAR(v,t;))PERM_ONCE(k,a;)b;PERM_ONCE(k,c;)PERM_VAR(v)PERM_LINESWAP(p,q;\nr;\n)"
 
 
-@query("""select s as seed, 'f(' || (['1', 'x,y', 'g(2, 3)', '7', '8'])[(s // 2) % 5 + 1] || ');' || (['s;', ''])[(s // 10) % 2 + 1] || (['a;b;', 'b;c;'])[s % 2 + 1] || (['', 't;'])[(s // 10) % 2 + 1]
-    || (['p,q;' || chr(10) || 'r;', 'r;' || chr(10) || 'p,q;'])[(s // 20) % 2 + 1] as variant from range(40) t(s)""")
+@query("""select c_custkey, 'f(' || (['1', 'x,y', 'g(2, 3)', '7', '8'])[(s // 2) % 5 + 1] || ');' || (['s;', ''])[(s // 10) % 2 + 1] || (['a;b;', 'b;c;'])[s % 2 + 1] || (['', 't;'])[(s // 10) % 2 + 1]
+    || (['p,q;' || chr(10) || 'r;', 'r;' || chr(10) || 'p,q;'])[(s // 20) % 2 + 1] as variant from (select c_custkey, c_custkey % 40 as s from customer)""")
 def enumerate_macros(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return variants.enumerated(spark, macros.parsed(MACROS))
+    """Each customer's variant of a macro text of 40, their keys being the seeds."""
+    space = macros.parsed(MACROS)
+    return table(spark, sf_dir, "customer").select("c_custkey", space.decode(F.col("c_custkey") % space.size, {}).alias("variant"))
 
 
 # Acceptance
@@ -376,6 +378,15 @@ def fair_share_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.fair_order(jobs, 30, 60)
 
 
+@query("""with u as (select event_type as job, event_id as unit, cast(floor(value) as bigint) as d, 1 + length(event_type) % 4 as p from events),
+    e as (select job, unit, 60 * (sum(d) over (partition by job order by unit) - d) // p as energy from u)
+    select job, unit, cast(energy as bigint) as energy, row_number() over (order by energy, job, unit) as position from e""")
+def fair_service_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as work of unequal durations, served by what their types have spent."""
+    units = table(spark, sf_dir, "events").select(F.col("event_type").alias("job"), F.col("event_id").alias("unit"), F.floor("value").cast("long").alias("duration"), (F.length("event_type") % 4 + 1).alias("priority"))
+    return tables.fair_service(units, 60)
+
+
 @query("""with h as (select user_id, event_id, sum(case when value < 20 then 3 when value < 60 then 2 else 1 end) over (partition by user_id order by event_id) as s from events)
     select event_id, cast(s // 2 - coalesce(lag(s) over (partition by user_id order by event_id), 0) // 2 as bigint) as units from h""")
 def adaptive_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -688,7 +699,7 @@ def error_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.error_counts(rows, "job", F.col("internal"))
 
 
-@query(f"""with l as (select doc_id, line_no, line, length(line) > 60 and line_no % 5 = 0 as s from {LINES_SQL}), m as (select *, lead(s) over (partition by doc_id order by line_no) as next_s, count(*) over (partition by doc_id) as n from l),
+@query(f"""with l as (select doc_id, line_no from {LINES_SQL}), m as (select *, count(*) over (partition by doc_id) as n from l),
     k as (select doc_id, line_no, line_no % 4 = 1 and line_no + 2 < n as starts, line_no % 4 = 3 as ends from m where line_no < n - n % 4),
     g as (select doc_id, line_no, starts, ends, sum(case when starts then 1 else 0 end) over (partition by doc_id order by line_no) as g, sum(case when starts then 1 when ends then -1 else 0 end) over (partition by doc_id order by line_no) as depth from k),
     r as (select doc_id, g, min(line_no) as first, max(line_no) as last from g where depth = 1 and not starts group by doc_id, g),
@@ -933,11 +944,13 @@ def option_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", listing.outside({"p_size": (5, 40), "p_retailprice": (1000, 1500)}).alias("outside"))
 
 
-@query("select s as seed, chr(10) || ' a; b;' || chr(10) || (['c', 'd'])[s + 1] || chr(10) || 'e f' || chr(10) as variant from range(2) t(s)")
+@query("select p_partkey, chr(10) || ' a; b;' || chr(10) || (['c', 'd'])[p_partkey % 2 + 1] || chr(10) || p_name || repeat(chr(10), 5) || 'e f' || chr(10) as variant from part")
 def finished_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Variants with a same-line region, a literal and pretended code."""
-    space = macros.parsed("PERM_FORCE_SAMELINE(a;\n b;)PERM_GENERAL(c,d)PERM_IGNORE(e f)PERM_PRETEND(g)")
-    return macros.finished(variants.enumerated(spark, space), "seed")
+    """Each part's variant of a text with a same-line region, a literal and pretended code, and its name as a further line."""
+    head, tail = macros.parsed("PERM_FORCE_SAMELINE(a;\n b;)PERM_GENERAL(c,d)"), macros.parsed("PERM_PRETEND(g)PERM_IGNORE(e f)")
+    seed = F.col("p_partkey")
+    text = F.concat(head.decode(seed % head.size, {}), F.lit("\n"), F.col("p_name"), tail.decode(F.lit(0), {}))
+    return macros.finished(table(spark, sf_dir, "part").select("p_partkey", text.alias("variant")), "p_partkey")
 
 
 @query(f"with recursive {_first_word} select key as doc_id, tag, i1, i2, j1, j2 from steps")

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.sources.tables import checkpointed
+from quern.sources.tables import stored
 
 SEGMENT = ["key", "i1", "i2", "j1", "j2"]
 
@@ -39,19 +39,19 @@ def steps(rows: DataFrame, target: DataFrame, key: str, order: str, name: str, k
     if keys is not None:
         sizes = keys.select(F.col(key).alias("key")).distinct().join(sizes, "key", "left").select("key", F.coalesce("i2", F.lit(0)).alias("i2"))
     zero = F.lit(0).cast("long")
-    roots = checkpointed(sizes.join(F.broadcast(length)).select("key", zero.alias("i1"), "i2", zero.alias("j1"), "j2"))  # length is one row
-    runs = checkpointed(common_runs(rows, target, key, order, name).join(roots, "key").select(*SEGMENT, "a", "b", "n"))
+    roots = stored(sizes.join(F.broadcast(length)).select("key", zero.alias("i1"), "i2", zero.alias("j1"), "j2"))  # length is one row
+    runs = stored(common_runs(rows, target, key, order, name).join(roots, "key").select(*SEGMENT, "a", "b", "n"))
     blocks = []
     while not runs.isEmpty():
         longest = F.max(F.struct(F.col("n"), (-F.col("a")).alias("a"), (-F.col("b")).alias("b"))).alias("x")
-        taken = checkpointed(runs.groupBy(*SEGMENT).agg(longest).select(*SEGMENT, (-F.col("x.a")).alias("at"), (-F.col("x.b")).alias("on"), F.col("x.n").alias("size")))
+        taken = stored(runs.groupBy(*SEGMENT).agg(longest).select(*SEGMENT, (-F.col("x.a")).alias("at"), (-F.col("x.b")).alias("on"), F.col("x.n").alias("size")))
         blocks.append(taken)
         before = F.struct("i1", F.col("at").alias("i2"), "j1", F.col("on").alias("j2"))
         behind = F.struct((F.col("at") + F.col("size")).alias("i1"), "i2", (F.col("on") + F.col("size")).alias("j1"), "j2")
         cut = runs.join(taken, SEGMENT).select("key", "a", "b", "n", F.explode(F.array(before, behind)).alias("s"))
         skip = F.greatest(zero, F.col("s.i1") - F.col("a"), F.col("s.j1") - F.col("b"))
         left = F.least(F.col("n"), F.col("s.i2") - F.col("a"), F.col("s.j2") - F.col("b")) - skip
-        runs = checkpointed(cut.where(left > 0).select("key", "s.*", (F.col("a") + skip).alias("a"), (F.col("b") + skip).alias("b"), left.alias("n")))
+        runs = stored(cut.where(left > 0).select("key", "s.*", (F.col("a") + skip).alias("a"), (F.col("b") + skip).alias("b"), left.alias("n")))
     if not blocks:
         return _gaps(roots)
     found = blocks[0]
@@ -83,15 +83,17 @@ def scores(rows: DataFrame, target: DataFrame, key: str, order: str, name: str,
     Lines that only one side has count as bags: a line that both sides have too many of is a reordering. Penalties are by the names of
     the counts, and reorder, insert and delete.
     """
-    found = checkpointed(steps(rows, target, key, order, name, keys))
-    pairs, more, less = sides(found)
+    rows, target = stored(rows), stored(target)
+    found = stored(steps(rows, target, key, order, name, keys))
+    pairs, _, less = sides(found)
     own = rows.select(F.col(key).alias("key"), F.col(order).cast("long").alias("i"), F.struct(*rows.columns).alias("new"))
     aim = target.select(F.col(order).cast("long").alias("j"), F.struct(*target.columns).alias("old"))
-    beside = pairs.join(own, ["key", "i"]).join(aim, "j")
+    placed = own.join(pairs, ["key", "i"], "left")  # a row that has no place in the target is one too many
     zero = F.lit(0).cast("long")
-    counted = beside.select("key", *(v.cast("long").alias(k) for k, v in differences.items()), zero.alias("_n"), F.lit(None).cast("string").alias("_line"))
-    added = more.join(own, ["key", "i"]).select("key", *(zero.alias(k) for k in differences), F.lit(1).cast("long").alias("_n"), F.col("new").getField(line).alias("_line"))
-    gone = less.join(aim, "j").select("key", *(zero.alias(k) for k in differences), F.lit(-1).cast("long").alias("_n"), F.col("old").getField(line).alias("_line"))
+    none = [zero.alias(k) for k in differences]
+    counted = placed.where("j is not null").join(aim, "j").select("key", *(v.cast("long").alias(k) for k, v in differences.items()), zero.alias("_n"), F.lit(None).cast("string").alias("_line"))
+    added = placed.where("j is null").select("key", *none, F.lit(1).cast("long").alias("_n"), F.col("new").getField(line).alias("_line"))
+    gone = less.join(aim, "j").select("key", *none, F.lit(-1).cast("long").alias("_n"), F.col("old").getField(line).alias("_line"))
     bags = counted.union(added).union(gone).groupBy("key", "_line").agg(*(F.sum(k).alias(k) for k in differences), F.count_if(F.col("_n") > 0).alias("_more"), F.count_if(F.col("_n") < 0).alias("_less"))
     both = F.least("_more", "_less")
     summed = bags.groupBy("key").agg(*(F.sum(k).alias(k) for k in differences), F.sum(both).alias("reorderings"), F.sum(F.col("_more") - both).alias("insertions"), F.sum(F.col("_less") - both).alias("deletions"))

@@ -43,6 +43,21 @@ def fair_order(jobs: DataFrame, units: int, scale: int) -> DataFrame:
     return work.withColumn("_in", inside).join(before, "energy").select("job", "unit", "energy", (F.col("_before") + F.col("_in")).alias("position"))
 
 
+def fair_service(units: DataFrame, scale: int, least_priority: float | None = None) -> DataFrame:
+    """(job, unit, energy, position) of units(job, unit, duration, priority) in the order in which one server takes them that always goes
+    on with the job that has spent least: energy is the durations of the job's units before it, times scale / priority, ties by job.
+
+    As a job's energy depends on its own units alone, the order is a sort by running sums, and both are scans by ranges. Jobs below
+    least_priority are never served; durations are whole numbers, those below 0 or null count as 0.
+    """
+    rows = units if least_priority is None else units.where(F.col("priority") >= least_priority)
+    duration = F.greatest(F.coalesce(F.col("duration").cast("long"), F.lit(0).cast("long")), F.lit(0).cast("long"))
+    spent = with_running(rows.withColumn("_duration", duration), "job", ["unit"], F.col("_duration"), "_spent")
+    energy = F.call_function("div", (F.col("_spent") - F.col("_duration")) * scale, F.col("priority").cast("long"))
+    served = spent.select("job", "unit", energy.alias("energy"))
+    return with_running(served, None, ["energy", "job", "unit"], F.lit(1).cast("long"), "position")
+
+
 def demand(df: DataFrame, key: str, order: str, halves: Column) -> DataFrame:
     """df with units: what a carried sum of half units makes whole at each row. A column of that name is replaced."""
     summed = with_running(df.withColumn("_halves", halves), key, [order], F.col("_halves"), "_sum")
