@@ -28,15 +28,18 @@ class Acceptance(StatefulProcessor):
         self.seen = handle.getMapState("seen", "hash string", "seen boolean")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        best = self.best.get()[0] if self.best.exists() else self.base
-        out = []
+        is_new = not self.best.exists()  # then nothing was seen yet
+        best = self.base if is_new else self.best.get()[0]
+        out, batch = [], set()
         for r in pd.concat(list(rows)).sort_values("seq").itertuples():
-            known = r.score != 0 and self.seen.containsKey((r.hash,))
+            known = r.score != 0 and (r.hash in batch or not is_new and self.seen.containsKey((r.hash,)))
             if not known and not (self.best_only and r.score > best):
                 out.append((own(key), r.seq, r.score, r.hash, best))
             if r.score != 0 and not known:
-                self.seen.updateValue((r.hash,), (True,))
+                batch.add(r.hash)
             best = min(best, r.score)
+        for h in batch:
+            self.seen.updateValue((h,), (True,))
         self.best.update((int(best),))
         yield pd.DataFrame(out, columns=["job", "seq", "score", "hash", "best_before"]).astype({"job": "Int64"})
 
