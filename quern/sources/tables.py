@@ -33,12 +33,6 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder, so that nothing above it runs twice or again after a loss."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame) -> DataFrame:
     """df, written as Parquet to the shared folder and read back: for tables that several jobs read."""
     at = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
