@@ -1,7 +1,7 @@
 """Phrase collocations: count-min sketches first, exact counts of their survivors second, then scores and subsumption.
 
 Words are lower-cased (A-Z) and stand in pieces, which phrases don't cross. Every task counts the phrases of 1 to `longest`
-words by sections of about a million words and sends their counts as cells of a sketch with DEPTH rows; the partial sketches
+words by sections of about a quarter of a million words and sends their counts as cells of a sketch with DEPTH rows; the partial sketches
 are added up, range by range, and of each cell one bit is kept: whether it reaches `least`. A sketch never counts too little, so
 a phrase with a cell below the mark can't be frequent. The second pass counts only phrases all of whose cells are set, this time by
 their words, and drops what the sketch overestimated; so nothing frequent is lost whatever the width. Parts of a frequent phrase are at
@@ -30,7 +30,7 @@ from quern.llm.common import partitions, read, stored
 LONGEST, LEAST, SHARE, TOP = 3, 10, 50, 2000
 DEPTH, LEAST_BITS, MOST_BITS = 2, 16, 28
 #: Ranges of cells that are merged one by one, words of a section, bytes of a text that are cut into words at a time.
-RANGES, SECTION, SLICE = 1024, 1 << 19, 1 << 22
+RANGES, SECTION, SLICE = 1024, 1 << 18, 1 << 22
 #: Marks that end a piece turn to a byte that UTF-8 never has; tabs to spaces; A-Z to a-z.
 MARK = b"\xff"
 TABLE = bytes(255 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
