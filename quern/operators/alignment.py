@@ -44,14 +44,17 @@ def steps(rows: DataFrame, target: DataFrame, key: str, order: str, name: str, k
     blocks = []
     while not runs.isEmpty():
         longest = F.max(F.struct(F.col("n"), (-F.col("a")).alias("a"), (-F.col("b")).alias("b"))).alias("x")
-        taken = stored(runs.groupBy(*SEGMENT).agg(longest).select(*SEGMENT, (-F.col("x.a")).alias("at"), (-F.col("x.b")).alias("on"), F.col("x.n").alias("size")))
-        blocks.append(taken)
-        before = F.struct("i1", F.col("at").alias("i2"), "j1", F.col("on").alias("j2"))
-        behind = F.struct((F.col("at") + F.col("size")).alias("i1"), "i2", (F.col("on") + F.col("size")).alias("j1"), "j2")
-        cut = runs.join(taken, SEGMENT).select("key", "a", "b", "n", F.explode(F.array(before, behind)).alias("s"))
+        taken = runs.groupBy(*SEGMENT).agg(longest).select(*SEGMENT, (-F.col("x.a")).alias("at"), (-F.col("x.b")).alias("on"), F.col("x.n").alias("size"))
+        before = F.struct("i1", F.col("at").alias("i2"), "j1", F.col("on").alias("j2"), F.lit(False).alias("block"))
+        behind = F.struct((F.col("at") + F.col("size")).alias("i1"), "i2", (F.col("on") + F.col("size")).alias("j1"), "j2", F.lit(False).alias("block"))
+        whole = F.struct("i1", "i2", "j1", "j2", F.lit(True).alias("block"))
+        is_taken = (F.col("a") == F.col("at")) & (F.col("b") == F.col("on"))  # no two runs of a segment start at one cell
+        cut = runs.join(taken, SEGMENT).select("key", "a", "b", "n", F.explode(F.when(is_taken, F.array(whole)).otherwise(F.array(before, behind))).alias("s"))
         skip = F.greatest(zero, F.col("s.i1") - F.col("a"), F.col("s.j1") - F.col("b"))
         left = F.least(F.col("n"), F.col("s.i2") - F.col("a"), F.col("s.j2") - F.col("b")) - skip
-        runs = stored(cut.where(left > 0).select("key", "s.*", (F.col("a") + skip).alias("a"), (F.col("b") + skip).alias("b"), left.alias("n")))
+        found = stored(cut.where(left > 0).select("key", "s.*", (F.col("a") + skip).alias("a"), (F.col("b") + skip).alias("b"), left.alias("n")))
+        blocks.append(found.where("block").select(*SEGMENT, F.col("a").alias("at"), F.col("b").alias("on"), F.col("n").alias("size")))
+        runs = found.where("not block").select(*SEGMENT, "a", "b", "n")
     if not blocks:
         return _gaps(roots)
     found = blocks[0]
