@@ -9,8 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Entries that one Python worker keeps of a word cache; words beyond it are computed each time.
-CACHE_ENTRIES = 800_000
+#: Entries that one Python worker keeps of a word cache, and their greatest length in characters; others are computed each time.
+CACHE_ENTRIES, CACHE_LENGTH = 800_000, 32
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import CACHE_ENTRIES, read, text_or_empty, tokenizer_path
+from quern.llm.common import CACHE_ENTRIES, CACHE_LENGTH, read, text_or_empty, tokenizer_path
 from quern.llm.pieces import UNITS, marked, pieces
 
 
@@ -83,7 +83,7 @@ class Encoder(dict):
             i = self.pieces.id.get(token)
             ids.extend([i] if i is not None else [self.pieces.byte_id[b] for b in token.encode()])
         out = ids.tobytes()
-        if self.room:
+        if self.room and len(unit) <= CACHE_LENGTH:
             self.room -= 1
             self[unit] = out
         return out

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import CACHE_ENTRIES, read, text_or_empty, tokenizer_path
+from quern.llm.common import CACHE_ENTRIES, CACHE_LENGTH, read, text_or_empty, tokenizer_path
 from quern.llm.pieces import UNITS, marked, pieces
 
 
@@ -32,7 +32,7 @@ class Counts(dict):
     def __missing__(self, unit: str) -> int:
         # The model puts a word mark in front: it stands for the unit's own first space, or is split off by a line feed.
         n = len(self.encode(unit[1:])) if unit[0] == " " and len(unit) > 1 else len(self.encode("\n" + unit)) - 2
-        if self.room:
+        if self.room and len(unit) <= CACHE_LENGTH:
             self.room -= 1
             self[unit] = n
         return n

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import CACHE_ENTRIES, read, stored, text_or_empty
+from quern.llm.common import CACHE_ENTRIES, CACHE_LENGTH, read, stored, text_or_empty
 
 #: Bounds: labelled rows that the model is fitted on, and labelled toxic documents that a term must stand in.
 SAMPLE, LEAST = 20_000, 4
@@ -73,7 +73,7 @@ class Words(dict):
         odd = not word.isalpha() and bool(INNER.search(EDGES.sub("", word)))
         capitals = 0 if word.islower() else sum(map(str.isupper, word))
         x = (score, bool(at), odd, at[0] if at else "", p in SECOND_PERSON, bool(STRETCHED.search(word)), len(word) > 1 and word.isupper(), bool(at) and p not in word.lower(), capitals)
-        if self.room:
+        if self.room and len(word) <= CACHE_LENGTH:
             self.room -= 1
             self[word] = x
         return x
