@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.operators.ranges import with_running
@@ -34,13 +34,13 @@ def uniform(key: Column, limit: Column) -> Column:
 
 
 def fair_order(jobs: DataFrame, units: int, scale: int) -> DataFrame:
-    """(job, unit, energy, position): units of equal duration by spent energy unit * scale / priority, ties by job."""
+    """(job, unit, energy, position): units of equal duration by spent energy unit * scale / priority, ties by job.
+
+    Positions are a running count by ranges. A null priority gives null energies, which come first; a priority of 0 is an error.
+    """
     work = jobs.select("job", "priority", F.explode(F.sequence(F.lit(1), F.lit(units))).alias("unit"))
     work = work.withColumn("energy", F.call_function("div", F.col("unit").cast("long") * scale, F.col("priority").cast("long")))
-    turns = work.groupBy("energy").agg(F.count("*").alias("_n"))
-    before = turns.select("energy", F.coalesce(F.sum("_n").over(Window.orderBy("energy").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("energy").orderBy("job", "unit"))
-    return work.withColumn("_in", inside).join(before, "energy").select("job", "unit", "energy", (F.col("_before") + F.col("_in")).alias("position"))
+    return with_running(work.drop("priority"), None, ["energy", "job", "unit"], F.lit(1).cast("long"), "position")
 
 
 def fair_service(units: DataFrame, scale: int, least_priority: float | None = None) -> DataFrame:

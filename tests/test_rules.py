@@ -67,3 +67,14 @@ def test_overlays_and_chains_with_repeated_keys(spark):
     assert sorted(map(tuple, tables.chain_ends(links).collect())) == [(2, 0), (3, 1)]
     with pytest.raises(ValueError):
         tables.wildcard_edges(spark.range(tables.MOST_TOKENS + 1).selectExpr("concat(id, '*') as token"), spark.createDataFrame([("a",)], "name string"))
+
+
+def test_fair_order_over_parts_with_ties_and_nulls(spark):
+    """Many jobs share each energy, so ties reach over parts."""
+    priorities = {k: None if k == 7 else k % 3 + 1 for k in range(40)}
+    jobs = spark.createDataFrame(list(priorities.items()), "job long, priority long").withColumn("position", F.lit("own"))
+    got = [tuple(r) for r in tables.fair_order(jobs, 25, 60).orderBy("position").collect()]
+    units = [(None if p is None else 60 * u // p, job, u) for job, p in priorities.items() for u in range(1, 26)]
+    want = sorted(units, key=lambda x: (x[0] is not None, x[0] or 0, x[1], x[2]))
+    assert got == [(job, u, energy, n) for n, (energy, job, u) in enumerate(want, 1)]
+    assert tables.fair_order(jobs.limit(0), 25, 60).isEmpty()
