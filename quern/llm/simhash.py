@@ -14,7 +14,8 @@
 
 Up to three bits, any two codes within `distance` surely meet. Wider searches (`near_texts`: five words, Jaccard similarity of
 4/5) choose leading bits at random, so many that codes with 3/5 of `distance` bits between them meet with a chance of RECALL;
-their links are candidates if a second fingerprint is near as well, and count after a check of the whole shingle sets.
+their links are candidates if a second fingerprint is near as well, and count after a check of the whole shingle sets. What they
+leave apart is searched exactly: texts that are similar enough share one of their rarest shingles (`prefixes`).
 
 Defined cases: a null or empty text, or one without words, has fingerprint 0 and links like any other; repeated rows have
 equal fingerprints and so one component; null keys are passed over when the smallest key is sought, so a component has a null
@@ -42,9 +43,11 @@ SEED = 42
 NODE, WIDE_NODE, LEAF, FAN = 4096, 1024, 32, 8
 #: Wide searches: codes that share their leading bits (on average), and the chance that two codes at 3/5 of the distance meet.
 GROUP, RECALL = 1024, 0.999
-#: Near copies by similarity: words of a shingle (the similarity is in `enough`), bits between fingerprints of candidates, bits
-#: between these and second fingerprints together, forests of candidates. Of 128 bits, 19 +- 4 differ at a similarity of 4/5.
-WORDS, WIDE, WIDE_LIMIT, LAYERS = 5, 17, 30, 8
+#: Near copies by similarity: words of a shingle (the similarity is in `enough` and `prefixes`), bits between fingerprints of
+#: candidates, bits between these and second fingerprints together. Of 128 bits, 19 +- 4 differ at a similarity of 4/5.
+WORDS, WIDE, WIDE_LIMIT = 5, 17, 30
+#: Counts of shingles by their leading bits, and the ranges in which tasks send them. They order shingles; results don't depend on them.
+CELL_BITS, CELL_RANGES = 20, 16
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -313,18 +316,89 @@ def near_duplicates(docs: DataFrame, distance: int = 2, words: int = 3, key: str
 
 
 def sketches(texts: DataFrame, words: int) -> DataFrame:
-    """(row, node, fp, more) of texts(row, text): node is a hash of the set of shingles, fp the fingerprint, more a second one."""
+    """(row, node, fp, more) of texts(row, text): node is a hash of the set of shingles, fp the fingerprint, more a second one; and
+    from each task (part, counts): in how many of its texts, at most 255, shingles of each cell are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
+        total = np.zeros(1 << CELL_BITS, np.int64)
         for batch in batches:
             h = [shingle_hashes(t, words) for t in batch.column(1).to_pylist()]
-            nodes = [xxhash.xxh64_intdigest(np.unique(x).tobytes(), SEED) - (1 << 63) for x in h]
+            sets = [np.unique(x) for x in h]
+            for x in sets:
+                np.add.at(total, cells(x), 1)
             words_ = [pa.array([majority(f(x)) for x in h], pa.int64()) for f in (lambda x: x, mixed)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), *words_], ["row", "node", "fp", "more"])
+            none = [pa.nulls(len(h), kind) for kind in (pa.int32(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(set_name, sets), pa.int64()), *words_, *none], names)
+        if total.any():
+            counts = np.split(np.minimum(total, 255).astype(np.uint8), CELL_RANGES)
+            none = [pa.nulls(CELL_RANGES, kind) for kind in (pa.binary(), *[pa.int64()] * 3)]
+            yield pa.RecordBatch.from_arrays([*none, pa.array(range(CELL_RANGES), pa.int32()), pa.array([c.tobytes() for c in counts], pa.binary())], names)
+
+    names = ["row", "node", "fp", "more", "part", "counts"]
+    return texts.select("row", "text").mapInArrow(run, "row binary, node long, fp long, more long, part int, counts binary")
+
+
+def set_name(shingles: np.ndarray) -> int:
+    """A hash of a sorted set of shingles."""
+    import xxhash
+
+    return xxhash.xxh64_intdigest(shingles.tobytes(), SEED) - (1 << 63)
+
 
-    return texts.select("row", "text").mapInArrow(run, "row binary, node long, fp long, more long")
+def cells(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
+def frequency(found: DataFrame) -> np.ndarray:
+    """A byte a cell: twice the logarithm of the sum of the tasks' (part, counts). One range of cells is summed by one task."""
+
+    def summed(table: pa.Table) -> pa.Table:
+        total = np.zeros((1 << CELL_BITS) // CELL_RANGES, np.int64)
+        for counts in table.column("counts"):
+            total += np.frombuffer(counts.as_py(), np.uint8)
+        return pa.table({"part": table.column("part")[:1], "levels": pa.array([(2 * np.log2(total + 1)).astype(np.uint8).tobytes()], pa.binary())})
+
+    parts = found.where("counts is not null").select("part", "counts").groupBy("part").applyInArrow(summed, "part int, levels binary").collect()
+    return np.frombuffer(b"".join(r.levels for r in sorted(parts)) or bytes(1 << CELL_BITS), np.uint8)
+
+
+def prefixes(texts: DataFrame, words: int, levels: np.ndarray) -> DataFrame:
+    """(shingle, node, n, at) of texts(text): the rarest shingles of each text's set of n, one more than a fifth of it, by their place.
+
+    All texts order shingles alike, by level and hash. Two sets with a Jaccard similarity of 4/5 have 4/5 of the larger one in common;
+    of so many, the first in this order is among the first n - ceil(4n/5) + 1 of both, so they share one of these.
+    """
+    sent = texts.sparkSession.sparkContext.broadcast(levels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen, found = set(), [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32))]
+            for text in batch.column(0).to_pylist():
+                own = np.unique(shingle_hashes(text, words))
+                if len(own) and (node := set_name(own)) not in seen:
+                    seen.add(node)
+                    first = own[np.argsort(sent.value[cells(own)], kind="stable")[: len(own) // 5 + 1]].view(np.int64)
+                    found.append((first, np.full(len(first), node), np.full(len(first), len(own), np.int32), np.arange(len(first), dtype=np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["shingle", "node", "n", "at"])
+
+    return texts.select("text").mapInArrow(run, "shingle long, node long, n int, at int")
+
+
+def shared(rows: DataFrame, value: str) -> DataFrame:
+    """Those of rows whose shingle stands beside two values or more."""
+    w = Window.partitionBy("shingle")
+    return rows.withColumn("_low", F.min(value).over(w)).withColumn("_high", F.max(value).over(w)).where("_low < _high").drop("_low", "_high")
+
+
+def meeting(rows: DataFrame) -> DataFrame:
+    """(a, b): nodes of rows(shingle, node, n, at, root) of two roots that share a shingle and may be similar by sizes and places.
+
+    Behind the first shingle that two sets share, they have no more in common than the shorter rest: that is tested at every one.
+    """
+    a, b = (rows.select("shingle", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "at", "root"))) for s in "ab")
+    both = a.join(b, "shingle").where("node_a < node_b and root_a <> root_b")
+    rest = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    return both.where(enough(rest, F.col("n_a"), F.col("n_b"))).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -357,30 +431,35 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return stored(both.where(enough(F.size(F.array_intersect("_a", "_b")), F.size("_a"), F.size("_b"))).select("a", "b"))
 
 
-def near_texts(texts: DataFrame, words: int = WORDS, distance: int = WIDE, limit: int = WIDE_LIMIT, layers: int = LAYERS) -> DataFrame:
+def near_texts(texts: DataFrame, words: int = WORDS, distance: int = WIDE, limit: int = WIDE_LIMIT) -> DataFrame:
     """(row, root) for texts(row, text): rows, a binary name of each, have one root if chains of links join their texts.
 
-    A link is a Jaccard similarity of 4/5 or more between sets of shingles; equal sets are one node. The index proposes in two
-    turns. First one forest of near fingerprints from each node and order, runs that are cut being followed from part to part:
-    that joins large groups by few links. Then, for texts that have a candidate, `layers` forests of links between texts that the
-    first turn's checks left apart: all pairs of up to 2 * layers such codes of a node, of more a number in proportion to them.
+    A link is a Jaccard similarity of 4/5 or more between sets of shingles; equal sets are one node. The index proposes first: one
+    forest of near fingerprints from each node and order, runs that are cut being followed from part to part. That joins large groups
+    by few links, and may miss some. Then all nodes of different roots that share one of their rarest shingles are candidates: no
+    link is left out.
     """
-    rows = stored(sketches(texts, words))
+    found = stored(sketches(texts, words))
+    rows = found.where("row is not null")
     nodes = stored(rows.groupBy("node").agg(F.min("row").alias("row"), F.first("fp").alias("fp"), F.first("more").alias("more")))
-    codes = nodes.select("fp", F.col("node").alias("id"), "more")
-    first = _candidates(links(codes, distance, limit, chain=True))
-    ends = first.select(F.col("a").alias("node")).union(first.select("b")).distinct()
-    asked = stored(nodes.join(ends, "node", "left_semi"))
-    sets = stored(shingle_sets(texts.join(asked.select("node", "row"), "row").select("node", "text"), words).dropDuplicates(["node"]))
-    linked = similar(first, sets)
+    first = _candidates(links(nodes.select("fp", F.col("node").alias("id"), "more"), distance, limit, chain=True))
+    linked = similar(first, _sets(texts, nodes, first, words))
     roots = stored(components(linked))
-    rooted = stored(asked.join(roots, "node", "left").select("fp", F.col("node").alias("id"), "more", F.coalesce("root", "node").alias("root")))
-    second = _candidates(links(rooted, distance, limit, layers), tried=first)
-    roots = stored(components(linked.union(similar(second, sets))))
+    rare = stored(shared(prefixes(texts, words, frequency(found)), "node"))
+    rooted = rare.distinct().join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    second = _candidates(meeting(stored(shared(rooted, "root"))), tried=first)
+    roots = stored(components(linked.union(similar(second, _sets(texts, nodes, second, words)))))
     named = nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
     return rows.select("row", "node").join(named, "node").select("row", "root")
 
 
+def _sets(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+    """The sets of the nodes that pairs(a, b) name."""
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    asked = stored(nodes.join(ends, "node", "left_semi").select("node", "row"))
+    return stored(shingle_sets(texts.join(asked, "row").select("node", "text"), words).dropDuplicates(["node"]))
+
+
 def _candidates(found: DataFrame, tried: DataFrame | None = None) -> DataFrame:
     pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))

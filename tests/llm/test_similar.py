@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline as pipeline
+from quern.llm.simhash import near_texts
 from tests.llm.test_row_identity import documents
 
 
@@ -47,3 +48,25 @@ def test_the_chain_on_real_documents(spark):
     assert {(r.doc_id, r.text) for r in after.collect()} == want and after.count() == len(want)
     packed = pipeline.packing(spark, pipeline.secrets(spark, after, sf_dir), sf_dir)
     assert {r.doc_id for r in packed.collect()} == {i for i, _ in want}
+
+def test_links_beyond_the_index_are_found(spark):
+    """Short texts whose fingerprints lie far apart, and a group of more texts near each other than forests of links can try."""
+    rnd = random.Random(4)
+    word = lambda: f"w{rnd.randrange(10**9)}"
+    texts = []
+    for _ in range(150):  # a set of 8 or 9 shingles, of which 8 are the same
+        base = [word() for _ in range(12)]
+        texts += [" ".join(base), " ".join([*base, word()])]
+    stem = [word() for _ in range(30)]
+    for _ in range(40):  # near by fingerprint, but for pairs below 4/5
+        own = list(stem)
+        own[10], own[20] = word(), word()
+        texts += [" ".join(own), " ".join([*own, word()])]
+    groups = plain_groups(texts)
+    assert len(set(groups)) == len(texts) // 2
+    rows = [(str(i).encode(), t) for i, t in enumerate(texts)]
+    found = near_texts(spark.createDataFrame(rows, "row binary, text string")).collect()
+    first = {}
+    for r in sorted(found, key=lambda r: int(r.row)):
+        first.setdefault(r.root, int(r.row))
+    assert {int(r.row): first[r.root] for r in found} == dict(enumerate(groups))
