@@ -120,15 +120,15 @@ _item_ends = "(r.name = 'lw' or (r.name = 'beq' and list_last(string_split(r.row
     from (select distinct key from listed) left join differ using (key) left join bags using (key)""")
 def score_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order as a listing, its lines being operations, scored by all six penalties against the order with the most lines."""
-    rows = _item_rows(spark, sf_dir).select("l_orderkey", "pos", "row", "name", "has_symbol")
-    longest = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l_orderkey").limit(1)  # one row
-    target = rows.join(F.broadcast(longest.select("l_orderkey")), "l_orderkey").drop("l_orderkey")
+    items, columns = table(spark, sf_dir, "lineitem"), ["pos", "row", "name", "has_symbol"]
+    rows = _item_rows(items).select("l_orderkey", *columns)
+    longest = items.groupBy("l_orderkey").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l_orderkey").limit(1)  # one row
+    target = _item_rows(items.join(F.broadcast(longest.select("l_orderkey")), "l_orderkey")).select(*columns)
     return scoring.listing_scores(rows, target, "l_orderkey", "pos", "mips")
 
 
-def _item_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ITEM_ROWS_SQL's rows, with q, the quantity."""
-    items = table(spark, sf_dir, "lineitem")
+def _item_rows(items: DataFrame) -> DataFrame:
+    """ITEM_ROWS_SQL's rows, with q, the quantity, and l_partkey."""
     names = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_returnflag", "l_linestatus")
     place = (F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*names)) - 1).cast("long")  # an order has few lines
     k, q, f, s = (F.col("l_suppkey") % 4).cast("string"), F.col("l_quantity").cast("long"), F.col("l_returnflag"), F.col("l_linestatus")
@@ -136,7 +136,7 @@ def _item_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     join = lambda *parts: F.concat(*(p if not isinstance(p, str) else F.lit(p) for p in parts))
     row = F.when(f == "A", join("lw\ta", k, ",", (4 * q).cast("string"), "(sp)")).when(f == "R", join("beq\ta", k, ",zero,L", (q % 20).cast("string")))
     row = row.when(s == "O", join("jal\tf", (q % 3).cast("string"))).otherwise(join("addiu\tv", k, ",v0,", last))
-    return items.select("l_orderkey", place.alias("pos"), row.alias("row"), F.substring_index(row, "\t", 1).alias("name"), (~f.isin("A", "R") & ((s == "O") | (q % 5 == 0))).alias("has_symbol"), q.alias("q"))
+    return items.select("l_orderkey", place.alias("pos"), row.alias("row"), F.substring_index(row, "\t", 1).alias("name"), (~f.isin("A", "R") & ((s == "O") | (q % 5 == 0))).alias("has_symbol"), q.alias("q"), "l_partkey")
 
 
 @query("""with f as (select user_id, event_id, event_type, cast(floor(value) as bigint) as v, props, lag(event_type) over w as pt, lag(cast(floor(value) as bigint)) over w as pv, lag(props) over w as pp from events window w as (partition by user_id order by event_id))
@@ -856,7 +856,7 @@ def numbers_as_hex(spark: SparkSession, sf_dir: str) -> DataFrame:
     note is not null as has_symbol from cut""")
 def relocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as listings, some of whose rows are followed by a relocation that names a symbol for their last operand."""
-    parts = _item_rows(spark, sf_dir)
+    parts = _item_rows(table(spark, sf_dir, "lineitem"))
     items = table(spark, sf_dir, "lineitem")
     names = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_returnflag", "l_linestatus")
     part = items.select("l_orderkey", (F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*names)) - 1).cast("long").alias("pos"), F.col("l_partkey").cast("string").alias("part"))
@@ -872,7 +872,7 @@ def relocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     select key as l_orderkey, pos, case when name in ('beq', 'jal') then regexp_replace(p, '[^,\s]+\s*$', '<target>') else p end as row from placed""")
 def stack_and_branch_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     form = listing.branch_target_as_one(listing.stack_as_one(F.col("row"), ("addiu", "lw")), ("beq", "jal"))
-    return _item_rows(spark, sf_dir).select("l_orderkey", "pos", form.alias("row"))
+    return _item_rows(table(spark, sf_dir, "lineitem")).select("l_orderkey", "pos", form.alias("row"))
 
 
 #: Events as rows of a listing with small data; purchases are relocations.

@@ -100,8 +100,52 @@ def scores(rows: DataFrame, target: DataFrame, key: str, order: str, name: str,
     bags = counted.union(added).union(gone).groupBy("key", "_line").agg(*(F.sum(k).alias(k) for k in differences), F.count_if(F.col("_n") > 0).alias("_more"), F.count_if(F.col("_n") < 0).alias("_less"))
     both = F.least("_more", "_less")
     summed = bags.groupBy("key").agg(*(F.sum(k).alias(k) for k in differences), F.sum(both).alias("reorderings"), F.sum(F.col("_more") - both).alias("insertions"), F.sum(F.col("_less") - both).alias("deletions"))
-    whole = (keys if keys is not None else rows).select(F.col(key).alias("key")).distinct().join(summed, "key", "left")
+    return _scored(keys if keys is not None else rows, summed, key, differences, penalties)
+
+
+def _scored(keys: DataFrame, summed: DataFrame, key: str, differences: dict[str, Column], penalties: dict[str, int]) -> DataFrame:
+    """summed, with zeros for keys that it lacks, and scores."""
+    zero = F.lit(0).cast("long")
+    whole = keys.select(F.col(key).alias("key")).distinct().join(summed, "key", "left")
     names = [*differences, "reorderings", "insertions", "deletions"]
     filled = whole.select("key", *(F.coalesce(n, zero).alias(n) for n in names))
     weights = [*(penalties[k] for k in differences), penalties["reorder"], penalties["insert"], penalties["delete"]]
     return filled.withColumn("score", sum((w * F.col(n) for w, n in zip(weights, names)), zero))
+
+
+def with_kind(rows: DataFrame, key: str, order: str, name: str) -> DataFrame:
+    """rows with _kind: their number in the sequence and 128 bits of a hash of all its places and names. Costs no shuffle where rows come by key."""
+    whole = Window.partitionBy(key)
+    hashes = (F.bit_xor(F.xxhash64(F.lit(salt), F.col(order).cast("long"), F.col(name).isNull(), name)).over(whole) for salt in (1, 2))
+    return rows.withColumn("_kind", F.struct(F.count("*").over(whole).alias("n"), *(h.alias(f"h{k}") for k, h in enumerate(hashes))))
+
+
+def scores_by_kind(rows: DataFrame, target: DataFrame, key: str, order: str, name: str, line: str, differences: dict[str, Column], penalties: dict[str, int]) -> DataFrame:
+    """`scores` of many sequences that have few different successions of names: of each kind one sequence is aligned, and its steps are joined
+    to the rows of all. A row whose name differs from that of its kind (two successions with one hash) is an error.
+
+    Lines that the target alone has are counted by kind; a row that has no place in the target is a reordering if its kind lacks such a line.
+    """
+    rows, target = stored(with_kind(rows, key, order, name)), stored(target)
+    known, zero = rows.where(F.col(key).isNotNull()), F.lit(0).cast("long")
+    kinds = stored(known.groupBy("_kind").agg(F.min(key).alias("_one")))
+    ones = stored(known.join(kinds.select("_one"), F.col(key) == F.col("_one"), "left_semi").select(key, order, name))
+    found = stored(steps(ones, target, key, order, name))
+    pairs, _, less = sides(found)
+    aim = target.select(F.col(order).cast("long").alias("j"), F.struct(*target.columns).alias("old"))
+    gone = stored(less.join(aim, "j").groupBy(F.col("key").alias("_of"), F.col("old").getField(line).alias("_gone")).agg(F.count("*").alias("_m")))
+    sizes = found.where("tag <> 'equal'").groupBy("key").agg(F.sum(F.col("i2") - F.col("i1")).alias("_more"), F.sum(F.col("j2") - F.col("j1")).alias("_less"))
+    places = ones.select(F.col(key).alias("key"), F.col(order).cast("long").alias("i"), F.col(name).alias("_name")).join(pairs, ["key", "i"], "left").join(sizes, "key", "left")
+    places = stored(places.select(F.col("key").alias("_one"), "i", "_name", "j", F.coalesce("_more", zero).alias("_more"), F.coalesce("_less", zero).alias("_less")))
+    same = F.col("_name").eqNullSafe(F.col("new").getField(name))
+    kind = F.when(same, F.col("key")).otherwise(F.raise_error("two successions of names have one hash").cast(rows.schema[key].dataType))
+    own = known.select(F.col(key).alias("key"), F.col(order).cast("long").alias("i"), F.struct(*(c for c in rows.columns if c != "_kind")).alias("new"), "_kind")
+    beside = own.join(kinds, "_kind").join(places, ["_one", "i"], "left").join(aim, "j", "left")
+    lacking = F.when(F.col("j").isNull(), F.col("new").getField(line))
+    counted = beside.select(kind.alias("key"), "_one", "_more", "_less", F.col("j").isNull().alias("_is_more"), lacking.alias("_line"), *(F.when(F.col("j").isNotNull(), v.cast("long")).otherwise(zero).alias(k) for k, v in differences.items()))
+    met = counted.join(gone, F.col("_is_more") & (F.col("_one") == F.col("_of")) & F.col("_line").eqNullSafe(F.col("_gone")), "left")
+    is_met = F.col("_m").isNotNull()
+    bags = met.groupBy("key", F.when(is_met, F.col("_line")).alias("_line"), is_met.alias("_met")).agg(*(F.sum(k).alias(k) for k in differences), F.least(F.count("_m"), F.max("_m")).alias("_both"), F.max("_more").alias("_more"), F.max("_less").alias("_less"))
+    summed = bags.groupBy("key").agg(*(F.sum(k).alias(k) for k in differences), F.sum(F.when(F.col("_met"), F.col("_both")).otherwise(0)).alias("reorderings"), F.max("_more").alias("_more"), F.max("_less").alias("_less"))
+    summed = summed.select("key", *differences, "reorderings", (F.col("_more") - F.col("reorderings")).alias("insertions"), (F.col("_less") - F.col("reorderings")).alias("deletions"))
+    return _scored(rows, summed, key, differences, penalties)

@@ -100,8 +100,8 @@ def listing_scores(rows: DataFrame, target: DataFrame, key: str, order: str, arc
     """(key, stack, branch, register, reorderings, insertions, deletions, score) of listings against a target's, by all six penalties.
 
     Both have the columns order, row, name (the operation) and has_symbol. `stack` counts how far places on the stack are apart, `branches`
-    counts branches that go elsewhere; otherwise rows should come in the normal form without them.
+    counts branches that go elsewhere; otherwise rows should come in the normal form without them. Listings of equal operations are aligned once.
     """
     found = listing.differences(F.col("new"), F.col("old"), arch, stack, branches)
-    scored = alignment.scores(rows, target, key, order, "name", "row", found, PENALTY)
+    scored = alignment.scores_by_kind(rows, target, key, order, "name", "row", found, PENALTY)
     return scored.withColumnRenamed("key", key)

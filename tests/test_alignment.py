@@ -123,3 +123,27 @@ def test_whole_score_equals_the_serial_rules(spark):
 def test_distances_tell_types_with_one_initial_apart(spark):
     df = spark.createDataFrame([(1, 1, "view"), (1, 2, "vote"), (2, 1, "vote"), (2, 2, "view"), (3, 1, "view")], "u long, n long, t string")
     assert {r.u: r.distance for r in scoring.distances(df, 1, "u", "n", "t").collect()} == {1: 0, 2: 2, 3: 1}
+
+
+def test_sequences_of_one_kind_are_aligned_once(spark, tmp_path):
+    """By kinds the scores are those of every sequence alone, and little moves: a row of many short listings costs few bytes in any shuffle or table."""
+    rnd = random.Random(6)
+    rows = [(k, i, rnd.choice(["x", "y", None]), rnd.choice(["x 1", "y 2", "z", None])) for k in [None, *range(80)] for i in range(rnd.randint(1, 5))]
+    schema = "k long, i int, name string, row string"
+    many = spark.createDataFrame(list({(r[0], r[1]): r for r in rows}.values()), schema)
+    target = spark.createDataFrame([(0, "x", "x 1"), (1, "y", "z"), (2, "x", None), (3, None, "y 2"), (4, "z", "w")], "i int, name string, row string")
+    differ = {"register": (~F.col("new.row").eqNullSafe(F.col("old.row"))).cast("int")}
+    got = alignment.scores_by_kind(many, target, "k", "i", "name", "row", differ, scoring.PENALTY).collect()
+    want = alignment.scores(many, target, "k", "i", "name", "row", differ, scoring.PENALTY).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, want), key=str) and len(got) == 81
+    none = alignment.scores_by_kind(many, target.limit(0), "k", "i", "name", "row", differ, scoring.PENALTY).collect()
+    assert {(r.key, r.insertions) for r in none if r.key is not None} == {(r.k, r.n) for r in many.where("k is not null").groupBy("k").count().withColumnRenamed("count", "n").collect()}
+    assert alignment.scores_by_kind(many.limit(0), target, "k", "i", "name", "row", differ, scoring.PENALTY).collect() == []
+
+
+def test_listing_scores_align_few_of_many_equal_listings(spark, monkeypatch):
+    rows = spark.range(2000).selectExpr("id div 2 as k", "id % 2 as pos", "if(id % 2 = 0, 'lw', 'beq') as name", "concat('lw\\ta', id % 7, ',4(sp)') as row", "false as has_symbol")
+    seen, whole = [], alignment.steps
+    monkeypatch.setattr(alignment, "steps", lambda rows, *a: (seen.append(rows.count()), whole(rows, *a))[1])
+    assert scoring.listing_scores(rows, rows.where("k = 0").drop("k"), "k", "pos", "mips").count() == 1000
+    assert seen == [2]
