@@ -856,11 +856,7 @@ def numbers_as_hex(spark: SparkSession, sf_dir: str) -> DataFrame:
     note is not null as has_symbol from cut""")
 def relocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as listings, some of whose rows are followed by a relocation that names a symbol for their last operand."""
-    parts = _item_rows(table(spark, sf_dir, "lineitem"))
-    items = table(spark, sf_dir, "lineitem")
-    names = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_returnflag", "l_linestatus")
-    part = items.select("l_orderkey", (F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*names)) - 1).cast("long").alias("pos"), F.col("l_partkey").cast("string").alias("part"))
-    rows = parts.join(part, ["l_orderkey", "pos"])
+    rows = _item_rows(table(spark, sf_dir, "lineitem")).withColumn("part", F.col("l_partkey").cast("string"))
     named = lambda kind, mark: F.concat(F.lit(kind + "\t" + mark), F.col("part"))
     note = F.when(F.col("name") == "jal", named("R_MIPS_26", "f")).when((F.col("name") == "lw") & (F.col("q") % 3 == 0), named("R_MIPS_GPREL16", "d")).when((F.col("name") == "addiu") & F.col("has_symbol"), named("R_MIPS_HI16", "d"))
     listed = rows.select("l_orderkey", "pos", F.posexplode(F.array_compact(F.array("row", note))).alias("_at", "row")).select("l_orderkey", (2 * F.col("pos") + F.col("_at")).alias("place"), "row")

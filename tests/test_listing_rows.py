@@ -69,3 +69,26 @@ def test_weights(spark, tmp_path):
     rows = weight_rows(spark, str(tmp_path / "w.toml"), "base", "own", "none")
     layers = [rows.where(rows.layer == k).select("name", "weight") for k in range(3)]
     assert {tuple(r) for r in tables.overlay(*layers).collect()} == {("a", 1.0), ("b", 5.0)}
+
+
+def test_the_query_numbers_line_items_once(spark):
+    """No join of the table with itself: one sort by order, and rows without an order stay, as in the SQL."""
+    import contextlib
+    import io
+
+    from quern import catalog
+
+    shown, real = [], ordered.with_relocations
+
+    def seen(df, *args):
+        with contextlib.redirect_stdout(io.StringIO()) as out:
+            df.explain()
+        shown.append(out.getvalue())
+        return real(df, *args)
+
+    ordered.with_relocations = seen
+    try:
+        assert catalog.QUERIES["relocations"](spark, "/root/testdata/sf0.001").count() > 1000
+    finally:
+        ordered.with_relocations = real
+    assert "Join" not in shown[0] and shown[0].count("Exchange") == 1
