@@ -9,11 +9,12 @@
    the smallest slot that is left among those that are large enough: a slot raises a level, a piece lowers it, and a piece goes
    to the last slot that reached its level. Levels come from counts by size (as many rows as the capacity at most) and ranks
    inside a size, so tasks match pieces to slots level by level. Where pieces want the same slots, lower ranks win.
-4. Gaps are updated; pieces without a slot open new sequences, as many as their sum fills, and the next superstep follows, until
-   no piece is left. Pieces over half the capacity need no sweep: they open a sequence each.
+4. Pieces that the gaps leave open new sequences, as many as their sum fills or their number needs, which are slots of the same sweep. Gaps are updated
+   and the next superstep follows, until no piece is left. Pieces over half the capacity need no sweep: they open a sequence each.
 
 The driver sees the numbers of gaps by size and salt, at most (capacity + 1) x SALTS, and turns them to levels by size; which
-piece meets which gap is found by tasks. Every superstep's table is written, so that a lost executor costs one at most.
+piece meets which gap is found by tasks. Every superstep's table is written, so that a lost executor costs one at most. What tasks
+need by size stands in their expressions, so that a superstep broadcasts one table at most: the driver would keep them all.
 
 Defined cases: a null text is empty, and an empty one is the end id alone; repeated rows, and rows with null or equal keys,
 are packed as documents of their own; runs of white space of any length are encoded like any other text; an empty table
@@ -30,7 +31,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.llm.common import partitions, read, stored, text_or_empty, tokenizer_path
@@ -115,11 +116,17 @@ def ranked(df: DataFrame, size: str, counts: np.ndarray, *order: str) -> DataFra
     """df with rank, from 0, among the rows of its size; counts[size, salt] has their numbers."""
     before = np.cumsum(counts, axis=1) - counts
     at = np.nonzero(counts)
-    offsets = df.sparkSession.createDataFrame(pa.table([*map(pa.array, at), pa.array(before[at])], ["_size", "_salt", "_before"]))
+    offsets = df.sparkSession.createDataFrame(pa.table([pa.array(at[0] * SALTS + at[1]), pa.array(before[at])], ["_at", "_before"]))
     inside = F.row_number().over(Window.partitionBy(size, "_salt").orderBy(*order)) - 1
-    found = salted(df, *order).withColumn("_in", inside).withColumnRenamed("_salt", "_of")
-    found = found.join(F.broadcast(offsets), (F.col(size) == F.col("_size")) & (F.col("_of") == F.col("_salt")))
-    return found.withColumn("rank", F.col("_in") + F.col("_before")).drop("_size", "_salt", "_of", "_in", "_before")
+    found = salted(df, *order).withColumn("_in", inside)
+    found = found.join(F.broadcast(offsets), F.col(size) * SALTS + F.col("_salt") == F.col("_at"))
+    return found.withColumn("rank", F.col("_in") + F.col("_before")).drop("_at", "_salt", "_in", "_before")
+
+
+def by_size(values: np.ndarray, size: str) -> Column:
+    """values[size], from a constant in the expression."""
+    constant = F.split(F.lit(",".join(map(str, values.tolist()))), ",").cast("array<long>")
+    return F.element_at(constant, (F.col(size) + 1).cast("int"))
 
 
 def counted(df: DataFrame, size: str, capacity: int, *order: str) -> np.ndarray:
@@ -140,17 +147,18 @@ def levels(slots: np.ndarray, wants: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return level, np.minimum.accumulate(after)
 
 
-def sweep(runs: DataFrame, gaps: DataFrame, sizes: DataFrame, low: int, top: int, capacity: int) -> DataFrame:
+def sweep(runs: DataFrame, gaps: DataFrame, level: np.ndarray, floor: np.ndarray, done: np.ndarray, room: np.ndarray, low: int, top: int, capacity: int) -> DataFrame:
     """The gaps(sequence, gap) after a superstep, and its moves (length, rank, sequence, offset; gap is null in these rows).
 
-    runs(length, rank) are all pieces, gaps have ranks; sizes(size, level, floor, done, room, per) are bounded by the capacity.
+    runs(length, rank) are all pieces, gaps have ranks; level, floor, done and room are by size.
     """
-    pieces_ = runs.where((F.col("length") > low) & (F.col("length") <= top)).join(sizes, F.col("length") == F.col("size"))
-    at = F.col("room") - (F.col("rank") - F.col("done"))
-    pieces_ = pieces_.where((F.col("rank") >= F.col("done")) & (at > 0))
-    pieces_ = pieces_.select(at.alias("at"), F.col("length").alias("size"), F.lit(1).alias("kind"), "rank", F.lit(None).cast("long").alias("sequence"))
-    first, last = F.greatest(F.col("level") + F.col("rank") * F.col("per"), F.col("floor")) + 1, F.col("level") + (F.col("rank") + 1) * F.col("per")
-    slots = gaps.join(sizes, F.col("gap") == F.col("size")).withColumns({"first": first, "last": last}).where("first <= last")
+    pieces_ = runs.where((F.col("length") > low) & (F.col("length") <= top)).withColumn("_done", by_size(done, "length"))
+    at = by_size(room, "length") - (F.col("rank") - F.col("_done"))
+    pieces_ = pieces_.where(F.col("rank") >= F.col("_done")).withColumn("at", at).where("at > 0")
+    pieces_ = pieces_.select("at", F.col("length").alias("size"), F.lit(1).alias("kind"), "rank", F.lit(None).cast("long").alias("sequence"))
+    slots = gaps.where(F.col("gap") > low).withColumns({"_level": by_size(level, "gap"), "per": F.greatest(F.lit(1).cast("long"), F.floor(F.col("gap") / top))})
+    first, last = F.greatest(F.col("_level") + F.col("rank") * F.col("per"), by_size(floor, "gap")) + 1, F.col("_level") + (F.col("rank") + 1) * F.col("per")
+    slots = slots.withColumns({"first": first, "last": last}).where("first <= last")
     slots = slots.select(F.explode(F.sequence("first", "last")).alias("at"), F.col("gap").alias("size"), F.lit(0).alias("kind"), "rank", "sequence")
     its = F.lag("sequence").over(Window.partitionBy("at").orderBy(F.desc("size"), "kind"))
     moved = slots.union(pieces_).withColumn("its", its).where("kind = 1").select(F.col("its").alias("sequence"), F.lit(None).cast("long").alias("gap"), "at", "size", "rank")
@@ -168,10 +176,8 @@ def best_fit(runs: DataFrame, number: np.ndarray, capacity: int) -> DataFrame:
     size, half = np.arange(capacity + 1), capacity // 2
     # Longer ones than half the capacity take a sequence each, in the order of lengths.
     opened = int(number[half + 1 :].sum())
-    starts = pa.table([size, np.cumsum(np.where(size > half, number, 0)) - number], ["size", "start"])
-    sequence = F.col("start") + F.col("rank")
-    alone = runs.where(F.col("length") > half).join(F.broadcast(spark.createDataFrame(starts)), F.col("length") == F.col("size"))
-    alone = alone.select(sequence.alias("sequence"), (capacity - F.col("length")).alias("gap"), "length", "rank", F.lit(0).cast("long").alias("offset"))
+    sequence = by_size(np.cumsum(np.where(size > half, number, 0)) - number, "length") + F.col("rank")
+    alone = runs.where(F.col("length") > half).select(sequence.alias("sequence"), (capacity - F.col("length")).alias("gap"), "length", "rank", F.lit(0).cast("long").alias("offset"))
     now = alone
     moves = [alone.select("length", "rank", "sequence", "offset")]
     done = np.where(size > half, number, 0)
@@ -182,18 +188,20 @@ def best_fit(runs: DataFrame, number: np.ndarray, capacity: int) -> DataFrame:
         counts = counted(gaps, "gap", capacity, "sequence")
         per = np.maximum(1, size // top)
         slots, wants = np.where(size > low, counts.sum(1) * per, 0), np.where((size > low) & (size <= top), number - done, 0)
+        level, _ = levels(slots, wants)
+        rest = int(((wants - np.clip(level + slots, 0, wants)) * size).sum())
+        # Whatever meets what, a gap takes no more than so many of the shortest.
+        least = int(size[wants > 0][0])
+        beyond = int(wants.sum() - (counts.sum(1) * (size // least)).sum())
+        fresh = max(1, rest // capacity, -(-beyond // (capacity // least))) if rest else 0
+        slots[capacity] += fresh * per[capacity]
         level, floor = levels(slots, wants)
         met = np.clip(level + slots, 0, wants)
-        if met.any():
-            sizes = pa.table([size, level, floor, done, level + slots, per], ["size", "level", "floor", "done", "room", "per"])
-            own = spark.createDataFrame(sizes.filter(pa.array((size > low) & (slots + wants > 0))))
-            now = sweep(runs, ranked(gaps, "gap", counts, "sequence"), F.broadcast(own), low, top, capacity)
-            moves.append(now.where("length is not null").select("length", "rank", "sequence", "offset"))
-        done = done + met
-        if rest := int(((wants - met) * size).sum()):
-            fresh = max(1, rest // capacity)
-            more = spark.range(opened, opened + fresh).select(F.col("id").alias("sequence"), F.lit(capacity).cast("long").alias("gap"))
-            now, opened = now.select("sequence", "gap").union(more), opened + fresh
+        more = spark.range(opened, opened + fresh).select(F.col("id").alias("sequence"), F.lit(capacity).cast("long").alias("gap"), (F.col("id") + int(counts[capacity].sum()) - opened).alias("rank"))
+        all_ = ranked(gaps, "gap", counts, "sequence").select("sequence", "gap", "rank").union(more) if counts.any() else more
+        now = sweep(runs, all_, level, floor, done, level + slots, low, top, capacity)
+        moves.append(now.where("length is not null").select("length", "rank", "sequence", "offset"))
+        done, opened = done + met, opened + fresh
     out = moves[0]
     for m in moves[1:]:
         out = out.union(m)

@@ -43,6 +43,16 @@ def test_supersteps_need_as_few_sequences_as_serial_best_fit(spark):
     assert packing.placed(df.where("length > 99"), 64).collect() == []
 
 
+def test_a_superstep_opens_its_sequences_and_broadcasts_one_table_at_most(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(packing, "stored", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or stored(df))
+    rows = stored(spark.range(400).selectExpr("id as key", "0 as piece", "23 + id % 10 as length", "id as ids_crc32"))
+    found = packing.placed(rows, 64).collect()
+    assert len(found) == 400 and check(found, 64) == 200  # two pieces a sequence
+    sweeps = plans[1:]  # the first table is of ranks
+    assert len(sweeps) == 1 and max(p.count("BroadcastExchange") for p in sweeps) <= 1
+
+
 def test_documents_need_two_sequences_more_than_the_sum_at_most(spark):
     found = packing.op2_best_fit_packing(spark, "/root/testdata/sf0.01").collect()
     assert check(found, 1024) <= -(-sum(r.length for r in found) // 1024) + 2
