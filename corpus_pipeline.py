@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import read, stored, text_or_empty, tokenizer_path
+from quern.llm.common import marked, read, stored, text_or_empty, tokenizer_path
 from quern.llm.line_dedup import line_dedup
 from quern.llm.packing import pack
-from quern.llm.quality import quality
+from quern.llm.quality import passing
 from quern.llm.secret_scan import redacted, secret_scan
 from quern.llm.simhash import near_texts
 
@@ -25,8 +25,7 @@ def documents(df: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the likelihood ratio, unchanged."""
-    judged = quality(docs.select(COLUMNS), read(spark, sf_dir, "labels"), COLUMNS)
-    return judged.where("kept").select(COLUMNS)
+    return passing(docs.select(COLUMNS), read(spark, sf_dir, "labels"))
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,18 +44,23 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     stay = found.groupBy("root").agg(F.min(order).alias("_first")).select("_first.row")
     gone = stored(found.join(stay, "row", "left_anti").select("row"))
     again = stored(found.where("n > 1").join(stay, "row", "left_semi").select("row"))
+    named = gone.union(again)
+    rows = marked(rows, named, "row")
+    asked = rows.where("_marked")
     first = Window.partitionBy("row").orderBy(F.xxhash64("text", "lang", "source"), "text", "lang", "source")
-    repeated = rows.join(again, "row", "left_semi").withColumn("_row", F.row_number().over(first)).where("_row = 1")
-    return rows.join(gone.union(again), "row", "left_anti").select(COLUMNS).union(repeated.select(COLUMNS))
+    repeated = asked.join(again, "row", "left_semi").withColumn("_row", F.row_number().over(first)).where("_row = 1")
+    others = rows.where("not _marked").select(COLUMNS).union(asked.join(named, "row", "left_anti").select(COLUMNS))
+    return others.union(repeated.select(COLUMNS))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets redacted."""
-    found, _ = secret_scan(docs)
-    spans = found.where(F.size("findings") > 0).select(F.col("blob").alias("_blob"), "findings").dropDuplicates(["_blob"])
-    texts = docs.select(COLUMNS).withColumn("_address", F.unhex(F.sha2(text_or_empty(), 256)))
-    joined = texts.join(spans, texts["_address"] == spans["_blob"], "left")
-    return documents(joined.withColumn("text", F.when(F.col("findings").isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col("findings")))))
+    _, ledger = secret_scan(docs)
+    spans = ledger.where(F.size("findings") > 0).select(F.col("blob").alias("_address"), "findings")
+    texts = marked(docs.select(COLUMNS).withColumn("_address", F.unhex(F.sha2(text_or_empty(), 256))), spans, "_address")
+    asked = texts.where("_marked").join(spans, "_address", "left")
+    cut = asked.withColumn("text", F.when(F.col("findings").isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col("findings"))))
+    return documents(texts.where("not _marked").select(COLUMNS).union(cut.select(COLUMNS)))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -120,6 +120,13 @@ def quality(docs: DataFrame, labels: DataFrame, carry: list[str], key: str = "do
     return judged(table, F.lit(found.first()["w"])).drop("_buckets")
 
 
+def passing(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs that are kept, unchanged. No copy of them is written: features are made once to count and once to judge."""
+    found = ratios(features(docs, [key], text), labels.where("quality = 1"), key)
+    table = judged(features(docs, docs.columns, text), F.lit(found.first()["w"]))
+    return table.select(F.inline(F.array(F.struct("kept", F.struct(*docs.columns).alias("row"))))).where("kept").select("row.*")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), ["doc_id"])
     return found.select("doc_id", *(F.col(f"_{n}").alias(n) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), "base_failed", "kept")
